@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import url_filter
+from brightmill.llm import media_audio, url_filter
 from brightmill.llm.common import table
 
 URL_RULES = (
@@ -46,8 +46,17 @@ FROM p LEFT JOIN b ON p.page_id = b.page_id AND p.host = b.host AND p.path = b.p
 """
 
 
+def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as MPEG audio, read back and measured."""
+    stored = media_audio.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media_audio.measure_column(stored).select("doc_id", "n_bytes", "audio.*").drop("seek_offsets")
+
+
 def queries() -> dict:
-    return {"op9_url_filter": op9_url_filter}
+    return {
+        "op3_media_audio": op3_media_audio,
+        "op9_url_filter": op9_url_filter,
+    }
 
 
 def oracle_sql() -> dict:
