@@ -71,6 +71,17 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def encode_ids(tokenizer, texts: list[str], chars: int = 200_000) -> Iterator[list[int]]:
+    """Token ids of each text. Encodings hold far more than ids, so only some are alive at a time."""
+    start = size = 0
+    for at, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= chars or at == len(texts):
+            for e in tokenizer.encode_batch(texts[start:at], add_special_tokens=False):
+                yield e.ids
+            start, size = at, 0
+
+
 def extend(intervals: tuple, start: int, end: int) -> tuple:
     """The intervals with one more at their end, merged where they touch."""
     if intervals and intervals[-1][1] == start:
@@ -114,12 +125,12 @@ def format_tree(df: DataFrame, tokenizer_path: str, loss_roles: tuple[str, ...]
                 rows.append((conv_id, len(path), same, [t["role"] in loss_roles for t in turns[same:]]))
                 for t in turns[same:]:
                     todo += [f"{TURN}{escape(t['role'])}{TEXT}", escape(t["text"]), END]
-            coded = iter(tokenizer.encode_batch(todo, add_special_tokens=False))
+            coded = encode_ids(tokenizer, todo)
             out: list[dict] = []
             for conv_id, n_turns, same, losses in rows:
                 del spine[same:]
                 for loss in losses:
-                    head, body, tail = (next(coded).ids for _ in range(3))
+                    head, body, tail = (next(coded) for _ in range(3))
                     tokens = head + body + tail
                     parent, _, position, seen = spine[-1] if spine else (None, 0, 0, ())
                     attention = extend(seen, offset, offset + len(tokens))
@@ -133,7 +144,7 @@ def format_tree(df: DataFrame, tokenizer_path: str, loss_roles: tuple[str, ...]
                     seq += 1
                 out.append({"shard": shard, "seq": seq, "kind": "leaf", "conv_id": conv_id, "n_turns": n_turns, "depth": len(spine), "parent_seq": spine[-1][0] if spine else None})
                 seq += 1
-                if len(out) >= 1000:
+                if len(out) >= 200:
                     yield pa.RecordBatch.from_pylist(out, _SCHEMA)
                     out = []
             if out:

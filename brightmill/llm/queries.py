@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, media_audio, url_filter
-from brightmill.llm.common import table
+from brightmill.llm import chat_tree, language_id, media_audio, url_filter
+from brightmill.llm.common import doc_remainder, table
 
 URL_RULES = (
     url_filter.host_rule("allow", "com", "/"),
@@ -63,10 +63,18 @@ def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(chat_tree.format_tree(turns, path), path)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_remainder(F.col("doc_id"), 4) == 2)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def queries() -> dict:
     return {
         "op3_media_audio": op3_media_audio,
         "op4_chat_tree": op4_chat_tree,
+        "op7_language_id": op7_language_id,
         "op9_url_filter": op9_url_filter,
     }
 
