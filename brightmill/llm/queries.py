@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, language_id, media_audio, url_filter
+from brightmill.llm import chat_tree, language_id, media_audio, secret_scan, url_filter
 from brightmill.llm.common import doc_remainder, table
 
 URL_RULES = (
@@ -70,11 +70,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by the base patterns and by the formats learned from what these find."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan(docs, secret_scan.learn_formats(docs)).drop("text")
+
+
 def queries() -> dict:
     return {
         "op3_media_audio": op3_media_audio,
         "op4_chat_tree": op4_chat_tree,
         "op7_language_id": op7_language_id,
+        "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
     }
 
