@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, language_id, media_audio, secret_scan, url_filter
-from brightmill.llm.common import doc_remainder, table
+from brightmill.llm import chat_tree, language_id, media_audio, quality, secret_scan, url_filter
+from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 URL_RULES = (
     url_filter.host_rule("allow", "com", "/"),
@@ -63,6 +63,19 @@ def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(chat_tree.format_tree(turns, path), path)
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (doc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), quality.feature_column().alias("features"))
+    docs = cut_lineage(docs)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    scored = docs.withColumn("score", quality.score_column(docs, model))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_remainder(F.col("doc_id"), 4) == 2)
@@ -80,6 +93,7 @@ def queries() -> dict:
     return {
         "op3_media_audio": op3_media_audio,
         "op4_chat_tree": op4_chat_tree,
+        "op5_quality": op5_quality,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
