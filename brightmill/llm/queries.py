@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, language_id, media_audio, quality, secret_scan, url_filter
+from brightmill.llm import chat_tree, language_id, media_audio, packing, quality, secret_scan, url_filter
 from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 URL_RULES = (
@@ -76,6 +76,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_remainder(F.col("doc_id"), 4) == 2)
@@ -94,6 +99,7 @@ def queries() -> dict:
         "op3_media_audio": op3_media_audio,
         "op4_chat_tree": op4_chat_tree,
         "op5_quality": op5_quality,
+        "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
