@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, language_id, media_audio, packing, quality, secret_scan, url_filter
+from brightmill.llm import chat_tree, decontaminate, language_id, line_dedup, media_audio, packing, quality, secret_scan, url_filter
 from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 URL_RULES = (
@@ -47,6 +47,55 @@ FROM p LEFT JOIN b ON p.page_id = b.page_id AND p.host = b.host AND p.path = b.p
 """
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents."""
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), t AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM t)
+), n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id
+), d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+), ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s))
+), m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN s USING (k, shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
+"""
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the multi-line chunks that stand elsewhere before."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, length(line) - length(replace(line, ' ', '')) + 1 >= 50 AS long, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
+), r AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967291 AS r, max(i) OVER (PARTITION BY doc_id) AS last FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), e AS (
+  SELECT *, i = last OR long OR coalesce(lead(long) OVER w, false) OR (i > 0 AND i < last - 1 AND r < lag(r) OVER w AND r < lead(r) OVER w) AS ends
+  FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), g AS (SELECT doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e
+), c AS (SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS content FROM g GROUP BY doc_id, chunk
+), q AS (
+  SELECT * FROM c WHERE trim(translate(content, chr(10) || chr(9) || chr(13), '   ')) <> '' AND (n >= 2 OR length(content) - length(replace(content, ' ', '')) + 1 >= 50)
+), x AS (SELECT doc_id, chunk FROM (SELECT doc_id, chunk, row_number() OVER (PARTITION BY content ORDER BY doc_id, start) AS k FROM q) WHERE k > 1
+), o AS (
+  SELECT g.doc_id, string_agg(g.line, chr(10) ORDER BY g.i) FILTER (x.chunk IS NULL) AS text, count(DISTINCT x.chunk) AS removed_chunks, count(x.chunk) AS removed_lines
+  FROM g LEFT JOIN x USING (doc_id, chunk) GROUP BY g.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(removed_chunks, 0) AS removed_chunks, coalesce(removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN o USING (doc_id)
+"""
+
+
 def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio, read back and measured."""
     stored = media_audio.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -96,6 +145,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_line_dedup": op2_line_dedup,
         "op3_media_audio": op3_media_audio,
         "op4_chat_tree": op4_chat_tree,
         "op5_quality": op5_quality,
@@ -107,4 +158,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_line_dedup": OP2_SQL, "op9_url_filter": OP9_SQL}
