@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +33,20 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Characters of text that numpy work in a task holds at a time.
+SLICE = 1 << 20
+
+
+def slices(texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) of runs of about `chars` characters; null texts are empty."""
+    start, size, run = 0, 0, []
+    for i, t in enumerate(texts):
+        run.append(t or "")
+        size += len(run[-1])
+        if size >= chars:
+            yield start, run
+            start, size, run = i + 1, 0, []
+    if run:
+        yield start, run

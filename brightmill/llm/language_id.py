@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightmill.llm.common import cut_lineage
+from brightmill.llm.common import SLICE, cut_lineage, slices
 
 UNKNOWN = "und"
 _SPACE = np.uint64(32)
@@ -54,6 +54,17 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[middle].astype(np.int64), np.searchsorted(bounds, where[1:-1][middle], side="right")
 
 
+def cut(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Texts of more than `SLICE` characters in pieces of that size, and the number of the text each piece is from.
+    At a cut the trigrams see the end of a word."""
+    pieces, owner = [], []
+    for i, t in enumerate(texts):
+        parts = [t[a : a + SLICE] for a in range(0, len(t), SLICE)] or [""]
+        pieces += parts
+        owner += [i] * len(parts)
+    return pieces, np.array(owner, int)
+
+
 def _cells(codes: np.ndarray, bits: int) -> np.ndarray:
     """k cells for each code, in rows."""
     u = codes.astype(np.uint64)
@@ -84,28 +95,37 @@ class LanguageFilter:
             rates[n] = (len(cells) / (1 << bits)) ** len(_MULTIPLIERS)
         return cls(languages, bits, table, rates, fallback)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language of each text and its share of the corrected counts."""
-        codes, owner = trigrams([t or "" for t in texts])
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of trigrams of each text, and how many of them each language's filter holds."""
+        codes, owner = trigrams(texts)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
+        cells = _cells(codes, self.bits)
+        masks = self.table[cells[0]]
+        for row in cells[1:]:
+            masks &= self.table[row]
         hits = np.zeros((len(texts), len(self.languages)))
-        step = 1 << 20
-        for a in range(0, len(codes), step):
-            cells = _cells(codes[a : a + step], self.bits)
-            masks = self.table[cells[0]]
-            for row in cells[1:]:
-                masks &= self.table[row]
-            for n in range(len(self.languages)):
-                bit = (masks[:, n // 64] >> masks.dtype.type(n % 64)) & masks.dtype.type(1)
-                hits[:, n] += np.bincount(owner[a : a + step], weights=bit, minlength=len(texts))
+        for n in range(len(self.languages)):
+            bit = (masks[:, n // 64] >> masks.dtype.type(n % 64)) & masks.dtype.type(1)
+            hits[:, n] = np.bincount(owner, weights=bit, minlength=len(texts))
+        return total, hits
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its share of the corrected counts."""
+        total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        for start, run in slices(texts):
+            pieces, owner = cut(run)
+            t, h = self.count(pieces)
+            np.add.at(total, start + owner, t)
+            np.add.at(hits, start + owner, h)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         share = np.maximum(0, (hits / np.maximum(total, 1)[:, None] - self.rates) / (1 - self.rates))
-        best = share.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
-        none = share.max(axis=1, initial=0) == 0
+        best = share.argmax(axis=1)
+        none = share.max(axis=1) == 0
         best[none] = self.fallback
-        weight = np.where(none, 0, share[np.arange(len(texts)), best] / np.maximum(share.sum(axis=1), 1e-12)) if self.languages else np.zeros(len(texts))
+        weight = np.where(none, 0, share[np.arange(len(texts)), best] / np.maximum(share.sum(axis=1), 1e-12))
         unknown = total == 0
-        names = [UNKNOWN if u or not self.languages else self.languages[b] for u, b in zip(unknown, best, strict=True)]
-        return names, np.where(unknown, 0.0, weight)
+        return [UNKNOWN if u else self.languages[b] for u, b in zip(unknown, best, strict=True)], np.where(unknown, 0.0, weight)
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 2e-5, bits: int = 20) -> LanguageFilter:
@@ -126,11 +146,12 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: f
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(langs):
-                codes, _ = trigrams([t for t, x in zip(texts, langs, strict=True) if x == name])
-                parts = gathered.setdefault(name, [])
-                parts.append(np.unique(codes, return_counts=True))
-                if len(parts) > 8:
-                    gathered[name] = [merge(parts)]
+                for _, run in slices([t for t, x in zip(texts, langs, strict=True) if x == name]):
+                    for piece in [cut(run)[0]] if sum(map(len, run)) < 2 * SLICE else [[p] for p in cut(run)[0]]:
+                        parts = gathered.setdefault(name, [])
+                        parts.append(np.unique(trigrams(piece)[0], return_counts=True))
+                        if len(parts) > 8:
+                            gathered[name] = [merge(parts)]
         for name, parts in gathered.items():
             codes, counts = merge(parts)
             for a in range(0, len(codes), 50_000):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightmill.llm.common import SLICE, slices
+
 NAMES = (
     "log_words", "log_word_length", "log_distinct_words", "log_distinct_pairs", "upper", "symbols", "stops", "digits", "letters", "log_line_words",
     "top_word", "repeats", "title_words", "marked_words", "duplicate_lines",
@@ -45,14 +47,23 @@ def _char_classes() -> np.ndarray:
     return _CLASSES[0]
 
 
+def _tally(texts: list[str]) -> np.ndarray:
+    """How many characters of each class each text has."""
+    kinds = _char_classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    owner = np.repeat(np.arange(len(texts)) * 8, np.fromiter(map(len, texts), np.int64, len(texts)))
+    return np.bincount(owner + kinds, minlength=8 * len(texts)).reshape(-1, 8).astype(float)
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     """One row of statistics for each text; null counts as empty."""
     texts = [t or "" for t in texts]
-    joined = "".join(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    kinds = _char_classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.repeat(np.arange(len(texts)) * 8, lengths)
-    counts = np.bincount(owner + kinds, minlength=8 * len(texts)).reshape(-1, 8).astype(float)
+    counts = np.zeros((len(texts), 8))
+    for start, run in slices(texts):
+        if len(run) == 1:  # as many pieces as it takes
+            for a in range(0, len(run[0]), SLICE):
+                counts[start] += _tally([run[0][a : a + SLICE]])[0]
+        else:
+            counts[start : start + len(run)] = _tally(run)
     rows = np.zeros((len(texts), 9))
     for i, text in enumerate(texts):
         words = text.split()
