@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, decontaminate, language_id, line_dedup, media_audio, packing, quality, secret_scan, url_filter
+from brightmill.llm import chat_tree, decontaminate, jaccard_join, language_id, line_dedup, media_audio, packing, quality, secret_scan, url_filter
 from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 URL_RULES = (
@@ -143,6 +143,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.learn_formats(docs)).drop("text")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of documents that links of 3-word shingle similarity 0.9 or more form."""
+    return jaccard_join.JaccardJoin(k=3, percent=90).run(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -154,6 +159,7 @@ def queries() -> dict:
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
