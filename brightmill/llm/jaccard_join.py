@@ -300,3 +300,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = lower.select("node", "label")
         if not lower.where("label != old").limit(1).count():
             return labels
+
+
+def keep_one(documents: DataFrame, join: JaccardJoin, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 300_000) -> DataFrame:
+    """The rows of `documents` but those whose component has a smaller doc_id, all columns kept.
+
+    Texts without shingles and rows with a null id stay. Rows that share an id go together, if one of them
+    does; rows that share id and text stay once.
+    """
+    groups = cut_lineage(join.run(documents, doc_id, text))
+    gone = cut_lineage(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    kept = documents.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept

@@ -40,7 +40,11 @@ def _with_chunks(df: DataFrame, text: str, long_words: int) -> DataFrame:
         "__hash": F.transform("__lines", _line_hash),
         "__long": F.transform("__lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1 >= long_words),
     })
-    return out.withColumn("__rolled", rolled).withColumn("__ends", ends).withColumn("__chunks", code).drop("__hash", "__long", "__rolled", "__ends")
+    out = out.withColumn("__rolled", rolled).withColumn("__ends", ends).withColumn("__chunks", code)
+    # a generator of one row: Spark moves no later filter or projection below it, where the expressions would be put into
+    # each other's lambdas and be computed anew for each line
+    one = F.explode_outer(F.array(F.struct("__lines", "__chunks"))).alias("__parts")
+    return out.select(*df.columns, one).select(*df.columns, F.col("__parts.__lines").alias("__lines"), F.col("__parts.__chunks").alias("__chunks"))
 
 
 def _start(code: Column) -> Column:
