@@ -1,10 +1,81 @@
-"""Corpus preparation as a chain of stages over `documents`."""
+"""Corpus preparation as a chain of stages over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of documents:
+
+1. quality: documents that the classifier rejects go;
+2. lines: repeated multi-line chunks are cut out; a document of which nothing is left goes;
+3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays;
+4. decontaminate: documents that hold a benchmark item go;
+5. pack: what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brightmill.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from brightmill.llm.common import doc_remainder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+QUALITY_THRESHOLD = 0.3
+
+#: Packing needs a tokenizer, so SQL can't express the result.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a score of 0.3 or more, learned from the labels outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    known = docs.where(doc_remainder(F.col("doc_id"), 5) != 0).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    features = known.select("doc_id", quality.feature_column().alias("features"))
+    model = quality.fit(features.join(labels, "doc_id"))
+    return docs.withColumn("__score", quality.score_text_column(docs, model)).where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out repeated chunks and drops documents of which nothing visible is left. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    left = (F.col("removed_chunks") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")
+    n_chars = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return jaccard_join.keep_one(docs, jaccard_join.JaccardJoin(k=5, percent=80))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold at least 0.8 of a benchmark item's five-word shingles."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", lines_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pack", pack_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
