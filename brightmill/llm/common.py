@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from brightmill.session import ship_package
 
 
+#: Bytes of one batch between the JVM and a Python worker. With long texts, batches of Spark's default size
+#: take several times their size in either process.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table; prepares the session for the operators' Python workers."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,7 +43,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 #: Characters of text that numpy work in a task holds at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def slices(texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[int, list[str]]]:

@@ -30,37 +30,68 @@ END_ID = 2
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+_END = b"\xff"
+
+
+def _byte_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes
+    stand for themselves, the others for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTE_OF = _byte_characters()
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer file with word ends, as `encode(add_special_tokens=False)` gives them.
 
-    Words don't merge across their bounds, so a text's ids are its words' ids; these are kept in a bounded
-    table, since tokenising is the main cost and words repeat."""
+    Nothing merges across white space, so a text's ids are its words' ids; these are kept in a bounded
+    table of two generations, since tokenising is the main cost and words repeat. The merges of a new word are
+    done by tiktoken on the file's vocabulary, with a byte that UTF-8 never has as the word's end."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.capacity = capacity
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
+        ranks = {self._bytes(t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in special}
+        ranks.setdefault(_END, len(ranks))
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    @staticmethod
+    def _bytes(token: str) -> bytes:
+        """A vocabulary entry as bytes: each character stands for a byte, and the word end for `_END`."""
+        core = token.removesuffix("</w>")
+        return bytes(_BYTE_OF[c] for c in core) + (_END if core != token else b"")
+
+    def _word(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array([i for piece in _PIECES.findall(word) for i in self.merge(piece.encode() + _END)], "<u4").tobytes()
+        if len(self.known) >= self.capacity:
+            self.older, self.known = self.known, {}
+        self.known[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not (_BEYOND.search(t) or _SPECIAL.search(t)) for t in texts]
-        split = [_PIECES.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        new = list({w for words in split if words for w in words} - self.known.keys())
-        if len(self.known) + len(new) > self.capacity:
-            self.known = {}
-            new = list({w for words in split if words for w in words})
-        for a in range(0, len(new), 20_000):
-            for word, e in zip(new[a : a + 20_000], self.whole.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, words)), "<u4") if words is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
-            for t, words in zip(texts, split, strict=True)
-        ]
+        out = []
+        for text in texts:
+            if _BEYOND.search(text) or _SPECIAL.search(text):
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
+                continue
+            words = text.lower().split()  # no pre-token spans white space
+            parts = list(map(self.known.get, words))
+            if None in parts:
+                parts = [self._word(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+            out.append(np.frombuffer(b"".join(parts), "<u4"))
+        return out
 
 
 @dataclass(frozen=True)
