@@ -1 +1,130 @@
-"""Queries."""
+"""State machines and streams (T)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
+from brightmill.plans.catalog import query
+from brightmill.sources.views import Views
+from brightmill.streaming import jobs
+
+DAY_MS = 86_400_000
+
+
+def _timed(v: Views) -> DataFrame:
+    return v.st.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+
+
+@query("t1_rate_limiter")
+def _(v: Views) -> DataFrame:
+    """Two requests a day and user."""
+    step = lambda state, row: state.step(row["ms"])
+    return replay(_timed(v).select("user_id", "ms", "event_id"), ["user_id"], ["ms", "event_id"], lambda: Limiter(2, DAY_MS), step, "event_id long, user_id long, allowed boolean, used int, reset_s long")
+
+
+@query("t1_rate_limiter_stream")
+def _(v: Views) -> DataFrame:
+    """The same limiter over the event stream."""
+    v.table("events")  # ships the package to the workers
+    return jobs.with_state_store(v.spark, lambda: jobs.run_complete(jobs.limit_requests(jobs.event_stream(v.spark, v.folder), 2, DAY_MS), "limiter", "append"))
+
+
+@query("t2_daily_counter", "u", """
+SELECT event_id, n, n <= 3 AS allowed, n >= 0.8 * 3 AS approaching FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS n FROM u)""")
+def _(v: Views) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id", F.col("ts").cast("date")).orderBy("ts", "event_id")).cast("long")
+    return v.u.select("event_id", n.alias("n")).select("event_id", "n", (F.col("n") <= 3).alias("allowed"), (F.col("n") >= 0.8 * 3).alias("approaching"))
+
+
+@query("t3_key_limits", "u", """
+SELECT event_id, CAST(n AS BIGINT) AS n, CAST(t AS BIGINT) AS tokens, n >= 4 OR t + tokens_used > 2000 AS limited FROM (
+  SELECT event_id, tokens_used, count(*) OVER w AS n, coalesce(sum(tokens_used) OVER w, 0) AS t FROM (SELECT *, epoch_ms(ts) AS ms FROM u) WINDOW w AS (PARTITION BY k ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING))""")
+def _(v: Views) -> DataFrame:
+    """Requests and tokens of a key in the day before each request."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    day = Window.partitionBy("k").orderBy("ms").rangeBetween(-DAY_MS, -1)
+    rows = v.u.withColumn("ms", ms).select("event_id", "tokens_used", F.count("*").over(day).alias("n"), F.coalesce(F.sum("tokens_used").over(day), F.lit(0)).alias("tokens"))
+    return rows.select("event_id", "n", "tokens", ((F.col("n") >= 4) | (F.col("tokens") + F.col("tokens_used") > 2000)).alias("limited"))
+
+
+@query("t4_circuit_breaker")
+def _(v: Views) -> DataFrame:
+    rows = _timed(v).select("user_id", "ms", "event_id", "failed", (F.col("failed") & (F.col("latency") > 400)).alias("rate_limited"))
+    step = lambda state, r: state.step(r["ms"], r["failed"], r["rate_limited"])
+    return replay(rows, ["user_id"], ["ms", "event_id"], Breaker, step, "event_id long, user_id long, state string, streak int, rate double, healthy boolean")
+
+
+@query("t5_t6_key_rotation")
+def _(v: Views) -> DataFrame:
+    """Users stand for keys, in groups of provider and kind."""
+    rows = _timed(v).select((F.col("user_id") % 3).alias("provider"), (F.col("user_id") % 2).alias("paid"), "user_id", "ms", "event_id", "failed", (F.col("latency") > 400).alias("rate_limited"))
+    step = lambda state, r: state.step(r["user_id"], r["failed"], r["rate_limited"])
+    return replay(rows, ["provider", "paid"], ["ms", "event_id"], KeyRing, step, "event_id long, user_id long, priority long, cooldown_ms long, archived boolean")
+
+
+@query("t7_k14_credit_ledger")
+def _(v: Views) -> DataFrame:
+    action = F.when(F.col("event_type") == "purchase", "deposit").when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "click", "finalize").otherwise("none")
+    rows = _timed(v).select("user_id", "ms", "event_id", action.alias("action"), F.ceil("latency").alias("amount"))
+    step = lambda state, r: state.step(r["ms"], r["action"], r["amount"])
+    return replay(rows, ["user_id"], ["ms", "event_id"], Ledger, step, "event_id long, user_id long, free long, paid long, accepted boolean")
+
+
+@query("t8_s11_sse_lines", "m", "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS chars FROM m")
+def _(v: Views) -> DataFrame:
+    """Events cut into chunks anywhere, put together in order and parsed line by line; broken JSON is skipped."""
+    event = F.concat(F.lit("event: message\ndata: "), F.to_json(F.struct("turn", "role", F.length("text").alias("chars"))), F.lit("\n\ndata: {broken\n\n"))
+    stream = v.m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))).alias("events"))
+    body = F.concat(F.array_join(F.transform("events", lambda x: x.e), ""), F.lit("data: [DONE]\n"))
+    pieces = F.transform(F.sequence(F.lit(0), F.length("body") - 1, F.lit(17)), lambda i: F.substring(F.col("body"), i + 1, F.lit(17)))
+    chunks = stream.select("conv_id", body.alias("body")).select("conv_id", F.posexplode(pieces).alias("seq", "chunk"))
+    whole = chunks.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x.chunk), "").alias("body"))
+    lines = whole.select("conv_id", F.explode(F.split("body", "\n")).alias("line")).where(F.startswith("line", F.lit("data: ")) & (F.col("line") != "data: [DONE]"))
+    parsed = lines.select("conv_id", F.from_json(F.substring("line", 7, 1 << 30), "turn long, role string, chars long").alias("d"))
+    return parsed.where("d.role is not null").select("conv_id", "d.turn", "d.role", "d.chars")
+
+
+@query("t10_hourly_rollup_stream", "st", "SELECT event_type AS method, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) FILTER (NOT failed) AS successes, count(*) FILTER (failed) AS failures FROM st GROUP BY 1, 2")
+def _(v: Views) -> DataFrame:
+    return jobs.run_complete(jobs.hourly_rollup(jobs.event_stream(v.spark, v.folder)), "rollup")
+
+
+@query("t12_alerts", "st", """
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (failed) / count(*) > 0.5 AS cascade, epoch_ms(max(ts)) - epoch_ms(min(ts)) > 36000000 AS runaway FROM st GROUP BY 1, 2""")
+def _(v: Views) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    days = v.st.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return days.agg((F.count_if("failed") / F.count("*") > 0.5).alias("cascade"), (F.max(ms) - F.min(ms) > 36_000_000).alias("runaway"))
+
+
+@query("t13_metrics_stream", "st", "SELECT event_type, count(*) AS counter, round(sum(latency), 6) AS total FROM st GROUP BY event_type")
+def _(v: Views) -> DataFrame:
+    return jobs.run_complete(jobs.metrics(jobs.event_stream(v.spark, v.folder)), "metrics")
+
+
+@query("t15_deduplicated_stream", "u", "SELECT DISTINCT user_id, k FROM u")
+def _(v: Views) -> DataFrame:
+    return jobs.run_complete(jobs.first_deliveries(jobs.event_stream(v.spark, v.folder)), "deliveries", "append")
+
+
+@query("t17_spans", "att", "SELECT l_orderkey AS span_id, count(*) AS children, round(sum(latency), 6) AS child_time, max(latency) AS longest, bool_or(reason = 'R') AS failed FROM att GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    """A span's children by its id."""
+    child = v.fb.select("id", F.explode("attempts").alias("a")).groupBy(F.col("id").alias("span_id"))
+    return child.agg(F.count("*").alias("children"), F.round(F.sum("a.latency"), 6).alias("child_time"), F.max("a.latency").alias("longest"), F.bool_or(F.col("a.reason") == "R").alias("failed"))
+
+
+@query("t18_fallback_chain", "att", """
+WITH f AS (SELECT l_orderkey, min(pos) FILTER (reason = 'N') AS won FROM att GROUP BY 1)
+SELECT l_orderkey AS id, arg_min(provider, (pos, provider)) FILTER (reason = 'N') AS final_provider, CAST(sum(CASE WHEN reason = 'N' THEN 1 WHEN reason = 'R' THEN 2 ELSE 1 END) FILTER (won IS NULL OR pos <= won) AS BIGINT) AS tries,
+  won IS NOT NULL AS success FROM att JOIN f USING (l_orderkey) GROUP BY l_orderkey, won""")
+def _(v: Views) -> DataFrame:
+    """Candidates in order until one works (N); a time-out (R) is tried twice, billing (A) once."""
+    won = F.array_min(F.transform(F.filter("attempts", lambda a: a.reason == "N"), lambda a: a.pos))
+    made = F.filter("attempts", lambda a: F.col("won").isNull() | (a.pos <= F.col("won")))
+    tries = F.aggregate(made, F.lit(0).cast("long"), lambda n, a: n + F.when(a.reason == "R", 2).otherwise(1))
+    rows = v.fb.where(F.size("attempts") > 0).withColumn("won", won)
+    provider = F.get(F.filter("attempts", lambda a: a.reason == "N"), 0)["provider"]
+    return rows.select("id", provider.alias("final_provider"), tries.alias("tries"), F.col("won").isNotNull().alias("success"))
