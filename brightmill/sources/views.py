@@ -56,7 +56,9 @@ def sql_text(value: object) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
-    if isinstance(value, (int, float)):
+    if isinstance(value, float):
+        return f"{value!r}::DOUBLE"
+    if isinstance(value, int):
         return repr(value)
     if isinstance(value, tuple):
         return f"[{', '.join(map(sql_text, value))}]"
@@ -75,7 +77,7 @@ VIEW_SQL = {
     "u": """SELECT event_id, ts, user_id, event_type AS endpoint, value AS response_time, CAST(floor(value * 10) AS BIGINT) AS tokens_used,
         CASE WHEN event_type = 'purchase' THEN CAST(ceil(value / 100) AS BIGINT) ELSE 0 END AS credits_used,
         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
-    "price": sql_values(PRICES, "model_id, tier, cost_in, cost_out"),
+    "price": f"SELECT CAST(model_id AS BIGINT) AS model_id, tier, cost_in, cost_out FROM ({sql_values(PRICES, 'model_id, tier, cost_in, cost_out')})",
     "c": """SELECT u.*, u.k % 5 AS model_id, 'p' || (u.k % 3) AS provider, u.tokens_used - u.tokens_used // 4 AS input_tokens, u.tokens_used // 4 AS output_tokens,
         coalesce(p.tier, 'freemium') AS tier, u.k % 7 = 0 AS cached,
         CASE WHEN p.tier IS NULL OR p.tier = 'free' THEN 0.0::DOUBLE
