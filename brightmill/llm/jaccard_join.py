@@ -6,7 +6,7 @@ least o = ceil(t (n + m) / (1 + t)) of them, so with all shingles in one global
 least l of the first n - o + l of either are shared, for every l up to o.
 
 1. Each class lists the first shingles of its prefix, up to the longest l, as postings. The order comes from
-   a count sketch of fixed size over all texts; it decides cost only, never results.
+   count sketches of fixed size over all texts; it decides cost only, never results.
 2. In each shingle's list the most widespread class is the *leader*. Every class is verified against the
    leaders of its lists, one row a posting; what links forms first components. A large group of near copies
    so needs a star of comparisons instead of all pairs.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightmill.llm.common import SLICE, cut_lineage, slices
@@ -91,25 +91,43 @@ def _chain(words: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; with fewer than k words all of them as one."""
+def text_words(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
     for _, run in slices(texts):
         if len(run) == 1 and len(run[0]) > SLICE:
-            groups = [_text_words(run[0])]
-        else:
-            coded = [t.encode("utf-8", "surrogatepass").lower() for t in run]
-            words, starts = word_hashes(b"\n".join(coded))
-            firsts = np.cumsum([0] + [len(c) + 1 for c in coded])[:-1]
-            groups = np.split(words, np.searchsorted(starts, firsts[1:]))
-        for words in groups:
-            yield np.unique(_chain(words, k if len(words) >= k else len(words))) if len(words) else np.zeros(0, np.uint64)
+            yield _text_words(run[0])
+            continue
+        coded = [t.encode("utf-8", "surrogatepass").lower() for t in run]
+        words, starts = word_hashes(b"\n".join(coded))
+        firsts = np.cumsum([0] + [len(c) + 1 for c in coded])[:-1]
+        yield from np.split(words, np.searchsorted(starts, firsts[1:]))
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k words; with fewer than k words one for all of them."""
+    return _chain(words, min(k, len(words))) if len(words) else np.zeros(0, np.uint64)
+
+
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for words in text_words(texts):
+        yield np.unique(shingle_hashes(words, k))
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-SKETCH_BITS = 18
+SKETCH_BITS = 16
+SHIFT = np.uint64(64 - SKETCH_BITS)
+PARITY_BITS = 512
+
+
+def parity(shingles: np.ndarray) -> list[int]:
+    """For each of 512 cells, whether an odd number of shingles falls into it, as 8 numbers of 64 bits. Two sets differ
+    in at least as many shingles as their parities differ in bits."""
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 class JaccardJoin:
@@ -131,49 +149,64 @@ class JaccardJoin:
         return (shared > 0) & (100 * shared >= self.percent * (total - shared))
 
     def sets(self, docs: DataFrame) -> DataFrame:
-        """doc_id, class (null for the empty set) and n of every row."""
+        """doc_id, class (null for the empty set), n and parity of every row."""
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(digest(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column(1).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32())], ["doc_id", "class", "n"])
+                found = [(digest(s) if len(s) else None, len(s), parity(s)) for s in shingle_sets(batch.column(1).to_pylist(), k)]
+                columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "class", "n", "parity"])
 
-        return docs.mapInArrow(run, "doc_id long, class binary, n int")
+        return docs.mapInArrow(run, "doc_id long, class binary, n int, parity array<long>")
 
-    def counts(self, docs: DataFrame) -> np.ndarray:
-        """How many sets have a shingle in each of 2**SKETCH_BITS cells; of that size for any corpus."""
+    def order(self, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Levels that put rare shingles first: of a shingle's cell, if that is far above the other cells, and of
+        each of its words' cells. Both come from counts over all texts in 2**SKETCH_BITS cells, whatever the corpus
+        is. Levels are whole numbers, so that all machines agree on the order."""
         k, cells = self.k, 1 << SKETCH_BITS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(cells, np.int64)
+            total = np.zeros(2 * cells, np.int64)
             for batch in batches:
                 for a in range(0, len(batch), 1000):
-                    cell = [s >> np.uint64(64 - SKETCH_BITS) for s in shingle_sets(batch.column(1)[a : a + 1000].to_pylist(), k)]
-                    total += np.bincount(np.concatenate(cell).astype(np.int64), minlength=cells)
+                    words = list(text_words(batch.column(1)[a : a + 1000].to_pylist()))
+                    sets = [np.unique(shingle_hashes(w, k)) >> SHIFT for w in words]
+                    total[:cells] += np.bincount(np.concatenate(sets).astype(np.int64), minlength=cells)
+                    total[cells:] += np.bincount((np.concatenate(words) >> SHIFT).astype(np.int64), minlength=cells)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["cell", "n"])
 
-        out = np.zeros(cells, np.int64)
+        out = np.zeros(2 * cells, np.int64)
         found = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-        return out
+        sets, words = out[:cells].astype(float), out[cells:].astype(float)
+        middle = np.median(sets)
+        spread = max(1.4826 * float(np.median(np.abs(sets - middle))), math.sqrt(middle), 1.0)
+        excess = np.maximum(sets - middle, 1)
+        heavy = np.where(excess > 6 * spread, 1 + np.round(4 * np.log2(excess)), 0)
+        return heavy.astype(np.int64), np.round(16 * np.log2(1 + words)).astype(np.int64)
 
     def postings(self, docs: DataFrame) -> DataFrame:
         """token, class, n, pos (from 1) and spread (1) of each class's prefix, once a task."""
         k, smallest, extra = self.k, self.smallest, self.most_matches
-        order = docs.sparkSession.sparkContext.broadcast(self.counts(docs))
+        order = docs.sparkSession.sparkContext.broadcast(self.order(docs))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
+            heavy, level = order.value
             for batch in batches:
                 tokens, classes, sizes, places = [], [], [], []
-                for s in shingle_sets(batch.column(1).to_pylist(), k):
+                for words in text_words(batch.column(1).to_pylist()):
+                    s, first = np.unique(shingle_hashes(words, k), return_index=True)
                     if not len(s) or (d := digest(s)) in seen:
                         continue
                     seen.add(d)
                     length = min(len(s), len(s) - smallest(len(s)) + extra)
-                    rank = np.lexsort((s, order.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
+                    sums = np.concatenate(([0], np.cumsum(level[(words >> SHIFT).astype(np.int64)])))
+                    width = min(k, len(words))
+                    rare = (sums[width:] - sums[:-width])[first] + (heavy[(s >> SHIFT).astype(np.int64)] << 20)
+                    rank = np.lexsort((s, rare))[:length]
                     tokens.append(s[rank].astype(np.int64))
                     classes += [d] * length
                     sizes.append(np.full(length, len(s), np.int32))
@@ -194,16 +227,27 @@ class JaccardJoin:
         one = one.withColumns({
             "probe": F.greatest(F.lit(1), pos - (n - self.smallest_column(n))).cast("int"), "index": F.greatest(F.lit(1), pos - (n - self.overlap(2 * n))).cast("int"),
         })
-        lead = one.groupBy("token").agg(F.max(F.struct("spread", "class", "n")).alias("lead"), F.count("*").alias("length")).where("length > 1")
-        return one.join(lead, "token").select("token", "class", "n", "pos", "probe", "index", "length", F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n"))
+        # a window instead of a join with the counts: the postings are shuffled once, and long lists spill
+        of_token = Window.partitionBy("token")
+        lead = F.max(F.struct("spread", "class", "n")).over(of_token)
+        listed = one.withColumns({"length": F.count("*").over(of_token), "lead": lead}).where("length > 1")
+        return listed.select("token", "class", "n", "pos", "probe", "index", "length", F.col("lead.class").alias("lead"), F.col("lead.n").alias("lead_n"))
 
     def smallest_column(self, n: Column) -> Column:
         return F.ceil(n * self.percent / 100 - 1e-9)
 
     def verified(self, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that link, by their whole sets."""
+        """Those of the pairs (a, b) of classes that link, by their whole sets.
+
+        First their parities rule out pairs that differ in too many shingles; this never rules out a link."""
         k = self.k
         pairs = cut_lineage(pairs)
+        known = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("parity").alias("parity"))
+        side = lambda x: known.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+        differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        total = F.col("na") + F.col("nb")
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= total - 2 * self.overlap(total)).select("a", "b")
+        pairs = cut_lineage(near)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         # one row of each class: the texts that are read again
         chosen = cut_lineage(sets.join(needed, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "class"))
@@ -239,6 +283,8 @@ class JaccardJoin:
 
     def cross_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Candidates between different components of `labels` (node, label)."""
+        # in a list of two, one is the leader: that pair has been verified
+        lists = lists.where("length > 2")
         known = lists.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         known = cut_lineage(known.join(self.matches(lists), "class"))
         mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
