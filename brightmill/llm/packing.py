@@ -51,7 +51,7 @@ class WordTokenizer:
     table of two generations, since tokenising is the main cost and words repeat. The merges of a new word are
     done by tiktoken on the file's vocabulary, with a byte that UTF-8 never has as the word's end."""
 
-    def __init__(self, path: str, capacity: int = 500_000):
+    def __init__(self, path: str, capacity: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -71,15 +71,23 @@ class WordTokenizer:
         core = token.removesuffix("</w>")
         return bytes(_BYTE_OF[c] for c in core) + (_END if core != token else b"")
 
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array([i for piece in _PIECES.findall(word) for i in self.merge(piece.encode() + _END)], "<u4").tobytes()
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(self.known) >= self.capacity:
             self.older, self.known = self.known, {}
         self.known[word] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a run without white space; most new ones are a known word and a mark."""
+        ids = self.older.get(word)
+        if ids is None:
+            pieces = _PIECES.findall(word)
+            if len(pieces) == 1:
+                ids = np.array(self.merge(word.encode() + _END), "<u4").tobytes()
+            else:
+                ids = b"".join([self.known.get(p) or self._word(p) for p in pieces])
+        return self._keep(word, ids)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
