@@ -79,7 +79,8 @@ def find_contaminated(
         shared = F.size(F.array_intersect(shingles(F.col("__words"), size), F.col("__tests")))
         found.append(met.select("doc_id", "item_id", shared.alias("n_shared"), F.size("__tests").alias("n_item")))
     if not found:
-        return docs.select("doc_id").crossJoin(tests.select("item_id")).limit(0).selectExpr("doc_id", "item_id", "0L n_shared", "0L n_item", "0D containment")
+        kind = tests.schema["item_id"].dataType.simpleString()
+        return docs.where(F.lit(False)).selectExpr("doc_id", f"cast(null as {kind}) item_id", "0L n_shared", "0L n_item", "0D containment")
     out = reduce(DataFrame.unionByName, found).where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
     return best.select(
