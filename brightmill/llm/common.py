@@ -13,7 +13,7 @@ from brightmill.session import ship_package
 
 #: Bytes of one batch between the JVM and a Python worker. With long texts, batches of Spark's default size
 #: take several times their size in either process.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -233,7 +233,6 @@ def pack(waiting: Waiting, limits: Limits, last: bool, cutting: bool = True) ->
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _PIECES_SCHEMA = pa.schema([(p.split()[0], pa.int64()) for p in PIECES.split(", ")])
-_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def pack_documents(
@@ -250,9 +249,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer_path not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer_path] = WordTokenizer(tokenizer_path)
-        tokenizer = _TOKENIZERS[tokenizer_path]
+        tokenizer = WordTokenizer(tokenizer_path)  # one a task: a worker process goes on to other stages, whose memory its tables would take
         sequence = TaskContext.get().partitionId() << 40
         waiting = Waiting(limits)
         docs: dict[int, list] = {}  # number -> [doc_id, ids, tokens not placed yet]
