@@ -11,9 +11,9 @@ least l of the first n - o + l of either are shared, for every l up to o.
    leaders of its lists, one row a posting; what links forms first components. A large group of near copies
    so needs a star of comparisons instead of all pairs.
 3. Each class chooses l by the estimated cost of its candidates from its lists' lengths: a longer prefix with
-   more matches wanted, where its lists are long. Lists are joined within size classes; pairs that are in one
-   component already, or fail the size and position bounds, are left out; a pair with l matches is verified.
-   Lists all of whose classes are in one component take no part.
+   more matches wanted, where its lists are long. Lists are joined; pairs that are in one component already, or
+   fail the size and position bounds, are left out; a pair with l matches is verified. Lists all of whose classes
+   are in one component take no part.
 4. Links of both rounds give the components: minimum labels over the links, with pointer jumping.
 
 Every link between classes of different components is found, so the components are those of the full join.
@@ -221,7 +221,9 @@ class JaccardJoin:
 
         `probe` and `index` are the smallest l for which the posting is in the class's prefix towards smaller or
         equal sets, and towards equal or larger ones."""
-        raw = self.postings(docs).repartition("token")
+        # postings are of the order of the texts, but a window needs them sorted: small partitions keep a task's memory low
+        parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        raw = self.postings(docs).repartition(parts, "token")
         one = raw.groupBy("token", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.count("*").alias("spread"))
         n, pos = F.col("n"), F.col("pos")
         one = one.withColumns({
@@ -242,15 +244,18 @@ class JaccardJoin:
         First their parities rule out pairs that differ in too many shingles; this never rules out a link."""
         k = self.k
         pairs = cut_lineage(pairs)
-        known = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").groupBy("class").agg(F.min("n").alias("n"), F.min("parity").alias("parity"))
+        # doc_id: of each class one text is enough to read its set again
+        known = cut_lineage(
+            sets.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class")
+            .groupBy("class").agg(F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("doc_id").alias("doc_id"))
+        )
         side = lambda x: known.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
         differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         total = F.col("na") + F.col("nb")
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= total - 2 * self.overlap(total)).select("a", "b")
         pairs = cut_lineage(near)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        # one row of each class: the texts that are read again
-        chosen = cut_lineage(sets.join(needed, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "class"))
+        chosen = cut_lineage(known.join(needed, "class").select("doc_id", "class"))
         keys = chosen.select(F.col("doc_id").alias("__id")).distinct()
         keys = F.broadcast(keys) if keys.count() <= self.broadcast_rows else keys
 
@@ -285,19 +290,14 @@ class JaccardJoin:
         """Candidates between different components of `labels` (node, label)."""
         # in a list of two, one is the leader: that pair has been verified
         lists = lists.where("length > 2")
-        known = lists.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        known = cut_lineage(known.join(self.matches(lists), "class"))
+        known = lists.select("token", "class", "n", "pos", "probe", "index").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+        known = cut_lineage(known.withColumn("label", F.coalesce("label", "class")).join(self.matches(lists), "class"))
         mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
         known = known.join(mixed, "token")
-        width = -math.log(self.percent / 100) / 4
-        n, pos, l = F.col("n"), F.col("pos"), F.col("l")
-        size_class = lambda c: F.floor(F.log(c.cast("double")) / width + 1e-9).cast("int")
-        index = known.where(F.col("index") <= self.most_matches).select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("index").alias("ib"), F.col("label").alias("lb"), size_class(n).alias("size"))
-        floor_of = lambda c: F.greatest(self.smallest_column(n), F.floor(F.exp((c - 1e-6) * width)))
-        reach = F.filter(F.sequence(size_class(self.smallest_column(n)), size_class(n)), lambda c: pos <= n - self.overlap(n + floor_of(c)) + l)
-        probe = known.where(F.col("probe") <= l).select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), l.alias("la"), F.col("label").alias("ca"), F.explode(reach).alias("size"))
+        index = known.where(F.col("index") <= self.most_matches).select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("index").alias("ib"), F.col("label").alias("lb"))
+        probe = known.where(F.col("probe") <= F.col("l")).select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("l").alias("la"), F.col("label").alias("ca"))
         na, nb, wanted = F.col("na"), F.col("nb"), self.overlap(F.col("na") + F.col("nb"))
-        met = probe.join(index, ["token", "size"]).where(
+        met = probe.join(index, "token").where(
             (F.col("ca") != F.col("lb")) & (F.col("ib") <= F.col("la")) & ((nb < na) | ((nb == na) & (F.col("b") < F.col("a")))) & (nb * 100 >= na * self.percent)
             & (F.col("pa") <= na - wanted + F.col("la")) & (F.col("pb") <= nb - wanted + F.col("la"))
         )
