@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightmill.llm.common import cut_lineage
+
 BASE, PRIME = 31, 4_294_967_291  # of the rolling hash
 _SHIFT = 1 << 31  # a chunk is coded as start * 2^31 + end
 
@@ -59,13 +61,13 @@ def _content(lines: Column, code: Column) -> Column:
     return F.slice(lines, _start(code) + 1, _end(code) - _start(code))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int = 50) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int = 50, broadcast_codes: int = 1_000_000) -> DataFrame:
     """All rows and columns of `df` with repeated chunks taken out of `text`; adds `removed_chunks` and
     `removed_lines` (long).
 
     Null texts stay null; chunks without a visible character are never removed; rows with equal id and text
     count as one document, so a chunk's first occurrence stays in each of them. A text of which nothing is left
-    becomes empty, and its row stays.
+    becomes empty, and its row stays. What is removed is broadcast while it has at most `broadcast_codes` numbers of 8 bytes.
     """
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.col(text)).alias("__text_hash")]
     base = _with_chunks(df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text")), "__text", long_words)
@@ -79,7 +81,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_
     place = F.struct("__id", "__text_hash", "__code")
     first = held.groupBy("__chunk_hash", "__chunk").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where("__first != __last")
     again = held.join(first, ["__chunk_hash", "__chunk"]).where(place != F.col("__first")).select("__id", "__text_hash", "__code")
-    removed = again.groupBy("__id", "__text_hash").agg(F.collect_set("__code").alias("__removed"))
+    removed = cut_lineage(again.groupBy("__id", "__text_hash").agg(F.collect_set("__code").alias("__removed")))
+    # the texts are shuffled to meet their removed chunks, but where those are few: their codes are counted
+    codes = removed.agg(F.sum(F.size("__removed") + 3)).first()[0] or 0
+    removed = F.broadcast(removed) if codes <= broadcast_codes else removed
     joined = df.withColumns({"__id": key[0], "__text_hash": key[1]}).join(removed, ["__id", "__text_hash"], "left")
     joined = _with_chunks(joined, text, long_words)
     kept = F.array_except("__chunks", "__removed")

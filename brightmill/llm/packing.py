@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from brightmill.llm.common import release_memory
+
 END_ID = 2
 
 # The pre-tokenisation of the word vocabulary (fixed values, from its tokenizer file), for texts within Latin
@@ -298,5 +300,7 @@ def pack_documents(
                 if waiting.tokens >= window_tokens:
                     yield from rows(last=False)
         yield from rows(last=True)
+        del tokenizer
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, PIECES + (", ids array<long>" if ids else ""))
