@@ -32,8 +32,8 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a score of 0.3 or more, learned from the labels outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    known = docs.where(doc_remainder(F.col("doc_id"), 5) != 0).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    features = known.select("doc_id", quality.feature_column().alias("features"))
+    # statistics before the join: they are far smaller than the texts, which so are not shuffled
+    features = docs.where(doc_remainder(F.col("doc_id"), 5) != 0).select("doc_id", quality.feature_column().alias("features"))
     model = quality.fit(features.join(labels, "doc_id"))
     return docs.withColumn("__score", quality.score_text_column(docs, model)).where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
 
