@@ -8,6 +8,10 @@ A line of `long_words` or more words is a chunk of its own.
 Chunks of two or more lines, and such long lines, that occur more than once in the corpus are removed but
 for their first occurrence (by doc_id, text digest and place). Repeats are first counted by 64-bit hash;
 only chunks with a repeated hash bring their bytes to a shuffle, where equality of the bytes decides.
+
+A chunk at a passage's edge mixes with the lines around it, so chunks alone leave most short passages in place.
+`dedup_passages` finds each repeated passage of 50 or more words whole: units are lines, cut further at ends of
+sentences, and each shortest run of units that reaches 50 words is compared, whichever unit it starts or ends with.
 Only DataFrame functions are used.
 """
 
@@ -95,3 +99,64 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_
         "removed_chunks": F.when(gone, F.size("__removed")).otherwise(0).cast("long"),
         "removed_lines": F.when(gone, F.size("__lines") - F.size(lines)).otherwise(0).cast("long"),
     }).select(*[c for c in df.columns if c not in ("removed_chunks", "removed_lines")], "removed_chunks", "removed_lines")
+
+
+def _one_row(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with a generator of one row around the columns `names`, as in _with_chunks."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("__parts")).select(*others, *[F.col(f"__parts.{n}").alias(n) for n in names])
+
+
+def _units(text: Column) -> Column:
+    """Lines cut after each full stop, exclamation or question mark with a blank; joined they are the text again."""
+    return F.split(text, r"(?<=\n)|(?<=[.!?] )")
+
+
+def _windows(df: DataFrame, text: str, words: int) -> DataFrame:
+    """Rows of `df` but `text`, with __code [start, end) and two hashes for each shortest run of units that has `words` words:
+    the one from each unit on and the one up to each unit, so that a passage's own runs cover it to both edges."""
+    owner = F.flatten(F.transform("__units", lambda u, i: F.array_repeat(i, F.regexp_count(u, F.lit(r"\S+")))))  # each word's unit
+    out = _one_row(df.withColumn("__units", _units(F.col(text))).drop(text), "__units")
+    out = _one_row(out.withColumn("__owner", owner), "__units", "__owner").where(F.size("__owner") >= words)
+    last = F.size("__owner") - 1
+    run = lambda a, b: F.get("__owner", a).cast("long") * _SHIFT + F.get("__owner", b) + 1
+    starts = F.filter(F.sequence(F.lit(0), last - (words - 1)), lambda w: (w == 0) | (F.get("__owner", w) != F.get("__owner", w - 1)))
+    ends = F.filter(F.sequence(F.lit(words - 1), last), lambda w: (w == last) | (F.get("__owner", w) != F.get("__owner", w + 1)))
+    codes = F.array_union(F.transform(starts, lambda w: run(w, w + (words - 1))), F.transform(ends, lambda w: run(w - (words - 1), w)))
+    out = _one_row(out.withColumn("__codes", codes), "__units", "__codes")
+    out = _one_row(out.withColumn("__contents", F.transform("__codes", lambda c: F.array_join(_content(F.col("__units"), c), ""))).drop("__units"), "__codes", "__contents")
+    digest = lambda x: F.conv(F.substring(F.sha2(x, 256), 1, 15), 16, 10).cast("long")
+    found = F.transform("__contents", lambda x, i: F.struct(F.get("__codes", i).alias("__code"), F.xxhash64(x).alias("__h1"), digest(x).alias("__h2")))
+    out = out.withColumn("__found", found).drop("__codes", "__contents")
+    return out.select(*[c for c in out.columns if c != "__found"], F.explode_outer("__found").alias("__w")).select(*[c for c in out.columns if c != "__found"], "__w.*")
+
+
+def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50, broadcast_codes: int = 1_000_000) -> DataFrame:
+    """All rows and columns of `df` with repeated passages taken out of `text`; adds `removed_passages` (long).
+
+    A passage is a run of whole units of `words` or more words that stands, with equal bytes, before (by doc_id, text
+    digest and place); within one document copies that overlap the first one stay. All its units go, so at least one copy of
+    every unit is left. Equality is that of 124 bits, of two hashes of the bytes. Rows of equal id and text count as one document.
+    """
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.col(text)).alias("__text_hash")]
+    runs = _windows(df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text")), "__text", words)
+    place = F.struct("__id", "__text_hash", "__code")
+    first = runs.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where("__first != __last").drop("__last")
+    apart = (F.col("__id") != F.col("__first.__id")) | (F.col("__text_hash") != F.col("__first.__text_hash")) | (_start(F.col("__code")) >= _end(F.col("__first.__code")))
+    again = runs.join(first, ["__h1", "__h2"]).where(apart & (place != F.col("__first")))
+    codes = again.groupBy("__id", "__text_hash").agg(F.sort_array(F.collect_set("__code")).alias("__codes"))
+    codes = _one_row(codes, "__codes")
+    # runs that touch are one range; in this order ends never fall, as every run is the shortest from its start or to its end
+    starts = F.filter("__codes", lambda c, i: (i == 0) | (_end(F.get("__codes", i - 1)) < _start(c)))
+    ends = F.filter("__codes", lambda c, i: (i == F.size("__codes") - 1) | (_end(c) < _start(F.get("__codes", i + 1))))
+    ranges = F.zip_with(starts, ends, lambda a, b: _start(a).cast("long") * _SHIFT + _end(b))
+    removed = cut_lineage(codes.select("__id", "__text_hash", ranges.alias("__ranges")))
+    few = (removed.agg(F.sum(F.size("__ranges") + 3)).first()[0] or 0) <= broadcast_codes
+    joined = df.withColumns({"__id": key[0], "__text_hash": key[1]}).join(F.broadcast(removed) if few else removed, ["__id", "__text_hash"], "left")
+    kept = F.filter(_units(F.col(text)), lambda _, i: ~F.exists("__ranges", lambda r: (_start(r) <= i) & (i < _end(r))))
+    gone = F.col("__ranges").isNotNull()
+    out = joined.withColumns({
+        text: F.when(gone, F.array_join(kept, "")).otherwise(F.col(text)),
+        "removed_passages": F.when(gone, F.size("__ranges")).otherwise(0).cast("long"),
+    }).select(*[c for c in df.columns if c != "removed_passages"], "removed_passages")
+    return out if few else cut_lineage(out)

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next stage's docs. All but the last return the columns of documents:
 
 1. quality: documents that the classifier rejects go;
-2. lines: repeated multi-line chunks are cut out; a document of which nothing is left goes;
+2. lines: repeated passages of 50 or more words and repeated multi-line chunks are cut out; a document of which nothing
+   is left goes;
 3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays;
 4. decontaminate: documents that hold a benchmark item go;
 5. pack: what is left is packed into sequences.
@@ -39,10 +40,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out repeated chunks and drops documents of which nothing visible is left. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    left = (F.col("removed_chunks") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")
-    n_chars = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    """Cuts out repeated passages, then repeated chunks, and drops documents of which nothing visible is left. n_chars follows the text."""
+    out = line_dedup.dedup_lines(line_dedup.dedup_passages(docs))
+    cut = F.col("removed_passages") + F.col("removed_chunks") > 0
+    left = ~cut | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")
+    n_chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 

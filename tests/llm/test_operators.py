@@ -398,3 +398,62 @@ def test_line_dedup_odd_rows(docs, empty):
     assert out.count() == docs.count() and out.columns.count("removed_lines") == 1
     assert {r.doc_id for r in out.where("text is null").collect()} == {5, None}
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def brute_passages(rows, words=50):
+    cut = [re.split(r"(?<=\n)|(?<=[.!?] )", text) for _, text in rows]
+    first, gone = {}, [set() for _ in rows]
+    for d, units in enumerate(cut):
+        n = [len(u.split()) for u in units]
+        runs = [(i, j) for i in range(len(n)) for j in range(i + 1, min(len(n), i + 2 * words) + 1) if n[i] and n[j - 1] and sum(n[i:j]) >= words]
+        for i, j in runs:
+            if sum(n[i : j - 1]) < words or sum(n[i + 1 : j]) < words:  # the shortest from its start or to its end
+                at, end = first.setdefault(tuple(units[i:j]), ((d, i), j))
+                if at != (d, i) and (at[0] != d or i >= end):
+                    gone[d] |= set(range(i, j))
+    return [(r[0], "".join(u for i, u in enumerate(units) if i not in g)) for r, units, g in zip(rows, cut, gone, strict=True)]
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(29)
+    sentence = lambda: prose(rng, rng.randrange(1, 25)) + rng.choice([". ", "! ", "\n", "\n\n", ".\n"])
+    passages = [[sentence() for _ in range(rng.randrange(3, 12))] for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = [[sentence()] for _ in range(rng.randrange(0, 8))]
+        for _ in range(rng.randrange(0, 3)):
+            p = rng.choice(passages)
+            parts.insert(rng.randrange(len(parts) + 1), p[rng.randrange(2) :])
+        rows.append((i, "".join(map("".join, parts))))
+    rows += [(40, "same line\n" * 500), (41, "same line\n" * 60)]
+    for limit in (1_000_000, 0):
+        out = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), broadcast_codes=limit)
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == brute_passages(rows)
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_planted_passages_go_whole(spark, inside):
+    """Passages of 2 to 8 lines, or of sentences inside a line, of over 50 words, with foreign text around at shifted places."""
+    rng = random.Random(31)
+    corpus, rows = [], []
+    for n in range(2, 9):
+        for _ in range(6):
+            corpus.append([prose(rng, 60 // n + rng.randrange(1, 4)) + "." for _ in range(n)])
+    join = " " if inside else "\n"
+    for copy in range(2):
+        for i, p in enumerate(corpus):
+            around = [[prose(rng, rng.randrange(3, 9)) + "." for _ in range(rng.randrange(1, 5))] for _ in range(2)]
+            rows.append((copy * 1000 + i, join.join(around[0] + p + around[1]), join.join(around[0] + around[1])))
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t, _ in rows], DOCS.split(", score")[0])
+    got = {r.doc_id: r for r in pipeline.lines_stage(spark, df, "").collect()}
+    for d, whole, rest in rows:
+        assert got[d].text == (rest if d >= 1000 else whole)
+        assert got[d].n_chars == len(got[d].text)
+
+
+def test_passages_odd_rows(docs, empty):
+    out = line_dedup.dedup_passages(docs)
+    assert out.columns == [*docs.columns, "removed_passages"] and out.count() == docs.count()
+    assert {r.doc_id for r in out.where("text is null").collect()} == {5, None}
+    assert line_dedup.dedup_passages(empty).count() == 0
