@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,9 +69,35 @@ def duration_text(seconds: Column) -> Column:
     return F.when(whole < 60, F.format_string("%ds", whole)).when(whole < 3600, F.format_string("%dm %ds", minutes, whole % 60)).otherwise(F.format_string("%dh %dm", hours, minutes))
 
 
+def ago_text(seconds: Column) -> Column:
+    """`Just now`, `5m ago`, `3h ago` or `2d ago`."""
+    whole = seconds.cast("long")
+    return (
+        F.when(whole < 60, "Just now").when(whole < 3600, F.format_string("%dm ago", F.floor(whole / 60))).when(whole < 86400, F.format_string("%dh ago", F.floor(whole / 3600)))
+        .otherwise(F.format_string("%dd ago", F.floor(whole / 86400)))
+    )
+
+
+def relative_time(seconds: Column) -> Column:
+    """`just now`, then minutes, hours and days in words; null from a week on, where a date is shown."""
+    whole = seconds.cast("long")
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    minutes, hours, days = F.floor(whole / 60), F.floor(whole / 3600), F.floor(whole / 86400)
+    return F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "minute")).when(hours < 24, said(hours, "hour")).when(days < 7, said(days, "day"))
+
+
 def size_text(size: Column) -> Column:
-    kb, mb = size / 1024, size / 1024 / 1024
-    return F.when(size < 1024, F.concat(size, F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_number(kb, "0.0"), F.lit(" KB"))).otherwise(F.concat(F.format_number(mb, "0.0"), F.lit(" MB")))
+    """Bytes in the largest unit below, with up to two decimals."""
+    power = reduce(lambda out, i: F.when(size >= 1024**i, i).otherwise(out), (1, 2, 3), F.lit(0))
+    value = round_up(size / F.pow(F.lit(1024.0), power), 2)
+    number = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    return F.concat(F.when(size == 0, "0").otherwise(number), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), power + 1))
+
+
+def clamp_column(text: Column, least: int, most: int, default: int) -> Column:
+    """A parameter's leading integer within bounds; without one, or 0, the default."""
+    number = F.regexp_extract(F.trim(text), r"^[+-]?[0-9]+", 0).try_cast("long")
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(F.nullif(number, F.lit(0)), F.lit(default)))).cast("long")
 
 
 def backoff_ms(attempt: Column, base: float = 1000, most: float = 30000) -> Column:
@@ -82,6 +110,14 @@ def cooldown_ms(failures: Column) -> Column:
     return F.least(F.lit(300000.0), 30000 * F.pow(F.lit(2.0), failures)).cast("long")
 
 
+def key_cooldown(reason: Column, streak: Column, retry_after: Column, reset: Column) -> Column:
+    """Milliseconds that a failed key waits, after `streak` failures in a row; null after a time-out."""
+    limited = F.rlike(reason, F.lit(r"(?i)rate.?limit|429|RESOURCE_EXHAUSTED|quota"))
+    return (
+        F.when(F.rlike(reason, F.lit("(?i)timeout|timed out")), F.lit(None)).when(retry_after > 0, retry_after).when(limited, F.coalesce(reset, F.lit(60000))).otherwise(cooldown_ms(streak)).cast("long")
+    )
+
+
 def tool_budget(context: Column) -> Column:
     """Characters for a tool result: 30 % of the context at 4 characters a token, 2000 to 20000."""
     return F.greatest(F.lit(2000), F.least(F.floor(context * 0.3 * 4), F.lit(20000))).cast("long")

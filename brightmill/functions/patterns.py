@@ -5,6 +5,7 @@ Word boundaries and `\\s` are the ASCII ones in ECMAScript terms; Java's `\\b` i
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,7 +56,11 @@ SPANISH = r"(?i)\b(hola|por favor|gracias|cómo|qué|dime|puedes)\b"
 
 
 def java(pattern: str) -> str:
-    return pattern.replace(r"\b", _BOUNDARY)
+    """With ASCII boundaries. Beside a word character one look is enough: before a letter or a group of words, and
+    behind them. Patterns whose words may begin or end with another character keep both."""
+    if not pattern.isascii() or "[.):]" in pattern:
+        return pattern.replace(r"\b", _BOUNDARY)
+    return re.sub(r"\\b(?=[(\w])", lambda _: r"(?<!\w)", pattern).replace(r"\b", r"(?!\w)")
 
 
 def hits(text: Column, patterns: tuple[str, ...]) -> Column:

@@ -11,9 +11,8 @@ from brightmill.functions import patterns as P
 from brightmill.functions.numeric import estimate_tokens
 
 
-def complexity_score(text: Column, depth: Column) -> Column:
-    """0 to 100 from the length, pattern families, the conversation's depth and multi-part phrasing."""
-    message = F.trim(text)
+def complexity_score(message: Column, depth: Column) -> Column:
+    """0 to 100 from the trimmed message's length, pattern families, the conversation's depth and multi-part phrasing."""
     tokens = estimate_tokens(message)
     length = F.when(tokens <= 10, 0).when(tokens <= 30, 5).when(tokens <= 100, 10).otherwise(15)
     capped = [F.least(P.hits(message, family) * weight, F.lit(most)) for family, weight, most in ((P.CODE, 8, 25), (P.REASONING, 10, 25), (P.TOOL, 3, 5), (P.MATH, 8, 15), (P.CREATIVE, 5, 10))]
@@ -77,15 +76,19 @@ def clean_title(text: Column) -> Column:
     return F.when((F.length(title) > 0) & (F.length(title) < 100), title)
 
 
+_BRANDED = "(?:BRAND_)?"
+
+
 def strip_platform_tags(text: Column, platform: str) -> Column:
     """Without the tags that the other platform draws."""
-    block = lambda t, name: F.regexp_replace(t, rf"(?s)\[{name}[^\]]*\].*?\[/{name}\]\s*", "")
-    single = lambda t, name: F.regexp_replace(t, rf"\[{name}[^\]]*\]", "")
+    # tags may bear a brand's name in front
+    block = lambda t, name: F.regexp_replace(t, rf"(?s)\[{_BRANDED}{name}[^\]]*\].*?\[/{_BRANDED}{name}\]\s*", "")
+    single = lambda t, name: F.regexp_replace(t, rf"\[{_BRANDED}{name}[^\]]*\]", "")
     if platform == "chat":
         out = reduce(block, ("COMPACTLIST", "BANNER", "COMPARISON", "TIMELINE"), text)
-        return F.trim(F.regexp_replace(reduce(single, ("IMAGE", "CREDIBILITY"), out), r"(?is)\[TITLE[^\]]*\].*?\[/TITLE\]\s*", ""))
-    out = F.regexp_replace(F.regexp_replace(text, r"\[REACT:[^\]]+\]\s*", ""), r"\[TGIMAGE[^\]]*\]\s*", "")
-    return F.trim(F.regexp_replace(block(out, "TGLINKS"), r"\[TGDOC[^\]]*\]\s*", ""))
+        return F.trim(F.regexp_replace(reduce(single, ("IMAGE", "CREDIBILITY"), out), rf"(?is)\[{_BRANDED}TITLE[^\]]*\].*?\[/{_BRANDED}TITLE\]\s*", ""))
+    out = F.regexp_replace(F.regexp_replace(text, rf"\[{_BRANDED}REACT:[^\]]+\]\s*", ""), rf"\[{_BRANDED}TGIMAGE[^\]]*\]\s*", "")
+    return F.trim(F.regexp_replace(block(out, "TGLINKS"), rf"\[{_BRANDED}TGDOC[^\]]*\]\s*", ""))
 
 
 def visible_text(text: Column) -> Column:
@@ -150,11 +153,28 @@ def plan_tier(name: Column) -> Column:
     return F.when(name.isNull(), "free").when(has("enterprise"), "enterprise").when(has("ultra", "business"), "business").when(has("max", "pro+", "pro plus", "proplus"), "pro_plus").otherwise("pro")
 
 
-def client_ip(forwarded: Column) -> Column:
-    """The first address of a forwarding header, without port, brackets and IPv4 mapping; null if blank."""
-    first = F.trim(F.element_at(F.split(forwarded, ","), 1))
-    bare = F.when(F.startswith(first, F.lit("[")), F.regexp_extract(first, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(first, r"^(\d+\.\d+\.\d+\.\d+):\d+$", "$1"))
-    return F.nullif(F.regexp_replace(F.lower(bare), "^::ffff:", ""), F.lit(""))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def plain_ip(address: Column) -> Column:
+    """Trimmed, in lower case, without IPv4 mapping; null if blank."""
+    return F.regexp_replace(F.lower(F.nullif(F.trim(address), F.lit(""))), "^::ffff:", "")
+
+
+def header_ip(address: Column) -> Column:
+    """An address of a header, also without brackets and port; null if blank."""
+    bare = F.trim(address)
+    bare = F.when(F.rlike(bare, F.lit(r"^\[[^\]]*\]")), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, rf"^({_OCTET}(?:\.{_OCTET}){{3}}):[^:]*$", "$1"))
+    return plain_ip(bare)
+
+
+def client_ip(remote: Column, forwarded: Column, real: Column, trusted: Column) -> Column:
+    """The client's address. Only a trusted proxy's headers count, the first forwarded address before the real one; with
+    no proxies named, the forwarding header is trusted. Without a remote address there is none."""
+    own, first = plain_ip(remote), header_ip(F.element_at(F.split(forwarded, ","), 1))
+    known = F.exists(trusted, lambda p: F.coalesce(plain_ip(p) == own, F.lit(False)))
+    behind = F.when(F.coalesce(F.size(trusted), F.lit(0)) <= 0, F.coalesce(first, own)).when(known, F.coalesce(first, header_ip(real), own)).otherwise(own)
+    return F.when(own.isNotNull(), behind)
 
 
 def is_loopback(ip: Column) -> Column:

@@ -97,21 +97,24 @@ class Breaker:
 
 @dataclass
 class KeyRing:
-    """Rotation of a provider's keys: a failing key goes behind the last, a success brings it back; a key is
-    archived at `most` failures that are no rate limits. The wait counts failures one ahead."""
+    """Rotation of a provider's keys: a failing key goes behind the last one that isn't archived (or behind 999, if
+    there is none with a priority above 0), a success brings it back; a key is archived at `most` failures. Rate limits
+    count as neither failures nor a streak. A time-out needs no wait; else the wait is what the provider asks for, after a
+    rate limit the key's own reset or 60 s, and after other failures doubles with the streak."""
 
     most: int = 25
     keys: dict[int, list] = field(default_factory=dict)  # key -> [priority, original, streak, failures, archived]
 
-    def step(self, key: int, failed: bool, rate_limited: bool) -> dict:
+    def step(self, key: int, failed: bool, rate_limited: bool, timed_out: bool = False, retry_after: int = 0, reset: int = 0) -> dict:
         own = self.keys.setdefault(key, [key, key, 0, 0, False])
         wait = 0
         if failed:
-            own[0] = max(k[0] for k in self.keys.values()) + 1
-            own[2] += 1
+            own[0] = (max((k[0] for k in self.keys.values() if not k[4]), default=0) or 999) + 1
+            own[2] += not rate_limited
             own[3] += not rate_limited
             own[4] = own[4] or own[3] >= self.most
-            wait = 60_000 if rate_limited else min(30_000 * 2 ** min(own[2], 10), 300_000)
+            if not timed_out:
+                wait = retry_after if retry_after > 0 else (reset or 60_000) if rate_limited else min(30_000 * 2 ** min(own[2], 10), 300_000)
         else:
             own[0], own[2] = own[1], 0
         return {"priority": own[0], "cooldown_ms": wait, "archived": own[4]}

@@ -24,3 +24,31 @@ def fitting_suffix(df: DataFrame, keys: list[str], newest_first: list[Column], c
     """The newest rows of a key whose costs fit a budget; costs are positive, so the running sum tells."""
     running = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("__used", running).where(F.col("__used") <= budget).withColumnRenamed("__used", "used")
+
+
+def capped(df: DataFrame, keys: list[str], newest_first: list[Column], cap: int, keep: int) -> DataFrame:
+    """What is left of each key's rows, in order of arrival, if only the last `keep` stay whenever there are more than `cap`.
+
+    Ranks above `cap` are cut before the shuffle (a group limit), so a hot key sends at most `cap` rows a task."""
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))).where(F.col("__rank") <= cap)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    left = F.when(F.col("__n") <= cap, F.col("__n")).otherwise(keep + (F.col("__n") - cap - 1) % (cap - keep + 1))
+    return ranked.join(counts, keys).where(F.col("__rank") <= left).drop("__rank", "__n")
+
+
+def numbered(df: DataFrame, order: str, name: str, buckets: int = 1000) -> DataFrame:
+    """Adds 1, 2, ... in the order of an integer column without repeats.
+
+    Rows are dealt to buckets of equal ranges of the column, numbered there, and lifted by the counts of the buckets
+    before. A row's bucket follows from the row alone, so counting and numbering agree whatever partitions Spark makes;
+    only the column's bounds and the count of each bucket meet in one place."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.withColumn(name, F.lit(1).cast("long"))
+    width = (high - low) // buckets + 1
+    dealt = df.withColumn("__bucket", F.expr(f"({order} - {low}) div {width}"))
+    sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))
+    lifted = dealt.withColumn("__k", within).join(F.broadcast(sizes.select("__bucket", before.alias("__before"))), "__bucket")
+    return lifted.withColumn(name, (F.col("__before") + F.col("__k")).cast("long")).drop("__bucket", "__k", "__before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightmill.functions.numeric import free_saving, round_even, round_up
 from brightmill.operators.aggregates import chargeable, daily, day, fill_days, spent_credits, top, total, weighted
+from brightmill.operators.windows import capped
 from brightmill.plans.catalog import query
 from brightmill.sources.views import Views, as_of, before
 
@@ -85,8 +86,8 @@ def _(v: Views) -> DataFrame:
 SELECT count(*) AS events, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, round(avg(total_latency), 6) AS avg_latency, round(avg(n_attempts), 6) AS avg_attempts,
   CAST(max(n_attempts) AS BIGINT) AS max_attempts FROM fb""")
 def _(v: Views) -> DataFrame:
-    n = F.size("attempts")
-    return v.fb.agg(
+    n = F.col("n_attempts")
+    return v.counted_fallbacks.agg(
         F.count("*").alias("events"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.round(F.avg("total_latency"), 6).alias("avg_latency"),
         F.round(F.avg(n), 6).alias("avg_attempts"), F.max(n).cast("long").alias("max_attempts"),
     )
@@ -95,7 +96,7 @@ def _(v: Views) -> DataFrame:
 @query("a10_top_failure_reasons", "att", """
 SELECT reason, count(*) AS failures, round_even(avg(latency), 0) AS avg_latency FROM att GROUP BY reason ORDER BY failures DESC, reason LIMIT 10""")
 def _(v: Views) -> DataFrame:
-    tries = v.fb.select(F.explode("attempts").alias("a")).groupBy(F.col("a.reason").alias("reason")).agg(F.count("*").alias("failures"), round_even(F.avg("a.latency")).alias("avg_latency"))
+    tries = v.att.groupBy("reason").agg(F.count("*").alias("failures"), round_even(F.avg("latency")).alias("avg_latency"))
     return top(tries, 10, F.desc("failures"), F.asc("reason"))
 
 
@@ -103,8 +104,8 @@ def _(v: Views) -> DataFrame:
 SELECT provider, count(*) AS failures, count(DISTINCT model) AS models, arg_min(reason, (o_orderdate, o_orderkey, pos)) AS first_reason
 FROM att JOIN orders ON o_orderkey = l_orderkey GROUP BY provider ORDER BY failures DESC, provider LIMIT 10""")
 def _(v: Views) -> DataFrame:
-    tries = v.fb.select("ts", "id", F.explode("attempts").alias("a")).groupBy(F.col("a.provider").alias("provider"))
-    found = tries.agg(F.count("*").alias("failures"), F.count_distinct("a.model").alias("models"), F.min_by("a.reason", F.struct("ts", "id", "a.pos")).alias("first_reason"))
+    tries = v.att.join(v.fallbacks.select("id", "ts"), "id").groupBy("provider")
+    found = tries.agg(F.count("*").alias("failures"), F.count_distinct("model").alias("models"), F.min_by("reason", F.struct("ts", "id", "pos")).alias("first_reason"))
     return top(found, 10, F.desc("failures"), F.asc("provider"))
 
 
@@ -113,8 +114,8 @@ SELECT model_class, count(*) AS events, count(*) FILTER (NOT success) AS failure
   round_even(count(*) FILTER (NOT success) / greatest(count(*), 1) * 100, 1) AS failure_rate FROM fb GROUP BY model_class ORDER BY failures DESC, model_class LIMIT 20""")
 def _(v: Views) -> DataFrame:
     bad, n = F.count_if(~F.col("success")), F.count("*")
-    found = v.fb.groupBy("model_class").agg(
-        n.alias("events"), bad.alias("failures"), F.count_if("success").alias("successes"), round_even(F.avg(F.size("attempts")), 1).alias("avg_attempts"),
+    found = v.counted_fallbacks.groupBy("model_class").agg(
+        n.alias("events"), bad.alias("failures"), F.count_if("success").alias("successes"), round_even(F.avg("n_attempts"), 1).alias("avg_attempts"),
         round_even(bad / F.greatest(n, F.lit(1)) * 100, 1).alias("failure_rate"),
     )
     return top(found, 20, F.desc("failures"), F.asc("model_class"))
@@ -261,6 +262,22 @@ def _(v: Views) -> DataFrame:
     return v.table("supplier").select(F.explode(F.array_compact(flags)).alias("issue")).groupBy("issue").agg(F.count("*").alias("keys"))
 
 
+_KEY_FLAGS = "s_acctbal < 0 AS overdrawn, s_nationkey <= 20 AS has_value, s_suppkey % 10 <> 0 AS active"
+
+
+@query("a26_key_rows", "", f"""
+WITH k AS (SELECT s_suppkey AS key_id, s_name AS name, {_KEY_FLAGS} FROM supplier WHERE s_suppkey % 25 <> 0)
+SELECT key_id, overdrawn, has_value, active, list_filter([CASE WHEN NOT has_value THEN 'Key "' || name || '" has no stored key value' END, CASE WHEN NOT active THEN 'Key "' || name || '" is inactive' END], lambda x: x IS NOT NULL) AS issues FROM k""")
+def _(v: Views) -> DataFrame:
+    """Flags and issues of each key that isn't archived."""
+    keys = v.table("supplier").where("s_suppkey % 25 <> 0").select(
+        F.col("s_suppkey").alias("key_id"), F.col("s_name").alias("name"), (F.col("s_acctbal") < 0).alias("overdrawn"), (F.col("s_nationkey") <= 20).alias("has_value"), (F.col("s_suppkey") % 10 != 0).alias("active")
+    )
+    said = lambda what: F.concat(F.lit('Key "'), "name", F.lit(f'" {what}'))
+    issues = F.array_compact(F.array(F.when(~F.col("has_value"), said("has no stored key value")), F.when(~F.col("active"), said("is inactive"))))
+    return keys.select("key_id", "overdrawn", "has_value", "active", issues.alias("issues"))
+
+
 @query("a27_a28_a29_extreme_prices", "price vm", """
 SELECT (SELECT arg_max(model_id, (cost_in, -model_id)) FROM price WHERE cost_in > 0) AS dearest, (SELECT arg_min(id, (multiplier, id)) FROM vm) AS cheapest,
   (SELECT coalesce(min(cost_out::DOUBLE / cost_in::DOUBLE), 1.0) FROM price WHERE cost_in > 0) AS least_ratio""")
@@ -279,6 +296,19 @@ def _(v: Views) -> DataFrame:
     return merged.withColumn("unlimited", F.col("limit_value").isNull())
 
 
+FREE_MODELS = (0, 4)
+
+
+@query("a30_u2_model_union", "sub plan", f"""
+SELECT segment, list_sort(list_distinct(list_concat({list(FREE_MODELS)}::BIGINT[], flatten(list(model_ids::BIGINT[]))))) AS model_ids
+FROM (SELECT DISTINCT s.segment, p.plan_id, p.model_ids FROM sub s JOIN plan p ON p.plan_id = s.plan_id WHERE s.active) GROUP BY segment""")
+def _(v: Views) -> DataFrame:
+    """The free models and those of every active plan of a segment."""
+    plans = v.sub.where("active").select("segment", "plan_id").distinct().join(F.broadcast(v.plan), "plan_id")
+    free = F.array(*(F.lit(x).cast("long") for x in FREE_MODELS))
+    return plans.groupBy("segment").agg(F.array_sort(F.array_distinct(F.concat(free, F.flatten(F.collect_list("model_ids"))))).alias("model_ids"))
+
+
 @query("a31_capability_or", "", """SELECT p_brand, bool_or(p_size > 45) AS large, bool_or(p_type LIKE '%BRASS%') AS brass FROM part GROUP BY p_brand""")
 def _(v: Views) -> DataFrame:
     return v.table("part").groupBy("p_brand").agg(F.bool_or(F.col("p_size") > 45).alias("large"), F.bool_or(F.col("p_type").like("%BRASS%")).alias("brass"))
@@ -303,6 +333,19 @@ def _(v: Views) -> DataFrame:
     return wide.unpivot(["event_type", "sum"], [f"{b:.0f}" for b in BUCKETS] + ["+Inf"], "le", "n")
 
 
+SAMPLE_CAP, SAMPLE_KEEP = 500, 250
+
+
+@query("a33_sample_cap", "st", f"""
+WITH r AS (SELECT event_type, latency, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM st)
+SELECT event_type, count(*) AS samples, count(*) FILTER (latency <= 100) AS fast, round(sum(latency), 6) AS sum FROM r
+WHERE k <= CASE WHEN n <= {SAMPLE_CAP} THEN n ELSE {SAMPLE_KEEP} + (n - {SAMPLE_CAP} - 1) % ({SAMPLE_CAP} - {SAMPLE_KEEP} + 1) END GROUP BY event_type""")
+def _(v: Views) -> DataFrame:
+    """A histogram's samples: whenever there are more than the cap, the last ones are kept."""
+    kept = capped(v.st, ["event_type"], [F.desc("ts"), F.desc("event_id")], SAMPLE_CAP, SAMPLE_KEEP)
+    return kept.groupBy("event_type").agg(F.count("*").alias("samples"), F.count_if(F.col("latency") <= 100).alias("fast"), F.round(F.sum("latency"), 6).alias("sum"))
+
+
 @query("a35_conversation_preview", "m", """
 SELECT conv_id, left(arg_max(text, turn), 100) AS last_message, left(arg_min(text, turn) FILTER (role = 'user'), 50) AS title, count(*) AS messages FROM m GROUP BY conv_id""")
 def _(v: Views) -> DataFrame:
@@ -320,4 +363,4 @@ def _(v: Views) -> DataFrame:
 @query("a37_plan_progress", "fb", """
 SELECT model_class, CAST(floor(100.0 * count(*) FILTER (success) / nullif(count(*), 0) + 0.5) AS BIGINT) AS progress FROM fb GROUP BY model_class""")
 def _(v: Views) -> DataFrame:
-    return v.fb.groupBy("model_class").agg(round_up(100.0 * F.count_if("success") / F.count("*")).cast("long").alias("progress"))
+    return v.fallbacks.groupBy("model_class").agg(round_up(100.0 * F.count_if("success") / F.count("*")).cast("long").alias("progress"))

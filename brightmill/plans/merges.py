@@ -86,6 +86,31 @@ def _(v: Views) -> DataFrame:
     return first_of_key(v.u.select("user_id", "k", "event_id"), ["user_id", "k"], "event_id")
 
 
+@query("k12_retained_rows", "u", "SELECT event_id FROM u WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def _(v: Views) -> DataFrame:
+    return v.u.where(F.col("ts") > before("7 days")).select("event_id")
+
+
+@query("k13_partially_retained_rows", "u", "SELECT event_id, endpoint FROM u WHERE NOT (endpoint = 'view' AND ts <= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)")
+def _(v: Views) -> DataFrame:
+    """Only rows of one status expire."""
+    return v.u.where((F.col("ts") > before("7 days")) | (F.col("endpoint") != "view")).select("event_id", "endpoint")
+
+
+@query("k14_compare_and_set", "u", """
+WITH a AS (SELECT c_custkey AS user_id, c_custkey % 3 AS refreshed, CAST(floor(c_acctbal) AS BIGINT) AS free FROM customer),
+w AS (SELECT a.user_id, arg_min(u.event_id, (u.ts, u.event_id)) AS event_id FROM a JOIN u ON u.user_id = a.user_id AND u.k % 3 = a.refreshed GROUP BY a.user_id)
+SELECT a.user_id, CASE WHEN w.user_id IS NULL THEN a.free ELSE 100 END AS free, w.event_id AS refreshed_by FROM a LEFT JOIN w USING (user_id)""")
+def _(v: Views) -> DataFrame:
+    """Each event wants to refresh its user's credits if the last refresh is still the one it has read; the first such event
+    wins, since it changes what the others compare with."""
+    accounts = v.table("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 3).alias("refreshed"), F.floor("c_acctbal").cast("long").alias("free"))
+    wishes = v.u.select("user_id", (F.col("k") % 3).alias("refreshed"), "ts", "event_id")
+    won = first_of_key(wishes.withColumn("order", F.struct("ts", "event_id")), ["user_id", "refreshed"], "order")
+    stored = accounts.join(won.select("user_id", "refreshed", F.col("order.event_id").alias("refreshed_by")), ["user_id", "refreshed"], "left")
+    return stored.select("user_id", F.when(F.col("refreshed_by").isNull(), F.col("free")).otherwise(100).alias("free"), "refreshed_by")
+
+
 @query("k12_k13_retention", "u", "SELECT count(*) FILTER (ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS week, count(*) FILTER (NOT (endpoint = 'view' AND ts <= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)) AS partial FROM u")
 def _(v: Views) -> DataFrame:
     """Rows kept by age, and by age of one status only."""

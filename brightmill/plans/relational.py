@@ -70,6 +70,14 @@ def _(v: Views) -> DataFrame:
     )
 
 
+@query("p12_nested_predicate", "sub plan", "SELECT s.user_id, p.name FROM sub s JOIN plan p USING (plan_id) WHERE p.product = 'chat' AND p.sort >= 2 AND s.active")
+def _(v: Views) -> DataFrame:
+    """A predicate on fields of the plan that a subscription holds."""
+    plan = v.plan.select("plan_id", F.struct("name", "product", "sort").alias("plan"))
+    subscriptions = v.sub.where("active").join(F.broadcast(plan), "plan_id")
+    return subscriptions.where((F.col("plan.product") == "chat") & (F.col("plan.sort") >= 2)).select("user_id", "plan.name")
+
+
 @query("p5_p7_p8_predicates", "u", "SELECT event_id FROM u WHERE endpoint IN ('click', 'purchase') AND status_code = 200 AND (tokens_used > 4000 OR credits_used > 2)")
 def _(v: Views) -> DataFrame:
     rows = where_given(v.u, status_code=200, user_id=None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightmill.functions import numeric as N
 from brightmill.plans.catalog import query
 from brightmill.plans.texts import UTF16_SQL
-from brightmill.sources.views import Views
+from brightmill.sources.views import Views, sql_text
 
 
 @query("f1_f2_rounding", "", """
@@ -47,6 +47,29 @@ def _(v: Views) -> DataFrame:
     )
 
 
+@query("f9_f20_ages_and_sizes", "u", """
+WITH s AS (SELECT event_id, tokens_used * tokens_used // 9 AS s, tokens_used * k * k AS b FROM u)
+SELECT event_id, CASE WHEN s < 60 THEN 'Just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE s // 86400 || 'd ago' END AS ago,
+  CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN s // 3600 || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END || ' ago'
+    WHEN s < 7 * 86400 THEN s // 86400 || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' END AS relative,
+  CASE WHEN b = 0 THEN '0' ELSE regexp_replace(printf('%.2f', floor(b / power(1024.0::DOUBLE, p) * 100 + 0.5) / 100), '\\.?0+$', '') END || ' ' || ['B', 'KB', 'MB', 'GB'][p + 1] AS size
+FROM (SELECT *, CASE WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS p FROM s)""")
+def _(v: Views) -> DataFrame:
+    rows = v.u.select("event_id", F.floor(F.col("tokens_used") * F.col("tokens_used") / 9).alias("s"), (F.col("tokens_used") * F.col("k") * F.col("k")).alias("b"))
+    return rows.select("event_id", N.ago_text(F.col("s")).alias("ago"), N.relative_time(F.col("s")).alias("relative"), N.size_text(F.col("b")).alias("size"))
+
+
+_HOURS = ("24", "0", "abc", "-5", "721", "720", " 12h", "", None, "1.9", "+3")
+
+
+@query("p17_clamped_parameters", "u", f"""
+WITH p AS (SELECT event_id, {sql_text(_HOURS)}[event_id % {len(_HOURS)} + 1] AS hours, CAST(k AS VARCHAR) AS page FROM u)
+SELECT event_id, greatest(1, least(720, coalesce(nullif(try_cast(nullif(regexp_extract(trim(hours), '^[+-]?[0-9]+', 0), '') AS BIGINT), 0), 24))) AS hours, greatest(1, least(50, coalesce(nullif(try_cast(page AS BIGINT), 0), 20))) AS page FROM p""")
+def _(v: Views) -> DataFrame:
+    hours = F.element_at(F.array(*map(F.lit, _HOURS)), (F.col("event_id") % len(_HOURS) + 1).cast("int"))
+    return v.u.select("event_id", N.clamp_column(hours, 1, 720, 24).alias("hours"), N.clamp_column(F.col("k").cast("string"), 1, 50, 20).alias("page"))
+
+
 @query("f10_token_estimate", "mx", f"SELECT conv_id, turn, {UTF16_SQL % ('text', 'text')} AS units, CAST(ceil({UTF16_SQL % ('text', 'text')} / 4.0) AS BIGINT) + 4 AS tokens FROM mx")
 def _(v: Views) -> DataFrame:
     return v.mx.select("conv_id", "turn", N.utf16_length(F.col("text")).alias("units"), N.message_tokens(F.col("text")).alias("tokens"))
@@ -99,6 +122,22 @@ def _(v: Views) -> DataFrame:
     return v.u.select("event_id", N.tool_budget(F.col("tokens_used")).alias("budget"), N.backoff_ms(F.col("k") % 8 + 1).alias("backoff"), N.cooldown_ms(F.col("k") % 6).alias("cooldown"))
 
 
+_REASONS = ("timeout", "rate limit", "HTTP 429", "bad gateway", "request timed out", "quota")
+
+
+@query("t6_cooldowns", "st", f"""
+WITH f AS (SELECT event_id, {sql_text(_REASONS)}[event_id % {len(_REASONS)} + 1] AS reason, CAST(floor(latency) AS BIGINT) % 7 AS streak, CASE WHEN event_id % 5 = 0 THEN CAST(floor(latency * 100) AS BIGINT) WHEN event_id % 5 = 1 THEN 0 END AS retry_after,
+  CASE WHEN event_id % 4 = 0 THEN 45000 END AS reset FROM st WHERE failed)
+SELECT event_id, CAST(CASE WHEN regexp_matches(reason, '(?i)timeout|timed out') THEN NULL WHEN retry_after > 0 THEN retry_after WHEN regexp_matches(reason, '(?i)rate.?limit|429|RESOURCE_EXHAUSTED|quota') THEN coalesce(reset, 60000)
+  ELSE least(300000, 30000 * power(2, streak)) END AS BIGINT) AS cooldown_ms FROM f""")
+def _(v: Views) -> DataFrame:
+    """The wait of a failed key: none after a time-out, else what the provider asks for, the key's own reset, 60 s, or a doubling wait."""
+    pick = F.element_at(F.array(*map(F.lit, _REASONS)), (F.col("event_id") % len(_REASONS) + 1).cast("int"))
+    fifth = F.col("event_id") % 5
+    retry_after = F.when(fifth == 0, F.floor(F.col("latency") * 100)).when(fifth == 1, 0)
+    return v.st.where("failed").select("event_id", N.key_cooldown(pick, F.floor("latency") % 7, retry_after, F.when(F.col("event_id") % 4 == 0, 45000)).alias("cooldown_ms"))
+
+
 @query("f22_f23_f24_prices_flags_hashes", "", """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 10 ELSE c_acctbal END AS price, strftime(make_timestamp(CAST(c_custkey * 86400 * 1000000 AS BIGINT)), '%Y-%m-%d') AS since, CASE c_custkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'TRUE' ELSE 'no' END = 'true' AS flag,
   sha256(c_name) AS hash, left(c_name, 8) || '...' AS masked FROM customer""")

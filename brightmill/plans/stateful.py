@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightmill.operators.aggregates import top
 from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
 from brightmill.plans.catalog import query
-from brightmill.sources.views import Views
+from brightmill.sources.views import Views, sql_text
 from brightmill.streaming import jobs
 
 DAY_MS = 86_400_000
@@ -17,14 +18,25 @@ def _timed(v: Views) -> DataFrame:
     return v.st.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
-@query("t1_rate_limiter")
+# The machines as SQL: each user's events are numbered, and one recursive step a number takes all users' states on.
+_STEPS = """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM st)"""
+LIMITER_SQL = """
+, w AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS kept, false AS allowed, NULL::BIGINT AS ms FROM e UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN fits THEN list_append(inside, ms) ELSE list_filter(inside, lambda x: x <> ms) END, fits, ms FROM (
+    SELECT *, len(inside) < 2 AS fits FROM (SELECT e.user_id, e.n, e.event_id, e.ms, list_filter(w.kept, lambda x: x > e.ms - 86400000) AS inside FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+)"""
+
+
+@query("t1_rate_limiter", "st", _STEPS + LIMITER_SQL + """
+SELECT event_id, user_id, allowed, CAST(len(kept) AS INTEGER) AS used, greatest((coalesce(kept[1], ms) + 86400000 - ms + 999) // 1000, 1) AS reset_s FROM w WHERE n > 0""")
 def _(v: Views) -> DataFrame:
     """Two requests a day and user."""
     step = lambda state, row: state.step(row["ms"])
     return replay(_timed(v).select("user_id", "ms", "event_id"), ["user_id"], ["ms", "event_id"], lambda: Limiter(2, DAY_MS), step, "event_id long, user_id long, allowed boolean, used int, reset_s long")
 
 
-@query("t1_rate_limiter_stream")
+@query("t1_rate_limiter_stream", "st", _STEPS + LIMITER_SQL + " SELECT event_id, user_id, allowed FROM w WHERE n > 0")
 def _(v: Views) -> DataFrame:
     """The same limiter over the event stream."""
     v.table("events")  # ships the package to the workers
@@ -49,22 +61,77 @@ def _(v: Views) -> DataFrame:
     return rows.select("event_id", "n", "tokens", ((F.col("n") >= 4) | (F.col("tokens") + F.col("tokens_used") > 2000)).alias("limited"))
 
 
-@query("t4_circuit_breaker")
+_WINDOWS = {"hour": (3_600_000, 1), "half_day": (43_200_000, 2), "day": (DAY_MS, 4), "week": (7 * DAY_MS, 15)}
+
+
+@query("t3_key_limits_of_all_windows", "u", f"""
+SELECT event_id, list_filter([{', '.join(f"CASE WHEN n_{x} >= {most} THEN '{x}' END" for x, (_, most) in _WINDOWS.items())}], lambda x: x IS NOT NULL) AS limited_by FROM (
+  SELECT event_id, {', '.join(f"count(*) OVER (PARTITION BY k ORDER BY ms RANGE BETWEEN {length} PRECEDING AND 1 PRECEDING) AS n_{x}" for x, (length, _) in _WINDOWS.items())} FROM (SELECT *, epoch_ms(ts) AS ms FROM u))""")
+def _(v: Views) -> DataFrame:
+    """The windows whose request limit a key has reached at each request; one sort serves them all."""
+    by_key = Window.partitionBy("k").orderBy("ms")
+    rows = v.u.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    rows = rows.select("event_id", *[F.count("*").over(by_key.rangeBetween(-length, -1)).alias(f"n_{x}") for x, (length, _) in _WINDOWS.items()])
+    return rows.select("event_id", F.array_compact(F.array(*[F.when(F.col(f"n_{x}") >= most, x) for x, (_, most) in _WINDOWS.items()])).alias("limited_by"))
+
+
+@query("t4_circuit_breaker", "st", _STEPS + """
+, w AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'closed' AS state, 0 AS streak, 0 AS successes, 0::BIGINT AS total, 0::BIGINT AS good, 0::BIGINT AS last FROM e UNION ALL
+  SELECT user_id, n, event_id,
+    CASE WHEN failed THEN CASE WHEN was = 'half_open' OR (was = 'closed' AND streak >= 5) THEN 'open' ELSE was END ELSE CASE WHEN was = 'half_open' AND successes >= 2 THEN 'closed' ELSE was END END,
+    streak, successes, total, good, last FROM (
+    SELECT e.user_id, e.n, e.event_id, e.failed, x.was, CASE WHEN e.failed THEN w.streak + (e.latency <= 400)::INT ELSE 0 END AS streak,
+      CASE WHEN x.was <> w.state THEN 0 ELSE w.successes END + (NOT e.failed AND x.was = 'half_open')::INT AS successes,
+      w.total + 1 AS total, w.good + (NOT e.failed)::INT AS good, CASE WHEN e.failed THEN e.ms ELSE w.last END AS last
+    FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1, LATERAL (SELECT CASE WHEN w.state = 'open' AND e.ms - w.last >= 60000 THEN 'half_open' ELSE w.state END AS was) x)
+)
+SELECT event_id, user_id, state, CAST(streak AS INTEGER) AS streak, 100.0::DOUBLE * good / total AS rate, CASE WHEN total >= 10 THEN 100.0::DOUBLE * good / total >= 50 ELSE state <> 'open' END AS healthy FROM w WHERE n > 0""")
 def _(v: Views) -> DataFrame:
     rows = _timed(v).select("user_id", "ms", "event_id", "failed", (F.col("failed") & (F.col("latency") > 400)).alias("rate_limited"))
     step = lambda state, r: state.step(r["ms"], r["failed"], r["rate_limited"])
     return replay(rows, ["user_id"], ["ms", "event_id"], Breaker, step, "event_id long, user_id long, state string, streak int, rate double, healthy boolean")
 
 
-@query("t5_t6_key_rotation")
+@query("t5_t6_key_rotation", "st", """WITH RECURSIVE e AS (
+  SELECT *, user_id // 5 AS provider, user_id % 2 AS paid, latency > 400 AS limited, row_number() OVER (PARTITION BY user_id // 5, user_id % 2 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM st
+), w AS (
+  SELECT DISTINCT provider, paid, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, MAP {}::MAP(BIGINT, STRUCT(p BIGINT, s BIGINT, f BIGINT, a BOOLEAN)) AS keys, 0::BIGINT AS wait FROM e UNION ALL
+  SELECT provider, paid, n, event_id, user_id, map_from_entries(list_concat(list_filter(map_entries(keys), lambda x: x.key <> user_id), [{'key': user_id, 'value': own}])),
+    CASE WHEN NOT failed OR event_type = 'signup' AND latency > 450 THEN 0 WHEN event_id % 9 = 0 THEN 5000 WHEN limited THEN CASE WHEN user_id % 3 = 0 THEN 45000 ELSE 60000 END ELSE least(300000, 30000 * power(2, least(own.s, 10))) END
+  FROM (
+    SELECT *, CASE WHEN failed THEN {'p': CASE WHEN coalesce(top, 0) = 0 THEN 999 ELSE top END + 1, 's': old.s + (NOT limited)::INT, 'f': old.f + (NOT limited)::INT, 'a': old.a OR old.f + (NOT limited)::INT >= 25}
+      ELSE {'p': user_id, 's': 0, 'f': old.f, 'a': old.a} END::STRUCT(p BIGINT, s BIGINT, f BIGINT, a BOOLEAN) AS own FROM (
+      SELECT *, list_max(list_transform(list_filter(map_values(map_from_entries(list_concat(list_filter(map_entries(keys), lambda x: x.key <> user_id), [{'key': user_id, 'value': old}]))), lambda x: NOT x.a), lambda x: x.p)) AS top FROM (
+        SELECT e.provider, e.paid, e.n, e.event_id, e.user_id, e.failed, e.limited, e.latency, e.event_type, w.keys,
+          coalesce(w.keys[e.user_id], {'p': e.user_id, 's': 0, 'f': 0, 'a': false}::STRUCT(p BIGINT, s BIGINT, f BIGINT, a BOOLEAN)) AS old FROM w JOIN e ON e.provider = w.provider AND e.paid = w.paid AND e.n = w.n + 1)))
+)
+SELECT event_id, user_id, keys[user_id].p AS priority, CAST(wait AS BIGINT) AS cooldown_ms, keys[user_id].a AS archived FROM w WHERE n > 0""")
 def _(v: Views) -> DataFrame:
-    """Users stand for keys, in groups of provider and kind."""
-    rows = _timed(v).select((F.col("user_id") % 3).alias("provider"), (F.col("user_id") % 2).alias("paid"), "user_id", "ms", "event_id", "failed", (F.col("latency") > 400).alias("rate_limited"))
-    step = lambda state, r: state.step(r["user_id"], r["failed"], r["rate_limited"])
+    """Users stand for keys, five neighbours for a provider's, in groups of paid and free ones."""
+    late, third = (F.col("event_type") == "signup") & (F.col("latency") > 450), F.col("user_id") % 3 == 0
+    rows = _timed(v).select(
+        F.expr("user_id div 5").alias("provider"), (F.col("user_id") % 2).alias("paid"), "user_id", "ms", "event_id", "failed", (F.col("latency") > 400).alias("rate_limited"), late.alias("timed_out"),
+        F.when(F.col("event_id") % 9 == 0, 5000).otherwise(0).alias("retry_after"), F.when(third, 45000).otherwise(0).alias("reset"),
+    )
+    step = lambda state, r: state.step(r["user_id"], r["failed"], r["rate_limited"], r["timed_out"], r["retry_after"], r["reset"])
     return replay(rows, ["provider", "paid"], ["ms", "event_id"], KeyRing, step, "event_id long, user_id long, priority long, cooldown_ms long, archived boolean")
 
 
-@query("t7_k14_credit_ledger")
+@query("t7_k14_credit_ledger", "st", _STEPS + """
+, a AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'view' THEN 'reserve' WHEN 'click' THEN 'finalize' ELSE 'none' END AS action, CAST(ceil(latency) AS BIGINT) AS amount FROM e
+), w AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 100::BIGINT AS free, 0::BIGINT AS paid, NULL::BIGINT AS refreshed, 0::BIGINT AS held, true AS accepted FROM a UNION ALL
+  SELECT user_id, n, event_id,
+    CASE WHEN action = 'reserve' AND enough OR action = 'finalize' AND due >= 0 AND enough THEN f - least(f, due) WHEN action = 'finalize' AND due < 0 THEN f - due WHEN action = 'finalize' THEN 0 ELSE f END,
+    CASE WHEN action = 'deposit' THEN paid + amount WHEN action = 'reserve' AND enough OR action = 'finalize' AND due >= 0 AND enough THEN paid - (due - least(f, due)) WHEN action = 'finalize' AND due >= 0 THEN 0 ELSE paid END,
+    r, CASE WHEN action = 'reserve' AND enough THEN amount WHEN action = 'finalize' THEN 0 ELSE held END, action <> 'reserve' OR enough FROM (
+    SELECT *, f + paid >= due AS enough FROM (
+      SELECT a.user_id, a.n, a.event_id, a.action, a.amount, w.paid, w.held, CASE WHEN a.action = 'finalize' THEN a.amount - w.held ELSE a.amount END AS due,
+        CASE WHEN w.refreshed IS NULL OR a.ms - w.refreshed >= 86400000 THEN 100 ELSE w.free END AS f, CASE WHEN w.refreshed IS NULL OR a.ms - w.refreshed >= 86400000 THEN a.ms ELSE w.refreshed END AS r
+      FROM w JOIN a ON a.user_id = w.user_id AND a.n = w.n + 1))
+)
+SELECT event_id, user_id, CAST(free AS BIGINT) AS free, CAST(paid AS BIGINT) AS paid, accepted FROM w WHERE n > 0""")
 def _(v: Views) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "deposit").when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "click", "finalize").otherwise("none")
     rows = _timed(v).select("user_id", "ms", "event_id", action.alias("action"), F.ceil("latency").alias("amount"))
@@ -99,6 +166,14 @@ def _(v: Views) -> DataFrame:
     return days.agg((F.count_if("failed") / F.count("*") > 0.5).alias("cascade"), (F.max(ms) - F.min(ms) > 36_000_000).alias("runaway"))
 
 
+@query("t12_alert_ring", "st", """
+SELECT event_id, CASE WHEN latency > 450 THEN 'runaway' ELSE 'failure' END AS alert FROM st WHERE failed OR latency > 450 ORDER BY ts DESC, event_id DESC LIMIT 100""")
+def _(v: Views) -> DataFrame:
+    """The last hundred alerts."""
+    alerts = v.st.where(F.col("failed") | (F.col("latency") > 450)).select("event_id", "ts", F.when(F.col("latency") > 450, "runaway").otherwise("failure").alias("alert"))
+    return top(alerts, 100, F.desc("ts"), F.desc("event_id")).select("event_id", "alert")
+
+
 @query("t13_metrics_stream", "st", "SELECT event_type, count(*) AS counter, round(sum(latency), 6) AS total FROM st GROUP BY event_type")
 def _(v: Views) -> DataFrame:
     return jobs.run_complete(jobs.metrics(jobs.event_stream(v.spark, v.folder)), "metrics")
@@ -112,19 +187,84 @@ def _(v: Views) -> DataFrame:
 @query("t17_spans", "att", "SELECT l_orderkey AS span_id, count(*) AS children, round(sum(latency), 6) AS child_time, max(latency) AS longest, bool_or(reason = 'R') AS failed FROM att GROUP BY 1")
 def _(v: Views) -> DataFrame:
     """A span's children by its id."""
-    child = v.fb.select("id", F.explode("attempts").alias("a")).groupBy(F.col("id").alias("span_id"))
-    return child.agg(F.count("*").alias("children"), F.round(F.sum("a.latency"), 6).alias("child_time"), F.max("a.latency").alias("longest"), F.bool_or(F.col("a.reason") == "R").alias("failed"))
-
-
-@query("t18_fallback_chain", "att", """
-WITH f AS (SELECT l_orderkey, min(pos) FILTER (reason = 'N') AS won FROM att GROUP BY 1)
-SELECT l_orderkey AS id, arg_min(provider, (pos, provider)) FILTER (reason = 'N') AS final_provider, CAST(sum(CASE WHEN reason = 'N' THEN 1 WHEN reason = 'R' THEN 2 ELSE 1 END) FILTER (won IS NULL OR pos <= won) AS BIGINT) AS tries,
-  won IS NOT NULL AS success FROM att JOIN f USING (l_orderkey) GROUP BY l_orderkey, won""")
-def _(v: Views) -> DataFrame:
-    """Candidates in order until one works (N); a time-out (R) is tried twice, billing (A) once."""
-    won = F.array_min(F.transform(F.filter("attempts", lambda a: a.reason == "N"), lambda a: a.pos))
-    made = F.filter("attempts", lambda a: F.col("won").isNull() | (a.pos <= F.col("won")))
-    tries = F.aggregate(made, F.lit(0).cast("long"), lambda n, a: n + F.when(a.reason == "R", 2).otherwise(1))
-    rows = v.fb.where(F.size("attempts") > 0).withColumn("won", won)
-    provider = F.get(F.filter("attempts", lambda a: a.reason == "N"), 0)["provider"]
-    return rows.select("id", provider.alias("final_provider"), tries.alias("tries"), F.col("won").isNotNull().alias("success"))
+    child = v.att.groupBy(F.col("id").alias("span_id"))
+    return child.agg(F.count("*").alias("children"), F.round(F.sum("latency"), 6).alias("child_time"), F.max("latency").alias("longest"), F.bool_or(F.col("reason") == "R").alias("failed"))
+
+
+@query("t17_trace", "att", """
+WITH c AS (
+  SELECT l_orderkey AS trace_id, l_orderkey || '.' || pos AS span_id, CAST(l_orderkey AS VARCHAR) AS parent_id, 'attempt' AS operation, epoch_ms(o_orderdate) + pos * 1000 AS start_ms, epoch_ms(o_orderdate) + pos * 1000 + CAST(floor(latency) AS BIGINT) AS end_ms,
+    CASE WHEN reason = 'R' THEN 'error' WHEN reason = 'N' THEN 'ok' ELSE 'unset' END AS status FROM att JOIN orders ON o_orderkey = l_orderkey
+), r AS (
+  SELECT o_orderkey AS trace_id, CAST(o_orderkey AS VARCHAR) AS span_id, NULL AS parent_id, 'session' AS operation, epoch_ms(o_orderdate) AS start_ms, max(end_ms) AS end_ms,
+    CASE WHEN max(end_ms) IS NULL THEN 'unset' WHEN bool_or(status = 'error') THEN 'error' ELSE 'ok' END AS status FROM orders LEFT JOIN c ON trace_id = o_orderkey GROUP BY o_orderkey, o_orderdate
+)
+SELECT trace_id, span_id, parent_id, operation, start_ms, CASE WHEN status <> 'unset' THEN end_ms END AS end_ms, CASE WHEN status <> 'unset' THEN end_ms - start_ms END AS duration_ms, status FROM (FROM c UNION ALL FROM r)""")
+def _(v: Views) -> DataFrame:
+    """A session's root span and its children; spans that haven't ended have no end and no duration."""
+    begun = v.fallbacks.select("id", F.unix_millis(F.col("ts").cast("timestamp")).alias("begun"))
+    status = F.when(F.col("reason") == "R", "error").when(F.col("reason") == "N", "ok").otherwise("unset")
+    start = F.col("begun") + F.col("pos") * 1000
+    child = v.att.join(begun, "id").select(
+        F.col("id").alias("trace_id"), F.concat_ws(".", "id", "pos").alias("span_id"), F.col("id").cast("string").alias("parent_id"), F.lit("attempt").alias("operation"), start.alias("start_ms"),
+        (start + F.floor("latency")).alias("end_ms"), status.alias("status"),
+    )
+    over = child.groupBy(F.col("trace_id").alias("id")).agg(F.max("end_ms").alias("end_ms"), F.bool_or(F.col("status") == "error").alias("bad"))
+    root = begun.join(over, "id", "left").select(
+        F.col("id").alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("session").alias("operation"), F.col("begun").alias("start_ms"), "end_ms",
+        F.when(F.col("end_ms").isNull(), "unset").when(F.col("bad"), "error").otherwise("ok").alias("status"),
+    )
+    ended = F.col("status") != "unset"
+    spans = child.unionByName(root)
+    return spans.withColumns({"end_ms": F.when(ended, F.col("end_ms")), "duration_ms": F.when(ended, F.col("end_ms") - F.col("start_ms"))}).select("trace_id", "span_id", "parent_id", "operation", "start_ms", "end_ms", "duration_ms", "status")
+
+
+#: What a candidate's call gives, by its model; `open` is one whose circuit is open.
+_OUTCOMES = ("ok", "timeout", "rate_limit", "billing", "auth", "provider_unavailable", "unknown", "format", "open", "content_filter", "timeout", "rate_limit", "unknown")
+KEYS_A_PROVIDER = 3
+
+
+@query("t18_fallback_chain", "", f"""
+WITH RECURSIVE c AS (SELECT l_orderkey AS id, l_suppkey % 4 AS provider, {sql_text(_OUTCOMES)}[l_partkey % {len(_OUTCOMES)} + 1] AS outcome, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 4, {sql_text(_OUTCOMES)}[l_partkey % {len(_OUTCOMES)} + 1]) AS n FROM lineitem
+), w AS (
+  SELECT o_orderkey AS id, 0::BIGINT AS n, false AS done, false AS success, NULL::BIGINT AS final_provider, 0::BIGINT AS tries, 0::BIGINT AS skipped, []::BIGINT[] AS skip, []::BIGINT[] AS spent, false AS used_fallback FROM orders UNION ALL
+  SELECT id, n, done OR (NOT passed AND outcome IN ('ok', 'format', 'content_filter')), success OR (NOT passed AND outcome = 'ok'), CASE WHEN NOT passed AND outcome = 'ok' THEN provider ELSE final_provider END,
+    tries + CASE WHEN passed OR outcome = 'ok' THEN 0 WHEN outcome = 'timeout' THEN 2 WHEN outcome IN ('rate_limit', 'auth', 'unknown') AND NOT list_contains(spent, provider) THEN 1 + {KEYS_A_PROVIDER} ELSE 1 END,
+    skipped + (NOT done AND list_contains(skip, provider))::INT, CASE WHEN NOT passed AND outcome IN ('billing', 'provider_unavailable') THEN list_append(skip, provider) ELSE skip END,
+    CASE WHEN NOT passed AND outcome IN ('rate_limit', 'auth', 'unknown') THEN list_append(spent, provider) ELSE spent END,
+    used_fallback OR (NOT passed AND outcome = 'ok' AND (n > 1 OR tries > 0))
+  FROM (SELECT w.id, c.n, c.provider, c.outcome, w.done, w.success, w.final_provider, w.tries, w.skipped, w.skip, w.spent, w.used_fallback, w.done OR list_contains(w.skip, c.provider) AS passed FROM w JOIN c ON c.id = w.id AND c.n = w.n + 1)
+)
+SELECT id, success, final_provider, tries, skipped, CASE WHEN success THEN used_fallback ELSE tries > 0 END AS used_fallback, NOT (success AND tries = 0) AS recorded FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1""")
+def _(v: Views) -> DataFrame:
+    """Candidates in order until one works.
+
+    A time-out is tried twice; a rate limit, a bad key and an unknown error go on to the provider's next keys, three in a
+    request; a billing problem or an unavailable provider skips its other candidates; an open circuit counts as an attempt;
+    a wrong format or filtered content ends the request. First-try successes aren't recorded."""
+    outcome = F.element_at(F.array(*map(F.lit, _OUTCOMES)), (F.col("model") % len(_OUTCOMES) + 1).cast("int"))
+    item = F.struct("pos", (F.col("provider") % 4).alias("provider"), outcome.alias("outcome"))
+    chains = v.att.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
+    none = F.expr("cast(array() as array<struct<pos:int,provider:bigint,outcome:string>>)")
+    rows = v.fallbacks.select("id").join(chains, "id", "left").withColumn("candidates", F.coalesce("candidates", none))
+    zero, no, empty = F.lit(0).cast("long"), F.lit(False), F.array().cast("array<bigint>")
+    start = F.struct(zero.alias("n"), no.alias("done"), no.alias("success"), F.lit(None).cast("long").alias("final"), zero.alias("tries"), zero.alias("skipped"), empty.alias("skip"), empty.alias("spent"), no.alias("fallback"))
+
+    def step(s, c):
+        passed = s["done"] | F.array_contains(s["skip"], c["provider"])
+        is_ = lambda *names: ~passed & c["outcome"].isin(*names)
+        keys = is_("rate_limit", "auth", "unknown")
+        tried = F.when(passed | (c["outcome"] == "ok"), 0).when(is_("timeout"), 2).when(keys & ~F.array_contains(s["spent"], c["provider"]), 1 + KEYS_A_PROVIDER).otherwise(1)
+        more = lambda name, when: F.when(when, F.array_append(s[name], c["provider"])).otherwise(s[name]).alias(name)
+        return F.struct(
+            (s["n"] + 1).alias("n"), (s["done"] | is_("ok", "format", "content_filter")).alias("done"), (s["success"] | is_("ok")).alias("success"), F.when(is_("ok"), c["provider"]).otherwise(s["final"]).alias("final"),
+            (s["tries"] + tried).cast("long").alias("tries"), (s["skipped"] + (~s["done"] & passed).cast("long")).alias("skipped"), more("skip", is_("billing", "provider_unavailable")), more("spent", keys),
+            (s["fallback"] | (is_("ok") & ((s["n"] > 0) | (s["tries"] > 0)))).alias("fallback"),
+        )
+
+    done = rows.select("id", F.aggregate("candidates", start, step).alias("s"))
+    success, tries = F.col("s.success"), F.col("s.tries")
+    return done.select(
+        "id", success.alias("success"), F.col("s.final").alias("final_provider"), tries.alias("tries"), F.col("s.skipped").alias("skipped"), F.when(success, F.col("s.fallback")).otherwise(tries > 0).alias("used_fallback"),
+        (~(success & (tries == 0))).alias("recorded"),
+    )

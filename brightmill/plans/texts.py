@@ -41,7 +41,8 @@ UTF16_SQL = "(length(%s) + length(regexp_replace(%s, '[^\\x{10000}-\\x{10FFFF}]'
 WITH q AS (SELECT conv_id, turn, trim(text, ' ') AS t, CAST(ceil({UTF16_SQL % ("trim(text, ' ')", "trim(text, ' ')")} / 4.0) AS BIGINT) AS n FROM mx), s AS (SELECT conv_id, turn, {_score_sql()} AS score FROM q)
 SELECT conv_id, turn, score, CASE WHEN score <= 20 THEN 'fast' WHEN score <= 55 THEN 'standard' WHEN score <= 75 THEN 'pro' ELSE 'thinking' END AS label FROM s""")
 def _(v: Views) -> DataFrame:
-    scored = v.mx.select("conv_id", "turn", T.complexity_score(F.col("text"), F.col("turn")).alias("score"))
+    messages = v.mx.select("conv_id", "turn", F.trim("text").alias("message"))  # a column, so it isn't trimmed for each pattern
+    scored = messages.select("conv_id", "turn", T.complexity_score(F.col("message"), F.col("turn")).alias("score"))
     return scored.withColumn("label", T.complexity_label(F.col("score")))
 
 
@@ -69,14 +70,14 @@ REASONS = (
 
 
 @query("x2_x3_x4_error_reason", "dx", f"""
-WITH e AS (SELECT doc_id, {_PICK(_STATUSES, 'doc_id')} AS status, {_PICK(_CODES, '(doc_id // 10)')} AS code, right(text, 60) AS msg, {_PICK(_DATA, '(doc_id // 3)')} AS data FROM dx),
+WITH e AS (SELECT doc_id, {_PICK(_STATUSES, 'doc_id')} AS status, {_PICK(_CODES, '(doc_id // 10)')} AS code, text AS msg, {_PICK(_DATA, '(doc_id // 3)')} AS data FROM dx),
 j AS (SELECT *, json_extract_string(data, '$.error.status') AS g, json_extract_string(data, '$.error.type') AS ty, json_extract_string(data, '$.error.code') AS co FROM e),
 r AS (SELECT doc_id, {REASON_SQL} AS reason FROM j)
 SELECT doc_id, reason, m.code, m.retryable, CAST(m.retry_after AS INTEGER) AS retry_after FROM r JOIN (VALUES {', '.join('(' + ', '.join(map(sql_text, x)) + ')' for x in REASONS)}) AS m(name, code, retryable, retry_after) ON m.name = r.reason""")
 def _(v: Views) -> DataFrame:
     pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
     third, tenth = F.floor(F.col("doc_id") / 3), F.floor(F.col("doc_id") / 10)
-    e = v.dx.select("doc_id", pick(_STATUSES, F.col("doc_id")).alias("status"), pick(_CODES, tenth).alias("code"), F.right("text", F.lit(60)).alias("msg"), pick(_DATA, third).alias("data"))
+    e = v.dx.select("doc_id", pick(_STATUSES, F.col("doc_id")).alias("status"), pick(_CODES, tenth).alias("code"), F.col("text").alias("msg"), pick(_DATA, third).alias("data"))
     reasons = e.select("doc_id", T.error_reason(F.col("status"), F.col("msg"), F.col("code"), F.col("data")).alias("reason"))
     known = v.spark.createDataFrame(list(REASONS), "reason string, code string, retryable boolean, retry_after int")
     return reasons.join(F.broadcast(known), "reason").select("doc_id", "reason", "code", "retryable", "retry_after")
@@ -114,12 +115,14 @@ def _(v: Views) -> DataFrame:
 
 
 @query("x10_x11_platform_and_thinking", "mx", r"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?s)\[BANNER[^\]]*\].*?\[/BANNER\]\s*', '', 'g'), '(?is)\[TITLE[^\]]*\].*?\[/TITLE\]\s*', '', 'g'), ' ') AS chat,
-  trim(regexp_replace(text, '\[REACT:[^\]]+\]\s*', '', 'g'), ' ') AS app, regexp_replace(text, '(?s)<thinking>.*?</thinking>', '', 'g') AS visible,
-  nullif(array_to_string(regexp_extract_all(text, '(?s)<thinking>(.*?)</thinking>', 1), chr(10)), '') AS thinking FROM mx""")
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '(?s)\[(?:BRAND_)?BANNER[^\]]*\].*?\[/(?:BRAND_)?BANNER\]\s*', '', 'g'), '(?is)\[(?:BRAND_)?TITLE[^\]]*\].*?\[/(?:BRAND_)?TITLE\]\s*', '', 'g'), ' ') AS chat,
+  trim(regexp_replace(t, '\[(?:BRAND_)?REACT:[^\]]+\]\s*', '', 'g'), ' ') AS app, regexp_replace(text, '(?s)<thinking>.*?</thinking>', '', 'g') AS visible,
+  nullif(array_to_string(regexp_extract_all(text, '(?s)<thinking>(.*?)</thinking>', 1), chr(10)), '') AS thinking FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN text ELSE replace(replace(replace(text, '[BANNER', '[BRAND_BANNER'), '[/BANNER', '[/BRAND_BANNER'), '[REACT', '[BRAND_REACT') END AS t FROM mx)""")
 def _(v: Views) -> DataFrame:
-    t = F.col("text")
-    return v.mx.select("conv_id", "turn", T.strip_platform_tags(t, "chat").alias("chat"), T.strip_platform_tags(t, "app").alias("app"), T.visible_text(t).alias("visible"), T.thinking_text(t).alias("thinking"))
+    branded = F.replace(F.replace(F.replace("text", F.lit("[BANNER"), F.lit("[BRAND_BANNER")), F.lit("[/BANNER"), F.lit("[/BRAND_BANNER")), F.lit("[REACT"), F.lit("[BRAND_REACT"))
+    rows = v.mx.withColumn("t", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(branded))
+    t = F.col("t")
+    return rows.select("conv_id", "turn", T.strip_platform_tags(t, "chat").alias("chat"), T.strip_platform_tags(t, "app").alias("app"), T.visible_text(F.col("text")).alias("visible"), T.thinking_text(F.col("text")).alias("thinking"))
 
 
 _HTML_SQL = "html"
@@ -176,16 +179,22 @@ def _(v: Views) -> DataFrame:
     return v.pages.select("page_id", url_problem(F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(other)).alias("problem"))
 
 
-_IPS = ("203.0.113.50, 70.41.3.18", "::ffff:203.0.113.50", "203.0.113.50:8080", "[::1]:8080", "", "127.0.0.9", " 10.0.0.1 ", "::1")
+_IPS = ("203.0.113.50, 70.41.3.18", "::FFFF:203.0.113.50", "203.0.113.50:8080", "[::1]:8080", "", "127.0.0.9", " 10.0.0.1 ", "::1", "999.1.1.1:80", "1.2.3.4:x", None)
+_REMOTES = ("10.0.0.1", "::ffff:10.0.0.1", "203.0.113.9", "", " ::1 ", "192.168.0.9", None)
+_TRUSTED = ((), ("10.0.0.1", "::1"), ("::FFFF:192.168.0.9",))
+_PLAIN_SQL = "regexp_replace(lower(nullif(trim(%s, ' '), '')), '^::ffff:', '')"
+_HEADER_SQL = _PLAIN_SQL % rf"CASE WHEN regexp_matches(trim(%s, ' '), '^\[[^\]]*\]') THEN regexp_extract(trim(%s, ' '), '^\[([^\]]*)\]', 1) ELSE regexp_replace(trim(%s, ' '), '^({T._OCTET}(?:\.{T._OCTET}){{3}}):[^:]*$', '\1') END"
 
 
 @query("x19_x20_client_ip", "", f"""
-WITH i AS (SELECT event_id, trim(string_split({_PICK(_IPS, 'event_id')}, ',')[1]) AS f FROM events),
-b AS (SELECT event_id, nullif(regexp_replace(lower(CASE WHEN starts_with(f, '[') THEN regexp_extract(f, '^\\[([^\\]]*)\\]', 1) ELSE regexp_replace(f, '^(\\d+\\.\\d+\\.\\d+\\.\\d+):\\d+$', '\\1') END), '^::ffff:', ''), '') AS ip FROM i)
+WITH i AS (SELECT event_id, {_PICK(_REMOTES, 'event_id')} AS remote, {_PICK(_IPS, '(event_id // 7)')} AS forwarded, {_PICK(_IPS, '(event_id // 3)')} AS real, [{', '.join(map(sql_text, _TRUSTED))}][event_id % 3 + 1]::VARCHAR[] AS trusted FROM events),
+j AS (SELECT event_id, trusted, {_PLAIN_SQL % 'remote'} AS own, {_HEADER_SQL.replace('%s', "string_split(forwarded, ',')[1]")} AS first, {_HEADER_SQL.replace('%s', 'real')} AS second FROM i),
+b AS (SELECT event_id, CASE WHEN own IS NULL THEN NULL WHEN len(trusted) = 0 THEN coalesce(first, own) WHEN list_contains(list_transform(trusted, lambda x: {_PLAIN_SQL % 'x'}), own) THEN coalesce(first, second, own) ELSE own END AS ip FROM j)
 SELECT event_id, ip, coalesce(regexp_matches(ip, '^(127\\.|::1$|::ffff:127\\.)'), false) AS loopback FROM b""")
 def _(v: Views) -> DataFrame:
-    header = F.element_at(F.array(*map(F.lit, _IPS)), (F.col("event_id") % len(_IPS) + 1).cast("int"))
-    return v.table("events").select("event_id", T.client_ip(header).alias("ip")).withColumn("loopback", T.is_loopback(F.col("ip")))
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.floor(F.col("event_id") / key) % len(values) + 1).cast("int"))
+    trusted = F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in _TRUSTED))[(F.col("event_id") % 3).cast("int")]
+    return v.table("events").select("event_id", T.client_ip(pick(_REMOTES, 1), pick(_IPS, 7), pick(_IPS, 3), trusted).alias("ip")).withColumn("loopback", T.is_loopback(F.col("ip")))
 
 
 @query("x21_truncate_at_line", "", """
@@ -229,20 +238,28 @@ def _(v: Views) -> DataFrame:
     return v.dx.select("doc_id", T.slug(F.col("text")).alias("slug"), T.camel_label(name).alias("label"), F.array_sort(names).alias("names"), (F.size(names) > 0).alias("is_template"))
 
 
-@query("x26_fenced_json", "", """
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ['fallback'] ELSE ['q' || doc_id, source] END AS questions FROM documents""")
+_ANSWERS = ('["what", "next", "third"]', "[broken", '```json\n["a"]\n```', '```\n["x", "y"]```', "no list", '{"a": 1}', "[]", '```json\n["one", "two", "three", "four"]\n```')
+
+
+@query("x26_fenced_json", "", f"""
+WITH a AS (SELECT doc_id, source, regexp_replace(replace({_PICK(_ANSWERS, 'doc_id')}, '"a"', '"' || source || '"'), '```(json)?\\s*', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'ARRAY' AND t <> '[]' THEN ((CASE WHEN json_valid(t) THEN t END)::JSON::VARCHAR[])[1:2] ELSE ['fallback'] END AS questions FROM a""")
 def _(v: Views) -> DataFrame:
-    """A list from a fenced JSON answer, at most two items; broken answers take the fallback."""
-    answer = F.when(F.col("doc_id") % 4 == 0, F.lit("```json\n[broken\n```")).otherwise(F.concat(F.lit('```json\n["q'), "doc_id", F.lit('", "'), "source", F.lit('", "third"]\n```')))
+    """A list from a fenced JSON answer, at most two items; broken and empty answers take the fallback."""
+    answer = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("doc_id") % len(_ANSWERS) + 1).cast("int"))
+    answer = F.replace(answer, F.lit('"a"'), F.concat(F.lit('"'), "source", F.lit('"')))
     parsed = F.from_json(F.regexp_replace(answer, r"```(?:json)?\s*", ""), "array<string>")
     good = F.filter(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: x.isNotNull())
     return v.table("documents").select("doc_id", F.when(F.size(good) == 0, F.array(F.lit("fallback"))).otherwise(F.slice(good, 1, 2)).alias("questions"))
 
 
-@query("x27_multipart_content", "m", "SELECT conv_id, turn, role || chr(10) || left(text, 20) AS text, ['img' || turn] AS images FROM m")
+@query("x27_multipart_content", "m", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || chr(10) || text WHEN turn % 3 = 1 THEN text ELSE '' END AS text, CASE WHEN turn % 3 = 1 THEN ['img' || turn, 'img' || conv_id] WHEN turn % 3 = 2 THEN ['img' || turn] ELSE [] END AS images FROM m")
 def _(v: Views) -> DataFrame:
+    """Texts joined and images listed, of messages with one or two texts, two images, or images alone."""
     part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
-    parts = F.array(part("text", F.col("role")), part("image", F.concat(F.lit("img"), "turn")), part("text", F.left("text", F.lit(20))))
+    image = lambda c: part("image", F.concat(F.lit("img"), c))
+    third = F.col("turn") % 3
+    parts = F.when(third == 0, F.array(part("text", F.col("role")), part("text", F.col("text")))).when(third == 1, F.array(image("turn"), part("text", F.col("text")), image("conv_id"))).otherwise(F.array(image("turn")))
     pick = lambda kind: F.transform(F.filter("parts", lambda p: p.type == kind), lambda p: p.value)
     return v.m.select("conv_id", "turn", parts.alias("parts")).select("conv_id", "turn", F.array_join(pick("text"), "\n").alias("text"), pick("image").alias("images"))
 
@@ -252,19 +269,31 @@ def _(v: Views) -> DataFrame:
     return v.dx.select("doc_id", T.is_spanish(F.col("text")).alias("spanish"))
 
 
-@query("x29_usage_from_stream", "m", "SELECT conv_id, 10 * max(turn) AS total_tokens FROM m GROUP BY conv_id")
+@query("x29_usage_from_stream", "m", r"""
+WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'data: {"usage":{"total_tokens":' || length(text) || '}}' WHEN 1 THEN 'data: {"text":"' || turn || '"}'
+  WHEN 2 THEN '{"usage": { "total_tokens": ' || turn || '}} {"usage":{"total_tokens":99}}' ELSE '{"usage":{"prompt_tokens":1,"total_tokens":7}}' END AS chunk FROM m)
+SELECT conv_id, CAST(coalesce(arg_max(nullif(regexp_extract(chunk, '"usage":\s*\{\s*"total_tokens":\s*(\d+)', 1), ''), turn) FILTER (regexp_matches(chunk, '"usage":\s*\{\s*"total_tokens":\s*(\d+)')), '0') AS BIGINT) AS total_tokens FROM c GROUP BY conv_id""")
 def _(v: Views) -> DataFrame:
-    """The last reported total of a raw stream."""
-    chunk = F.concat(F.lit('data: {"usage":{"prompt_tokens":1,"total_tokens":'), F.col("turn") * 10, F.lit("}}"))
-    found = F.regexp_extract(chunk, r'"usage":.*?"total_tokens":(\d+)', 1).cast("long")
-    return v.m.groupBy("conv_id").agg(F.max_by(found, "turn").alias("total_tokens"))
+    """The total of the last chunk of a raw stream that reports one; in a chunk the first report counts."""
+    fourth, n = F.col("turn") % 4, F.length("text").cast("string")
+    chunk = (
+        F.when(fourth == 0, F.concat(F.lit('data: {"usage":{"total_tokens":'), n, F.lit("}}"))).when(fourth == 1, F.concat(F.lit('data: {"text":"'), "turn", F.lit('"}')))
+        .when(fourth == 2, F.concat(F.lit('{"usage": { "total_tokens": '), "turn", F.lit('}} {"usage":{"total_tokens":99}}'))).otherwise('{"usage":{"prompt_tokens":1,"total_tokens":7}}')
+    )
+    found = F.nullif(F.regexp_extract(chunk, r'"usage":\s*\{\s*"total_tokens":\s*(\d+)', 1), F.lit(""))
+    rows = v.m.select("conv_id", "turn", found.cast("long").alias("found"))
+    return rows.groupBy("conv_id").agg(F.coalesce(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("turn"))), F.lit(0)).alias("total_tokens"))
 
 
-@query("x30_references", "", "SELECT lang, string_agg('[' || k || '] ' || source, chr(10) ORDER BY k) AS refs FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) AS k FROM (SELECT DISTINCT lang, source FROM documents)) GROUP BY lang")
+@query("x30_references", "", """
+WITH s AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY first, source) AS k FROM (SELECT lang, source, min(doc_id) AS first FROM documents GROUP BY ALL))
+SELECT lang, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || string_agg('[' || k || '] ' || source || chr(10) || '    https://' || source || '.example/' || lang, chr(10) || chr(10) ORDER BY k) AS refs FROM s GROUP BY lang""")
 def _(v: Views) -> DataFrame:
-    names = v.table("documents").groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("s"))
-    line = F.transform("s", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), x))
-    return names.select("lang", F.array_join(line, "\n").alias("refs"))
+    """A report's references, numbered by first sight."""
+    first = v.table("documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
+    names = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("first", "source"))).alias("s"))
+    line = F.transform("s", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), x.source, F.lit("\n    https://"), x.source, F.lit(".example/"), "lang"))
+    return names.select("lang", F.concat(F.lit("\n\n---\n\n## References\n\n"), F.array_join(line, "\n\n")).alias("refs"))
 
 
 @query("x32_chunks", "m", "SELECT conv_id, turn, len(c) AS n, c[1] AS first, c[-1] AS last FROM (SELECT conv_id, turn, list_transform(range(0, length(text), 50), lambda i: substr(text, i + 1, 50)) AS c FROM m WHERE text <> '')")
@@ -293,6 +322,39 @@ def _(v: Views) -> DataFrame:
     return v.m.select("conv_id", "turn", F.to_json(F.struct("role", call.alias("calls"))).alias("message"))
 
 
+#: Tool names as the model sees them, and as the caller knows them.
+TOOL_NAMES = (("web_search", "web.search"), ("file_read", "file/read"), ("web_search_2", "web.search"))
+_TOOLS = ("web.search", "file/read", "plain")
+
+
+@query("x35_j13_model_messages", "m", f"""
+WITH c AS (SELECT conv_id, turn, role, text, {_PICK(_TOOLS, '(conv_id + turn)')} AS tool, CASE WHEN role = 'assistant' AND turn % 4 <> 3 THEN turn % 4 ELSE 0 END AS calls FROM m),
+n AS (SELECT *, CASE tool WHEN 'web.search' THEN 'web_search' WHEN 'file/read' THEN 'file_read' ELSE tool END AS name FROM c),
+k AS (SELECT *, unnest(range(calls)) AS i FROM n WHERE calls > 0)
+SELECT conv_id, turn, 0::BIGINT AS seq, role, text AS content, CASE WHEN calls > 0 THEN list_transform(range(calls), lambda i: name || ':' || conv_id || '-' || turn || '-' || i) END AS calls, NULL AS output FROM n
+UNION ALL SELECT conv_id, turn, i + 1, 'tool', NULL, [name || ':' || conv_id || '-' || turn || '-' || i], CASE WHEN i % 2 = 0 THEN left(text, 12) ELSE '{{"n":' || length(text) || '}}' END FROM k WHERE (conv_id + i) % 3 <> 0""")
+def _(v: Views) -> DataFrame:
+    """Messages as the model takes them: an assistant's invocations become calls under the names the model knows (the first
+    entry with the caller's name; else the name itself), and each finished invocation a tool message behind, its result as text."""
+    names = v.spark.createDataFrame([(*n, i) for i, n in enumerate(TOOL_NAMES)], "known string, tool string, i int").groupBy("tool").agg(F.min_by("known", "i").alias("known"))
+    tool = F.element_at(F.array(*map(F.lit, _TOOLS)), ((F.col("conv_id") + F.col("turn")) % len(_TOOLS) + 1).cast("int"))
+    n = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.col("turn") % 4).otherwise(0)
+    object_ = F.to_json(F.struct(F.length("text").alias("n")))
+    invocation = lambda i: F.struct(
+        F.concat_ws("-", "conv_id", "turn", i).alias("id"), F.when((F.col("conv_id") + i) % 3 != 0, "result").otherwise("call").alias("state"), F.when(i % 2 == 0, F.left("text", F.lit(12))).otherwise(object_).alias("result"),
+    )
+    rows = v.m.withColumn("tool", tool).join(F.broadcast(names), "tool", "left").withColumn("name", F.coalesce("known", "tool"))
+    rows = rows.withColumn("invocations", F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), invocation)))
+    label = lambda x: F.concat("name", F.lit(":"), x["id"])
+    message = F.struct(F.lit(0).cast("long").alias("seq"), F.col("role"), F.col("text").alias("content"), F.transform("invocations", label).alias("calls"), F.lit(None).cast("string").alias("output"))
+    results = F.filter(
+        F.transform("invocations", lambda x, i: F.struct((i + 1).cast("long").alias("seq"), F.lit("tool").alias("role"), F.lit(None).cast("string").alias("content"), F.array(label(x)).alias("calls"), F.when(x["state"] == "result", x["result"]).alias("output"))),
+        lambda r: r["output"].isNotNull(),
+    )
+    all_ = F.concat(F.array(message), F.coalesce(results, F.filter(F.array(message), lambda _: F.lit(False))))
+    return rows.select("conv_id", "turn", F.explode(all_).alias("x")).select("conv_id", "turn", "x.*")
+
+
 @query("x36_source_extraction", "", f"SELECT u AS url, min(page_id) AS page_id, left(arg_min(html, page_id), 200) AS snippet FROM (SELECT page_id, html, {NORMALIZE_SQL} AS u FROM pages) GROUP BY u")
 def _(v: Views) -> DataFrame:
     found = v.pages.groupBy(normalize_url(F.col("url")).alias("url"))

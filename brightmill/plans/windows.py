@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightmill.functions.numeric import message_tokens
 from brightmill.functions.urls import normalize_url
 from brightmill.operators.aggregates import chargeable, daily, fill_days, spent_credits
-from brightmill.operators.windows import first_by, fitting_suffix, run_length
+from brightmill.operators.windows import first_by, fitting_suffix, numbered, run_length
 from brightmill.plans.analytics import CHARGEABLE_SQL, CREDITS_SQL, DAY
 from brightmill.plans.catalog import query
 from brightmill.plans.texts import NORMALIZE_SQL
@@ -27,12 +27,7 @@ def _(v: Views) -> DataFrame:
     """Ids by first sight: one row a URL is ranked, not one a page."""
     pages = v.pages.select("page_id", normalize_url(F.col("url")).alias("url"))
     first = pages.groupBy("url").agg(F.min("page_id").alias("first"))
-    # sorted rows of a partition are numbered from the count of rows in the partitions before it
-    ranked = first.repartitionByRange("first").withColumn("part", F.spark_partition_id())
-    sizes = ranked.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("first"))
-    citations = ranked.withColumn("k", within).join(F.broadcast(sizes.drop("n")), "part").select("url", (F.col("before") + F.col("k")).alias("citation"))
-    return pages.join(citations, "url").select("page_id", "url", "citation")
+    return pages.join(numbered(first, "first", "citation"), "url").select("page_id", "url", "citation")
 
 
 @query("w3_first_wins", "", """

@@ -108,7 +108,10 @@ def with_views(names: str, body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    return f"WITH {', '.join(parts)}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{', '.join(parts)}, {body[len(start):]}"
+    return f"WITH {', '.join(parts)} {body}"
 
 
 def phrase(key: Column) -> Column:
@@ -152,15 +155,34 @@ class Views:
         return priced.withColumns({"cost_usd": cost, "tier": F.coalesce("tier", F.lit("freemium"))}).drop("cost_in", "cost_out")
 
     @cached_property
-    def fb(self) -> DataFrame:
-        attempt = F.struct(F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("model"), F.col("l_returnflag").alias("reason"), F.col("l_extendedprice").alias("latency"))
-        tries = self.table("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(attempt)).alias("attempts"))
-        o = self.table("orders").join(tries, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        return o.select(
-            F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("model_class"), (F.col("o_orderstatus") == "F").alias("success"),
-            F.col("o_totalprice").alias("total_latency"), F.coalesce("attempts", F.expr("cast(array() as array<struct<pos:int,provider:bigint,model:bigint,reason:string,latency:double>>)")).alias("attempts"),
+    def att(self) -> DataFrame:
+        """The attempts of fallback events, a row each."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("model"), F.col("l_returnflag").alias("reason"),
+            F.col("l_extendedprice").alias("latency"),
         )
 
+    @cached_property
+    def fallbacks(self) -> DataFrame:
+        """Fallback events without their attempts."""
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("model_class"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_totalprice").alias("total_latency")
+        )
+
+    @cached_property
+    def counted_fallbacks(self) -> DataFrame:
+        """Fallback events with the number of their attempts."""
+        n = self.att.groupBy("id").agg(F.count("*").alias("n_attempts"))
+        return self.fallbacks.join(n, "id", "left").withColumn("n_attempts", F.coalesce("n_attempts", F.lit(0)))
+
+    @cached_property
+    def fb(self) -> DataFrame:
+        """Fallback events with the ordered array of their attempts."""
+        attempt = F.struct("pos", "provider", "model", "reason", "latency")
+        tries = self.att.groupBy("id").agg(F.sort_array(F.collect_list(attempt)).alias("attempts"))
+        none = F.expr("cast(array() as array<struct<pos:int,provider:bigint,model:bigint,reason:string,latency:double>>)")
+        return self.fallbacks.join(tries, "id", "left").withColumn("attempts", F.coalesce("attempts", none))
+
     @cached_property
     def st(self) -> DataFrame:
         return self.table("events").select("event_id", "user_id", "ts", "event_type", F.col("value").alias("latency"), F.col("event_type").isin("error", "signup").alias("failed"))

@@ -41,7 +41,12 @@ def test_secret_needs_twenty_characters(spark):
 
 @pytest.mark.parametrize("header, expected", [("203.0.113.50, 70.41.3.18", "203.0.113.50"), ("::ffff:203.0.113.50", "203.0.113.50"), ("203.0.113.50:8080", "203.0.113.50"), ("[::1]:8080", "::1"), ("", None)])
 def test_client_ip(spark, header, expected):
-    assert value(spark, T.client_ip(F.lit(header))) == expected
+    assert value(spark, T.header_ip(F.element_at(F.split(F.lit(header), ","), 1))) == expected
+
+
+@pytest.mark.parametrize("remote, trusted, expected", [("10.0.0.1", ["10.0.0.1"], "203.0.113.50"), ("10.0.0.2", ["10.0.0.1"], "10.0.0.2"), ("10.0.0.2", [], "203.0.113.50"), ("", [], None), ("::ffff:10.0.0.1", ["10.0.0.1"], "203.0.113.50")])
+def test_client_ip_behind_proxies(spark, remote, trusted, expected):
+    assert value(spark, T.client_ip(F.lit(remote), F.lit("203.0.113.50, 1.1.1.1"), F.lit(None).cast("string"), F.array(*map(F.lit, trusted)).cast("array<string>"))) == expected
 
 
 def test_providers_are_scrubbed_in_any_case(spark):

@@ -49,6 +49,12 @@ def test_key_ring_and_ledger():
     assert ring.step(1, True, False) == {"priority": 2, "cooldown_ms": 60_000, "archived": False}
     assert ring.step(1, False, False)["priority"] == 1
     assert ring.step(1, True, False)["archived"]
+    assert ring.step(2, True, True) == {"priority": 3, "cooldown_ms": 60_000, "archived": False}  # key 1 is archived: behind 2 itself
+    assert ring.step(2, True, True, reset=5000)["cooldown_ms"] == 5000
+    assert ring.step(2, True, True, retry_after=7, reset=5000)["cooldown_ms"] == 7
+    assert ring.step(2, True, False, timed_out=True)["cooldown_ms"] == 0
+    assert ring.step(2, True, False)["archived"]  # its rate limits don't count
+    assert ring.step(2, True, False)["priority"] == 1000  # none is left
     ledger = Ledger(free=10, refill=10)
     assert ledger.step(0, "reserve", 8) == {"free": 2, "paid": 0, "accepted": True}
     assert ledger.step(1, "finalize", 3)["free"] == 7
