@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from brightmill.session import ship_package
 
 #: Bytes of one batch between the JVM and a Python worker. With long texts, batches of Spark's default size
 #: take several times their size in either process.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def check_names(*tables: DataFrame) -> None:
+    """Column names that begin with two underscores are the operators' own."""
+    for df in tables:
+        if taken := [c for c in df.columns if c.startswith("__")]:
+            raise ValueError(f"columns {taken}: names that begin with two underscores are reserved")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the folder named by spark.checkpoint.dir; only where that is
     unset (tests on one machine) a temporary folder is used."""
@@ -49,21 +58,36 @@ SLICE = 1 << 18
 
 
 def slices(texts: list[str | None], chars: int = SLICE) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) of runs of about `chars` characters; null texts are empty."""
+    """(first index, texts) of runs of at most `chars` characters, or of one longer text; null texts are empty."""
     start, size, run = 0, 0, []
     for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= chars:
+        t = t or ""
+        if run and size + len(t) > chars:
             yield start, run
-            start, size, run = i + 1, 0, []
+            start, size, run = i, 0, []
+        run.append(t)
+        size += len(t)
     if run:
         yield start, run
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):  # noqa: ANN001, ANN202  the annotations are those of `run`
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def release_memory() -> None:
     """Gives freed memory back at a task's end; the worker process lives on beside later stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc

@@ -6,13 +6,13 @@ two lines (but at a text's ends), and a passage has the same inner boundaries wh
 A line of `long_words` or more words is a chunk of its own.
 
 Chunks of two or more lines, and such long lines, that occur more than once in the corpus are removed but
-for their first occurrence (by doc_id, text digest and place). Repeats are first counted by 64-bit hash;
-only chunks with a repeated hash bring their bytes to a shuffle, where equality of the bytes decides.
+for their first occurrence (by doc_id, text digest and place). Lines are hashed once; of each chunk a 64-bit hash and its
+place are shuffled and counted. Only chunks with a repeated hash are read again, and equality of the bytes decides.
 
 A chunk at a passage's edge mixes with the lines around it, so chunks alone leave most short passages in place.
-`dedup_passages` finds each repeated passage of 50 or more words whole: units are lines, cut further at ends of
-sentences, and each shortest run of units that reaches 50 words is compared, whichever unit it starts or ends with.
-Only DataFrame functions are used.
+`dedup_passages` finds each repeated passage whole, as far as it has whole lines or sentences: units are lines, cut
+further at ends of sentences, and each shortest run of units that reaches 30 words is compared, whichever unit it
+starts or ends with. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,143 +20,164 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightmill.llm.common import cut_lineage
+from brightmill.llm.common import check_names, cut_lineage
 
 BASE, PRIME = 31, 4_294_967_291  # of the rolling hash
 _SHIFT = 1 << 31  # a chunk is coded as start * 2^31 + end
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def _with_chunks(df: DataFrame, text: str, long_words: int) -> DataFrame:
-    """Adds __lines and __chunks, an array of codes of [start, end)."""
-    rolled = F.transform(F.col("__hash"), lambda h, i: (F.when(i > 0, F.get("__hash", i - 1)).otherwise(F.lit(0)) * BASE + h) % PRIME)
-    last = F.size("__lines") - 1
-    minimum = lambda i: (i > 0) & (i < last - 1) & (F.get("__rolled", i) < F.get("__rolled", i - 1)) & (F.get("__rolled", i) < F.get("__rolled", i + 1))
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get("__long", i) | F.coalesce(F.get("__long", i + 1), F.lit(False)) | minimum(i))
-    code = F.transform("__ends", lambda e, n: F.when(n > 0, F.get("__ends", n - 1) + 1).otherwise(F.lit(0)).cast("long") * _SHIFT + e + 1)
-    out = df.withColumn("__lines", _lines(F.col(text)))
-    out = out.withColumns({
-        "__hash": F.transform("__lines", _line_hash),
-        "__long": F.transform("__lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1 >= long_words),
-    })
-    out = out.withColumn("__rolled", rolled).withColumn("__ends", ends).withColumn("__chunks", code)
-    # a generator of one row: Spark moves no later filter or projection below it, where the expressions would be put into
-    # each other's lambdas and be computed anew for each line
-    one = F.explode_outer(F.array(F.struct("__lines", "__chunks"))).alias("__parts")
-    return out.select(*df.columns, one).select(*df.columns, F.col("__parts.__lines").alias("__lines"), F.col("__parts.__chunks").alias("__chunks"))
-
-
 def _start(code: Column) -> Column:
-    return F.floor(code / _SHIFT).cast("int")
+    return F.shiftright(code, 31).cast("int")
 
 
 def _end(code: Column) -> Column:
-    return (code % _SHIFT).cast("int")
+    return code.bitwiseAND(F.lit(_SHIFT - 1)).cast("int")
 
 
 def _content(lines: Column, code: Column) -> Column:
     return F.slice(lines, _start(code) + 1, _end(code) - _start(code))
 
 
+def _one_row(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with a generator of one row around the columns `names`: Spark moves no later filter or projection below it,
+    where the expressions would be put into each other's lambdas and be computed anew for each line."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("__parts")).select(*others, *[F.col(f"__parts.{n}").alias(n) for n in names])
+
+
+def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__digest"), F.col(text).alias("__text"))
+
+
+def _few(per_doc: DataFrame, codes: str, limit: int) -> bool:
+    """Whether a table of one row a document has at most `limit` numbers of 8 bytes."""
+    return (per_doc.agg(F.sum(F.size(codes) + 3)).first()[0] or 0) <= limit
+
+
+def _joined(df: DataFrame, per_doc: DataFrame, few: bool, how: str) -> DataFrame:
+    """`df` with __id and __digest joined with a table of one row a document, which is broadcast if it is small; if not, the
+    texts are shuffled to it."""
+    own = per_doc.withColumnsRenamed({"__id": "__own_id", "__digest": "__own_digest"})
+    own = F.broadcast(own) if few else own
+    return df.join(own, F.col("__id").eqNullSafe(F.col("__own_id")) & (F.col("__digest") == F.col("__own_digest")), how).drop("__own_id", "__own_digest")
+
+
+def _chunks(docs: DataFrame, long_words: int) -> DataFrame:
+    """__id, __digest and an array of (__code, __hash) of the chunks that may be removed."""
+    out = _one_row(docs.select("__id", "__digest", F.split("__text", "\n").alias("__lines")), "__lines")
+    out = _one_row(out.withColumns({
+        "__line": F.transform("__lines", _line_hash),
+        "__long": F.transform("__lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1 >= long_words),
+    }), "__lines", "__line", "__long")
+    rolled = F.transform("__line", lambda h, i: (F.when(i > 0, F.get("__line", i - 1)).otherwise(F.lit(0)) * BASE + h) % PRIME)
+    out = _one_row(out.withColumn("__rolled", rolled).drop("__line"), "__lines", "__long", "__rolled")
+    last = F.size("__lines") - 1
+    minimum = lambda i: (i > 0) & (i < last - 1) & (F.get("__rolled", i) < F.get("__rolled", i - 1)) & (F.get("__rolled", i) < F.get("__rolled", i + 1))
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get("__long", i) | F.coalesce(F.get("__long", i + 1), F.lit(False)) | minimum(i))
+    out = _one_row(out.withColumn("__ends", ends).drop("__rolled"), "__lines", "__long", "__ends")
+    codes = F.transform("__ends", lambda e, n: F.when(n > 0, F.get("__ends", n - 1) + 1).otherwise(F.lit(0)).cast("long") * _SHIFT + e + 1)
+    out = _one_row(out.withColumn("__codes", codes).drop("__ends"), "__lines", "__long", "__codes")
+    wanted = F.filter("__codes", lambda c: (_end(c) - _start(c) >= 2) | F.get("__long", _start(c)))
+    contents = F.transform(wanted, lambda c: F.struct(c.alias("__code"), F.array_join(_content(F.col("__lines"), c), "\n").alias("__chunk")))
+    out = _one_row(out.withColumn("__found", contents).drop("__lines", "__long", "__codes"), "__found")
+    visible = F.filter("__found", lambda x: F.trim(F.translate(x["__chunk"], "\n\t\r", "   ")) != "")
+    return out.select("__id", "__digest", F.transform(visible, lambda x: F.struct(x["__code"], F.xxhash64(x["__chunk"]).alias("__hash"))).alias("__found")).where(F.size("__found") > 0)
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int = 50, broadcast_codes: int = 1_000_000) -> DataFrame:
     """All rows and columns of `df` with repeated chunks taken out of `text`; adds `removed_chunks` and
-    `removed_lines` (long).
-
-    Null texts stay null; chunks without a visible character are never removed; rows with equal id and text
-    count as one document, so a chunk's first occurrence stays in each of them. A text of which nothing is left
-    becomes empty, and its row stays. What is removed is broadcast while it has at most `broadcast_codes` numbers of 8 bytes.
+    `removed_lines` (long; replacing columns of these names).
+
+    Ids may have any type with an order; null ids are one id, the first. Null texts stay null; chunks without a visible
+    character are never removed; rows with equal id and text count as one document, so a chunk's first occurrence stays
+    in each of them. A text of which nothing is left becomes empty, and its row stays. Texts may have any length; one
+    text's lines are worked on in one task. An empty table gives an empty one. Column names that begin with two
+    underscores are refused (ValueError). Small tables of places are broadcast while they have at most `broadcast_codes`
+    numbers of 8 bytes; beyond, the texts are shuffled to them.
     """
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.col(text)).alias("__text_hash")]
-    base = _with_chunks(df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text")), "__text", long_words)
-    # explode_outer: for a plain explode Spark infers a filter that puts all of these expressions into each other's lambdas
-    one = base.select("__id", "__text_hash", "__lines", F.explode_outer("__chunks").alias("__code"))
-    one = one.select("__id", "__text_hash", "__code", F.array_join(_content(F.col("__lines"), F.col("__code")), "\n").alias("__chunk"), (_end(F.col("__code")) - _start(F.col("__code"))).alias("__n"))
-    words = F.length("__chunk") - F.length(F.replace("__chunk", F.lit(" "))) + 1
-    one = one.where((F.trim(F.translate("__chunk", "\n\t\r", "   ")) != "") & ((F.col("__n") >= 2) | (words >= long_words))).withColumn("__chunk_hash", F.xxhash64("__chunk"))
-    repeated = one.groupBy("__chunk_hash").agg(F.count("*").alias("__times")).where("__times > 1").select("__chunk_hash")
-    held = one.join(repeated, "__chunk_hash").select("__chunk_hash", "__chunk", "__id", "__text_hash", "__code")
-    place = F.struct("__id", "__text_hash", "__code")
-    first = held.groupBy("__chunk_hash", "__chunk").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where("__first != __last")
-    again = held.join(first, ["__chunk_hash", "__chunk"]).where(place != F.col("__first")).select("__id", "__text_hash", "__code")
-    removed = cut_lineage(again.groupBy("__id", "__text_hash").agg(F.collect_set("__code").alias("__removed")))
-    # the texts are shuffled to meet their removed chunks, but where those are few: their codes are counted
-    codes = removed.agg(F.sum(F.size("__removed") + 3)).first()[0] or 0
-    removed = F.broadcast(removed) if codes <= broadcast_codes else removed
-    joined = df.withColumns({"__id": key[0], "__text_hash": key[1]}).join(removed, ["__id", "__text_hash"], "left")
-    joined = _with_chunks(joined, text, long_words)
-    kept = F.array_except("__chunks", "__removed")
-    lines = F.flatten(F.transform(kept, lambda c: _content(F.col("__lines"), c)))
+    check_names(df)
+    docs = _documents(df, doc_id, text)
+    # lines are hashed once; a document's places take far less room than its text
+    found = cut_lineage(_chunks(docs, long_words)).select("__id", "__digest", F.explode("__found").alias("__f")).select("__id", "__digest", "__f.*")
+    repeated = found.groupBy("__hash").agg(F.count("*").alias("__times")).where("__times > 1").select("__hash")
+    held = cut_lineage(found.join(repeated, "__hash").groupBy("__id", "__digest").agg(F.collect_set("__code").alias("__codes")))
+    chunks = _one_row(_joined(docs, held, _few(held, "__codes", broadcast_codes), "inner").select("__id", "__digest", "__codes", F.split("__text", "\n").alias("__lines")), "__codes", "__lines")
+    content = F.transform("__codes", lambda c: F.struct(c.alias("__code"), F.array_join(_content(F.col("__lines"), c), "\n").alias("__chunk")))
+    chunks = chunks.select("__id", "__digest", F.explode_outer(content).alias("__c")).select("__id", "__digest", "__c.*")
+    place = F.struct("__id", "__digest", "__code")
+    first = chunks.groupBy("__chunk").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where(~F.col("__first").eqNullSafe(F.col("__last"))).drop("__last")
+    again = chunks.join(first, "__chunk").where(~place.eqNullSafe(F.col("__first")))
+    removed = cut_lineage(again.groupBy("__id", "__digest").agg(F.collect_set("__code").alias("__removed")))
+    keyed = df.withColumns({"__id": F.col(doc_id), "__digest": F.xxhash64(F.col(text))})
+    joined = _joined(keyed, removed, _few(removed, "__removed", broadcast_codes), "left").drop("__id", "__digest")
     gone = F.col("__removed").isNotNull()
+    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.exists("__removed", lambda c: (_start(c) <= i) & (i < _end(c))))
     return joined.withColumns({
-        text: F.when(gone, F.array_join(lines, "\n")).otherwise(F.col(text)),
+        text: F.when(gone, F.array_join(left, "\n")).otherwise(F.col(text)),
         "removed_chunks": F.when(gone, F.size("__removed")).otherwise(0).cast("long"),
-        "removed_lines": F.when(gone, F.size("__lines") - F.size(lines)).otherwise(0).cast("long"),
+        "removed_lines": F.when(gone, F.aggregate("__removed", F.lit(0), lambda n, c: n + _end(c) - _start(c))).otherwise(0).cast("long"),
     }).select(*[c for c in df.columns if c not in ("removed_chunks", "removed_lines")], "removed_chunks", "removed_lines")
 
 
-def _one_row(df: DataFrame, *names: str) -> DataFrame:
-    """`df` with a generator of one row around the columns `names`, as in _with_chunks."""
-    others = [c for c in df.columns if c not in names]
-    return df.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("__parts")).select(*others, *[F.col(f"__parts.{n}").alias(n) for n in names])
-
-
 def _units(text: Column) -> Column:
     """Lines cut after each full stop, exclamation or question mark with a blank; joined they are the text again."""
     return F.split(text, r"(?<=\n)|(?<=[.!?] )")
 
 
-def _windows(df: DataFrame, text: str, words: int) -> DataFrame:
-    """Rows of `df` but `text`, with __code [start, end) and two hashes for each shortest run of units that has `words` words:
-    the one from each unit on and the one up to each unit, so that a passage's own runs cover it to both edges."""
-    owner = F.flatten(F.transform("__units", lambda u, i: F.array_repeat(i, F.regexp_count(u, F.lit(r"\S+")))))  # each word's unit
-    out = _one_row(df.withColumn("__units", _units(F.col(text))).drop(text), "__units")
-    out = _one_row(out.withColumn("__owner", owner), "__units", "__owner").where(F.size("__owner") >= words)
-    last = F.size("__owner") - 1
-    run = lambda a, b: F.get("__owner", a).cast("long") * _SHIFT + F.get("__owner", b) + 1
-    starts = F.filter(F.sequence(F.lit(0), last - (words - 1)), lambda w: (w == 0) | (F.get("__owner", w) != F.get("__owner", w - 1)))
-    ends = F.filter(F.sequence(F.lit(words - 1), last), lambda w: (w == last) | (F.get("__owner", w) != F.get("__owner", w + 1)))
-    codes = F.array_union(F.transform(starts, lambda w: run(w, w + (words - 1))), F.transform(ends, lambda w: run(w - (words - 1), w)))
-    out = _one_row(out.withColumn("__codes", codes), "__units", "__codes")
-    out = _one_row(out.withColumn("__contents", F.transform("__codes", lambda c: F.array_join(_content(F.col("__units"), c), ""))).drop("__units"), "__codes", "__contents")
-    digest = lambda x: F.conv(F.substring(F.sha2(x, 256), 1, 15), 16, 10).cast("long")
-    found = F.transform("__contents", lambda x, i: F.struct(F.get("__codes", i).alias("__code"), F.xxhash64(x).alias("__h1"), digest(x).alias("__h2")))
-    out = out.withColumn("__found", found).drop("__codes", "__contents")
-    return out.select(*[c for c in out.columns if c != "__found"], F.explode_outer("__found").alias("__w")).select(*[c for c in out.columns if c != "__found"], "__w.*")
-
-
-def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50, broadcast_codes: int = 1_000_000) -> DataFrame:
-    """All rows and columns of `df` with repeated passages taken out of `text`; adds `removed_passages` (long).
-
-    A passage is a run of whole units of `words` or more words that stands, with equal bytes, before (by doc_id, text
+def _runs(docs: DataFrame, words: int) -> DataFrame:
+    """__id, __digest and an array of (__code, __h1, __h2) for each shortest run of units that has `words` words: the one from
+    each unit on and the one up to each unit, so that a passage's own runs cover it to both edges."""
+    out = _one_row(docs.select("__id", "__digest", _units(F.col("__text")).alias("__units")), "__units")
+    out = _one_row(out.withColumns({
+        "__own": F.transform("__units", lambda u: F.xxhash64(u)), "__words": F.transform("__units", lambda u: F.regexp_count(u, F.lit(r"\S+"))),
+    }).drop("__units"), "__own", "__words")
+    owner = F.flatten(F.transform("__words", lambda n, i: F.array_repeat(i, n)))  # each word's unit
+    before = F.aggregate("__words", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))  # the words before each unit
+    out = _one_row(out.withColumns({"__owner": owner, "__before": before}), "__own", "__words", "__owner", "__before").where(F.size("__owner") >= words)
+    total, at = F.size("__owner"), lambda i: F.get("__before", i)
+    onward = F.transform("__words", lambda n, i: F.when((n > 0) & (total - at(i) >= words), i.cast("long") * _SHIFT + F.get("__owner", at(i) + words - 1) + 1))
+    upward = F.transform("__words", lambda n, i: F.when((n > 0) & (at(i) + n >= words), F.get("__owner", at(i) + n - words).cast("long") * _SHIFT + i + 1))
+    out = _one_row(out.withColumn("__codes", F.array_compact(F.array_union(onward, upward))).drop("__words", "__owner", "__before"), "__own", "__codes")
+    part = lambda c: _content(F.col("__own"), c)
+    found = F.transform("__codes", lambda c: F.struct(c.alias("__code"), F.xxhash64(part(c)).alias("__h1"), F.xxhash64(F.lit(1), part(c)).alias("__h2")))
+    return out.select("__id", "__digest", found.alias("__found"))
+
+
+def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 30, broadcast_codes: int = 1_000_000) -> DataFrame:
+    """All rows and columns of `df` with repeated passages taken out of `text`; adds `removed_passages` (long; replacing a
+    column of this name).
+
+    A passage is a run of whole units of `words` or more words that stands, with equal units, before (by doc_id, text
     digest and place); within one document copies that overlap the first one stay. All its units go, so at least one copy of
-    every unit is left. Equality is that of 124 bits, of two hashes of the bytes. Rows of equal id and text count as one document.
+    every unit is left. Equality is that of two 64-bit hashes of the units' 64-bit hashes. A passage of over 50 words that
+    begins and ends inside a sentence still has 30 words in whole ones, as a rule. Ids, null and empty texts, repeated rows,
+    long texts, empty tables, names and broadcasts are treated as in `dedup_lines`.
     """
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.col(text)).alias("__text_hash")]
-    runs = _windows(df.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text")), "__text", words)
-    place = F.struct("__id", "__text_hash", "__code")
-    first = runs.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where("__first != __last").drop("__last")
-    apart = (F.col("__id") != F.col("__first.__id")) | (F.col("__text_hash") != F.col("__first.__text_hash")) | (_start(F.col("__code")) >= _end(F.col("__first.__code")))
-    again = runs.join(first, ["__h1", "__h2"]).where(apart & (place != F.col("__first")))
-    codes = again.groupBy("__id", "__text_hash").agg(F.sort_array(F.collect_set("__code")).alias("__codes"))
-    codes = _one_row(codes, "__codes")
+    check_names(df)
+    docs = _documents(df, doc_id, text)
+    runs = cut_lineage(_runs(docs, words)).select("__id", "__digest", F.explode("__found").alias("__f")).select("__id", "__digest", "__f.*")
+    repeated = runs.groupBy("__h1", "__h2").agg(F.count("*").alias("__times")).where("__times > 1").drop("__times")
+    runs = cut_lineage(runs.join(repeated, ["__h1", "__h2"]))
+    first = runs.groupBy("__h1", "__h2").agg(F.min(F.struct("__id", "__digest", "__code")).alias("__first"))
+    own = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__digest") == F.col("__first.__digest"))
+    again = runs.join(first, ["__h1", "__h2"]).where(~own | (_start(F.col("__code")) >= _end(F.col("__first.__code"))))
+    codes = _one_row(again.groupBy("__id", "__digest").agg(F.sort_array(F.collect_set("__code")).alias("__codes")), "__codes")
     # runs that touch are one range; in this order ends never fall, as every run is the shortest from its start or to its end
     starts = F.filter("__codes", lambda c, i: (i == 0) | (_end(F.get("__codes", i - 1)) < _start(c)))
     ends = F.filter("__codes", lambda c, i: (i == F.size("__codes") - 1) | (_end(c) < _start(F.get("__codes", i + 1))))
     ranges = F.zip_with(starts, ends, lambda a, b: _start(a).cast("long") * _SHIFT + _end(b))
-    removed = cut_lineage(codes.select("__id", "__text_hash", ranges.alias("__ranges")))
-    few = (removed.agg(F.sum(F.size("__ranges") + 3)).first()[0] or 0) <= broadcast_codes
-    joined = df.withColumns({"__id": key[0], "__text_hash": key[1]}).join(F.broadcast(removed) if few else removed, ["__id", "__text_hash"], "left")
+    removed = cut_lineage(codes.select("__id", "__digest", ranges.alias("__ranges")))
+    keyed = df.withColumns({"__id": F.col(doc_id), "__digest": F.xxhash64(F.col(text))})
+    few = _few(removed, "__ranges", broadcast_codes)
+    joined = _joined(keyed, removed, few, "left").drop("__id", "__digest")
     kept = F.filter(_units(F.col(text)), lambda _, i: ~F.exists("__ranges", lambda r: (_start(r) <= i) & (i < _end(r))))
     gone = F.col("__ranges").isNotNull()
     out = joined.withColumns({
         text: F.when(gone, F.array_join(kept, "")).otherwise(F.col(text)),
         "removed_passages": F.when(gone, F.size("__ranges")).otherwise(0).cast("long"),
     }).select(*[c for c in df.columns if c != "removed_passages"], "removed_passages")
-    return out if few else cut_lineage(out)
+    return out if few else cut_lineage(out)  # what reads the rows more than once shuffles the texts once
