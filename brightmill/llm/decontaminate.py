@@ -3,9 +3,9 @@
 Items and documents are sets of word shingles. Items are partitioned by set size into powers of two; an
 item's sketch holds its smallest MinHash values (one hash function orders all shingles), as many as its
 size partition needs: of u shingles at most floor((1 - t) u) may be missing in a document that contains
-a share t, so one more than that is enough for a hit, and the search loses nothing. Documents, of
-any length, only show the shingles whose hash is below the sketches' largest. Hits are candidates; each
-is verified by the exact containment of its shingles as strings.
+a share t, so one more than that is enough for a hit, and the search loses nothing. A small table of the sketches' hashes
+lets documents, of any length, show only those shingles that may hit; it decides cost only. Documents with a hit are
+candidates; each is verified by the exact containment of its shingles as strings.
 
 Words are runs of letters and digits of the lower-cased text. Items with fewer words than a shingle count
 as one shingle of all their words. Only DataFrame functions are used.
@@ -13,13 +13,14 @@ as one shingle of all their words. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightmill.llm.common import cut_lineage
 
+MOST_BITS = 22  # the table of slots has at most 4 MB
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -39,56 +40,81 @@ def shingles(w: Column, k: int) -> Column:
     return F.array_distinct(F.transform(_positions(w, k), lambda i: F.concat_ws(" ", F.slice(w, i + 1, k))))
 
 
-def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
+def _small(df: DataFrame, bytes_: int, limit: int) -> DataFrame:
     """Broadcast below a checked size; else a join by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if bytes_ <= limit else df
+
+
+def _slots(sketch: DataFrame, bits: int) -> Column:
+    """2^bits bytes, 1 at the low bits of each hash; a literal of bounded size."""
+    spots = sketch.select(F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("spot")).distinct().toArrow()
+    out = np.zeros(1 << bits, np.uint8)
+    out[spots.column("spot").to_numpy()] = 1
+    return F.lit(bytearray(out.tobytes()))
 
 
 def find_contaminated(
-    documents: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_rows: int = 500_000
+    documents: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every document and item with at least `threshold` of
-    the item's distinct shingles in the document.
+    the item's distinct shingles in the document; a share of exactly `threshold` counts.
 
-    Null and empty texts have no shingles and match nothing; null ids are kept as ids; of rows that share a
-    doc_id (or an item_id) the best match is given. Sketches and candidates are broadcast while they have at most
-    `broadcast_rows` rows of a few dozen bytes, and shuffled beyond.
+    Null and empty texts have no shingles and match nothing. Ids may have any type with an order; null ids are kept as
+    ids. Of rows that share a doc_id (or an item_id) the best match is given, repeated rows change nothing. Texts may have any
+    length; one text's words are worked on in one task. Without items, or documents, the result is empty. Other columns
+    of either table are not read, whatever their names. Sketches, shingles of items and ids of candidates are broadcast while
+    their counted bytes are at most `broadcast_bytes`, and shuffled beyond.
     """
-    # words stand in a column of their own: as an expression inside a lambda they would be split anew for each shingle
-    docs = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("__words"))
     tests = items.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
     tests = tests.withColumn("__k", F.least(F.lit(k), F.size("__words")))
-    found = []
-    for size in sorted(r[0] for r in tests.select("__k").distinct().collect()):  # k, and less for items shorter than a shingle
-        of_size = tests.where(F.col("__k") == size)
-        hashes = of_size.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("__words"), size))).alias("hashes"))
-        partition = F.ceil(F.log2(F.size("hashes")))
-        upper = F.pow(F.lit(2.0), partition)
-        sketch = hashes.select("item_id", F.explode(F.slice("hashes", F.lit(1), (F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int"))).alias("hash")).distinct()
-        sketch = cut_lineage(sketch)
-        rows, top = sketch.agg(F.count("*"), F.max("hash")).first()
-        # explode_outer: a plain explode would have its array computed once more, in an inferred filter
-        shown = docs.select("doc_id", F.explode_outer(F.filter(shingle_hashes(F.col("__words"), size), lambda h: h <= F.lit(top))).alias("hash"))
-        candidates = cut_lineage(shown.join(_small(sketch, rows, broadcast_rows), "hash").select("doc_id", "item_id").distinct())
-        pairs = candidates.count()
-        with_items = candidates.alias("c").join(
-            _small(of_size.select(F.col("item_id").alias("__item"), shingles(F.col("__words"), size).alias("__tests")), rows, broadcast_rows), F.col("c.item_id").eqNullSafe(F.col("__item"))
-        )
-        by_doc = with_items.select(F.col("c.doc_id").alias("__doc"), "item_id", "__tests")
-        met = docs.join(_small(by_doc, pairs, broadcast_rows // 10), F.col("doc_id").eqNullSafe(F.col("__doc")))
-        shared = F.size(F.array_intersect(shingles(F.col("__words"), size), F.col("__tests")))
-        found.append(met.select("doc_id", "item_id", shared.alias("n_shared"), F.size("__tests").alias("n_item")))
-    if not found:
-        kind = tests.schema["item_id"].dataType.simpleString()
-        return docs.where(F.lit(False)).selectExpr("doc_id", f"cast(null as {kind}) item_id", "0L n_shared", "0L n_item", "0D containment")
-    out = reduce(DataFrame.unionByName, found).where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
-    return best.select(
-        "doc_id", "item_id", F.col("m.n_shared").cast("long").alias("n_shared"), F.col("m.n_item").cast("long").alias("n_item"), (F.col("m.n_shared") / F.col("m.n_item")).alias("containment")
-    )
-
+    sizes = sorted(r[0] for r in tests.select("__k").distinct().collect())  # k, and less for items shorter than a shingle
+    if not sizes:
+        none = documents.select(F.col(doc_id).alias("doc_id")).where(F.lit(False))
+        return none.join(items.select(F.col(item_id).alias("item_id")).where(F.lit(False))).selectExpr("doc_id", "item_id", "0L n_shared", "0L n_item", "0D containment")
+
+    def by_size(f, key: Column) -> Column:
+        """`f` of the words, with shingles of the row's own size."""
+        out = f(sizes[-1])
+        for n in sizes[:-1]:
+            out = F.when(key == n, f(n)).otherwise(out)
+        return out
+
+    w = F.col("__words")
+    own = tests.select("item_id", "__k", by_size(lambda n: shingles(w, n), F.col("__k")).alias("__own"), by_size(lambda n: F.array_sort(F.array_distinct(shingle_hashes(w, n))), F.col("__k")).alias("__hashes"))
+    own = own.withColumn("__row", F.xxhash64("item_id", "__own"))  # rows that share an item_id may differ
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("__hashes"))))
+    needed = (F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int")
+    sketch = cut_lineage(own.select("__k", F.explode(F.slice("__hashes", F.lit(1), needed)).alias("hash")).distinct())
+    rows = sketch.count()
+    bits = min(MOST_BITS, max(12, (64 * rows).bit_length()))
+    slots = _slots(sketch, bits)
+    may_hit = lambda h: F.substring(slots, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+    def tagged(values: Column, n: int, name: str) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(n).alias("__k"), x.alias(name)))
 
-def remove_contaminated(documents: DataFrame, items: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """The documents in which no item is found; a document that holds one goes as a whole."""
-    flagged = cut_lineage(find_contaminated(documents, items, **options).select(F.col("doc_id").alias("__flagged")).distinct())
-    return documents.join(_small(flagged, flagged.count(), broadcast_rows), F.col("doc_id").eqNullSafe(F.col("__flagged")), "left_anti")
+    # words stand in a column of their own: as an expression inside a lambda they would be split anew for each shingle
+    docs = documents.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("__words"))
+    shown = [tagged(F.filter(shingle_hashes(w, n), may_hit), n, "hash") for n in sizes]
+    # explode_outer: a plain explode would have its array computed once more, in an inferred filter
+    hits = docs.select("doc_id", F.explode_outer(F.concat(*shown)).alias("__h")).select("doc_id", "__h.*")
+    candidates = cut_lineage(hits.join(_small(sketch, 24 * rows, broadcast_bytes), ["__k", "hash"], "left_semi").select("doc_id").distinct())
+    met = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).join(
+        _small(candidates.withColumnRenamed("doc_id", "__doc"), 32 * candidates.count(), broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi"
+    )
+    met = met.select("doc_id", F.xxhash64("__text").alias("__text"), words(F.col("__text")).alias("__words"))
+    strings = [tagged(shingles(w, n), n, "shingle") for n in sizes]
+    shared = met.select("doc_id", "__text", F.explode_outer(F.concat(*strings)).alias("__s")).select("doc_id", "__text", "__s.*").distinct()
+    tested = cut_lineage(own.select("item_id", "__row", "__k", F.size("__own").alias("n_item"), F.explode("__own").alias("shingle")).distinct())
+    size = tested.agg(F.sum(F.octet_length("shingle") + 64)).first()[0]
+    found = shared.join(_small(tested, size, broadcast_bytes), ["__k", "shingle"]).groupBy("doc_id", "__text", "item_id", "__row", "n_item").agg(F.count("*").alias("n_shared"))
+    found = found.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.n_shared").alias("n_shared"), F.col("m.n_item").cast("long").alias("n_item"), (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
+
+
+def remove_contaminated(documents: DataFrame, items: DataFrame, broadcast_bytes: int = 64 << 20, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents in which no item is found, with all columns; all rows of an id go if one of them holds an item."""
+    found = find_contaminated(documents, items, doc_id=doc_id, broadcast_bytes=broadcast_bytes, **options)
+    flagged = cut_lineage(found.select(F.col("doc_id").alias("__flagged")).distinct())
+    return documents.join(_small(flagged, 32 * flagged.count(), broadcast_bytes), F.col(doc_id).eqNullSafe(F.col("__flagged")), "left_anti")
