@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from brightmill.llm.common import SLICE, cut_lineage, slices
+from brightmill.llm.common import SLICE, check_names, cut_lineage, lean, slices
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # finaliser of splitmix64 (fixed values)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,6 +122,8 @@ def digest(shingles: np.ndarray) -> bytes:
 SKETCH_BITS = 16
 SHIFT = np.uint64(64 - SKETCH_BITS)
 PARITY_BITS = 512
+SEEN = 100_000  # classes that a task remembers as listed
+SET_BYTES = 1 << 20  # of the sets in one batch
 
 
 def parity(shingles: np.ndarray) -> list[int]:
@@ -148,38 +151,41 @@ class JaccardJoin:
     def links(self, shared: Column, total: Column) -> Column:
         return (shared > 0) & (100 * shared >= self.percent * (total - shared))
 
-    def sets(self, docs: DataFrame) -> DataFrame:
-        """doc_id, class (null for the empty set), n and parity of every row."""
-        k = self.k
+    def read(self, docs: DataFrame) -> DataFrame:
+        """One pass over the texts: for every row doc_id, class (null for the empty set), n and parity, and, at a task's
+        end, rows of cell and total: how many texts hold a shingle, and how many words there are, in each sketch cell."""
+        k, cells = self.k, 1 << SKETCH_BITS
+        names = ["doc_id", "class", "n", "parity", "cell", "total"]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64())
+
+        def rows(*columns: list | np.ndarray | None) -> pa.RecordBatch:
+            size = next(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(2 * cells, np.int64)
             for batch in batches:
-                found = [(digest(s) if len(s) else None, len(s), parity(s)) for s in shingle_sets(batch.column(1).to_pylist(), k)]
-                columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "class", "n", "parity"])
-
-        return docs.mapInArrow(run, "doc_id long, class binary, n int, parity array<long>")
-
-    def order(self, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+                for a in range(0, len(batch), 500):
+                    part = batch[a : a + 500]
+                    words = list(text_words(part.column(1).to_pylist()))
+                    sets = [np.unique(shingle_hashes(w, k)) for w in words]
+                    found = [(digest(s) if len(s) else None, len(s), parity(s)) for s in sets]
+                    for half, hashes in ((counts[:cells], sets), (counts[cells:], words)):
+                        half += np.bincount((np.concatenate(hashes) >> SHIFT).astype(np.int64), minlength=cells)
+                    yield rows(part.column(0), *zip(*found, strict=True), None, None)
+            used = np.flatnonzero(counts)
+            yield rows(None, None, None, None, used.astype(np.int32), counts[used])
+
+        return docs.mapInArrow(lean(run), "doc_id long, class binary, n int, parity array<long>, cell int, total long")
+
+    def order(self, read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Levels that put rare shingles first: of a shingle's cell, if that is far above the other cells, and of
         each of its words' cells. Both come from counts over all texts in 2**SKETCH_BITS cells, whatever the corpus
         is. Levels are whole numbers, so that all machines agree on the order."""
-        k, cells = self.k, 1 << SKETCH_BITS
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * cells, np.int64)
-            for batch in batches:
-                for a in range(0, len(batch), 1000):
-                    words = list(text_words(batch.column(1)[a : a + 1000].to_pylist()))
-                    sets = [np.unique(shingle_hashes(w, k)) >> SHIFT for w in words]
-                    total[:cells] += np.bincount(np.concatenate(sets).astype(np.int64), minlength=cells)
-                    total[cells:] += np.bincount((np.concatenate(words) >> SHIFT).astype(np.int64), minlength=cells)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["cell", "n"])
-
+        cells = 1 << SKETCH_BITS
         out = np.zeros(2 * cells, np.int64)
-        found = docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+        found = read.where("cell is not null").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+        out[found.column("cell").to_numpy()] = found.column("total").to_numpy()
         sets, words = out[:cells].astype(float), out[cells:].astype(float)
         middle = np.median(sets)
         spread = max(1.4826 * float(np.median(np.abs(sets - middle))), math.sqrt(middle), 1.0)
@@ -187,10 +193,10 @@ class JaccardJoin:
         heavy = np.where(excess > 6 * spread, 1 + np.round(4 * np.log2(excess)), 0)
         return heavy.astype(np.int64), np.round(16 * np.log2(1 + words)).astype(np.int64)
 
-    def postings(self, docs: DataFrame) -> DataFrame:
-        """token, class, n, pos (from 1) and spread (1) of each class's prefix, once a task."""
+    def postings(self, docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """token, class, n and pos (from 1) of each class's prefix, mostly once a task."""
         k, smallest, extra = self.k, self.smallest, self.most_matches
-        order = docs.sparkSession.sparkContext.broadcast(self.order(docs))
+        order = docs.sparkSession.sparkContext.broadcast(order)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
@@ -201,6 +207,8 @@ class JaccardJoin:
                     s, first = np.unique(shingle_hashes(words, k), return_index=True)
                     if not len(s) or (d := digest(s)) in seen:
                         continue
+                    if len(seen) >= SEEN:  # what is listed again only costs a row
+                        seen.clear()
                     seen.add(d)
                     length = min(len(s), len(s) - smallest(len(s)) + extra)
                     sums = np.concatenate(([0], np.cumsum(level[(words >> SHIFT).astype(np.int64)])))
@@ -214,16 +222,14 @@ class JaccardJoin:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(classes, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "class", "n", "pos"])
 
-        return docs.mapInArrow(run, "token long, class binary, n int, pos int")
+        return docs.mapInArrow(lean(run), "token long, class binary, n int, pos int")
 
-    def lists(self, docs: DataFrame) -> DataFrame:
+    def lists(self, docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         """The postings of shingles that more than one class lists, with the list's length and leader.
 
         `probe` and `index` are the smallest l for which the posting is in the class's prefix towards smaller or
         equal sets, and towards equal or larger ones."""
-        # postings are of the order of the texts, but a window needs them sorted: small partitions keep a task's memory low
-        parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        raw = self.postings(docs).repartition(parts, "token")
+        raw = self.postings(docs, order).repartition("token")
         one = raw.groupBy("token", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.count("*").alias("spread"))
         n, pos = F.col("n"), F.col("pos")
         one = one.withColumns({
@@ -260,13 +266,23 @@ class JaccardJoin:
         keys = F.broadcast(keys) if keys.count() <= self.broadcast_rows else keys
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["class", "shingles"])
+
             for batch in batches:
-                for a in range(0, len(batch), 500):
-                    found = [s for s in shingle_sets(batch.column(1)[a : a + 500].to_pylist(), k) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], ["class", "shingles"])
+                found, size = [], 0
+                for s in shingle_sets(batch.column(1).to_pylist(), k):
+                    if len(s):
+                        found.append(s)
+                        size += s.nbytes
+                    if size >= SET_BYTES:
+                        yield rows(found)
+                        found, size = [], 0
+                if found:
+                    yield rows(found)
 
         texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        whole = texts.mapInArrow(run, "class binary, shingles array<long>").join(chosen.select("class"), "class").groupBy("class").agg(F.first("shingles").alias("shingles"))
+        whole = texts.mapInArrow(lean(run), "class binary, shingles array<long>").join(chosen.select("class"), "class").groupBy("class").agg(F.first("shingles").alias("shingles"))
         whole = cut_lineage(whole)
         left = whole.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
         right = whole.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
@@ -307,12 +323,17 @@ class JaccardJoin:
     def run(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, n_shingles and component_id (the smallest doc_id of the component) of every row.
 
-        Null and empty texts have no shingles, link with nothing and are their own component. Repeated rows
-        and ids are rows of their own; null ids take part, but never name a component unless it has no other.
+        Ids must be of an integral type (TypeError). Null and empty texts have no shingles, link with nothing and are
+        their own component. Repeated rows and ids are rows of their own; null ids take part, but never name a component
+        unless it has no other. Similarities of exactly `percent` link. Texts may have any length; a text's set is held by
+        one task. An empty table gives an empty one; other columns of `documents` are not read, whatever their names.
         """
+        if not isinstance(documents.schema[doc_id].dataType, IntegralType):
+            raise TypeError(f"{doc_id} must be of an integral type")
         docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        sets = cut_lineage(self.sets(docs))
-        lists = cut_lineage(self.lists(docs))
+        read = cut_lineage(self.read(docs))
+        sets = read.where("cell is null").select("doc_id", "class", "n", "parity")
+        lists = cut_lineage(self.lists(docs, self.order(read)))
         first = self.verified(docs, sets, self.leader_pairs(lists))
         labels = components(first)
         second = self.verified(docs, sets, self.cross_pairs(lists, labels))
@@ -351,12 +372,23 @@ def components(links: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, join: JaccardJoin, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 300_000) -> DataFrame:
     """The rows of `documents` but those whose component has a smaller doc_id, all columns kept.
 
-    Texts without shingles and rows with a null id stay. Rows that share an id go together, if one of them
-    does; rows that share id and text stay once.
+    Texts without shingles and all rows with a null id stay. Rows that share an id go together, if one of them
+    does; of rows that share id and text one stays, the first in the order of all other columns (which must have
+    one). Column names that begin with two underscores are refused (ValueError).
     """
+    check_names(documents)
     groups = cut_lineage(join.run(documents, doc_id, text))
-    gone = cut_lineage(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+
+    def counted(df: DataFrame) -> DataFrame:
+        df = cut_lineage(df)
+        return F.broadcast(df) if df.count() <= broadcast_rows else df
+
+    gone = counted(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
     kept = documents.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    repeated = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_id, text]) if repeated else kept
+    repeated = cut_lineage(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    if repeated.isEmpty():
+        return kept
+    repeated, same = counted(repeated), F.col(doc_id) == F.col("__again")
+    others = [c for c in documents.columns if c not in (doc_id, text)]
+    once = kept.join(repeated, same, "left_semi").groupBy(doc_id, text).agg(F.min(F.struct(F.lit(0).alias("__least"), *others)).alias("__first")).select(doc_id, text, *[F.col("__first")[c].alias(c) for c in others])
+    return kept.join(repeated, same, "left_anti").unionByName(once.select(*documents.columns))
