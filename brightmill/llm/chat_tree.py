@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightmill.llm.common import lean
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that chat templates read as control tokens.
 CONTROL = (
@@ -102,7 +104,8 @@ def format_tree(df: DataFrame, tokenizer_path: str, loss_roles: tuple[str, ...]
     """The prefix tree of conversations (conv_id, turn, role, text) as `OUTPUT` rows, in shards.
 
     `tokenizer_path` names a byte-level tokenizer file, so tokens decode to the exact formatted text.
-    An empty input gives no rows; extra columns are dropped. A single conversation is held in one row.
+    An empty input gives no rows; extra columns are dropped. A single conversation is held in one row, so the rows
+    without conv_id, which are one, must be as few as a conversation's. Repeated rows are turns of their own.
     """
     shards = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = order_turns(df).repartitionByRange(shards, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns", "path")
@@ -150,7 +153,7 @@ def format_tree(df: DataFrame, tokenizer_path: str, loss_roles: tuple[str, ...]
             if out:
                 yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    return ordered.mapInArrow(emit, OUTPUT)
+    return ordered.mapInArrow(lean(emit), OUTPUT)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, shared_turns long"
@@ -209,4 +212,4 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, _DIGEST)
 
-    return formatted.mapInArrow(read, DIGEST)
+    return formatted.mapInArrow(lean(read), DIGEST)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightmill.llm.common import lean
+
 # Fixed values of the MPEG audio standard (ISO/IEC 11172-3, 13818-3).
 BITRATES = {  # kbit/s by (MPEG-1?, layer), index 1..14
     (True, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -38,6 +40,11 @@ BITRATES = {  # kbit/s by (MPEG-1?, layer), index 1..14
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}  # by version bits
 CRC_POLYNOMIAL, CRC_START = 0x8005, 0xFFFF
+#: Layer II: (number of subbands, bits of their allocation) in order, by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
 
 HEADER, CRC, SIDE = 4, 2, 17
 RATE, SAMPLES = 48000, 1152
@@ -65,6 +72,42 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The CRC-16 of the first `bits` bits."""
+    crc = int(crc16(np.frombuffer(data, np.uint8, bits // 8)[None, :])[0])
+    for i in range(bits & ~7, bits):
+        top = (crc >> 15) ^ (data[i >> 3] >> (7 - (i & 7)) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if top else 0)
+    return crc
+
+
+def protected_bits(word: int, body: bytes) -> int:
+    """How many bits behind the checksum of a layer I or II frame it covers: the allocation of bits to subbands, and in
+    layer II the scale factor selection of those that have any."""
+    version, layer, mode = (word >> 19) & 3, 4 - ((word >> 17) & 3), (word >> 6) & 3
+    channels = 1 if mode == 3 else 2
+    bound = 4 * (((word >> 4) & 3) + 1) if mode == 1 else 32  # from there on joint stereo codes both channels as one
+    if layer == 1:
+        return 4 * (32 if channels == 1 else bound + 32)
+    kbits, hertz = BITRATES[version == 3, 2][((word >> 12) & 15) - 1] // channels, SAMPLE_RATES[version][(word >> 10) & 3]
+    if version != 3:
+        table = "low"
+    elif kbits < 56:
+        table = "d" if hertz == 32000 else "c"
+    else:
+        table = "b" if kbits >= 96 and hertz != 48000 else "a"
+    at = chosen = band = 0
+    number = int.from_bytes(body[:64].ljust(64, b"\x00"), "big")
+    for n, width in ALLOCATION[table]:
+        for _ in range(n):
+            coded = channels if band < bound else 1
+            for _ in range(coded):
+                chosen += bool(number >> (512 - at - width) & ((1 << width) - 1)) * (channels if coded < channels else 1)
+                at += width
+            band += 1
+    return at + 2 * chosen
+
+
 def _header(index: int) -> bytes:
     """MPEG-1 layer III, protected, bitrate index 1..14, 48 kHz, mono."""
     return bytes((0xFF, 0xFA, (index << 4) | 0x04, 0xC0))
@@ -237,6 +280,11 @@ def parse(data: bytes) -> Audio:
         out.body_starts.append(at + HEADER + CRC * has_crc + side)
         if has_crc and side:
             protected.setdefault(side, []).append(at)
+        elif has_crc:
+            body = data[at + HEADER + CRC : at + size]
+            bits = protected_bits(word, body)
+            out.checked += 1
+            out.crc_errors += crc16_bits(data[at + 2 : at + HEADER] + body.ljust(64, b"\x00"), 16 + bits) != int.from_bytes(data[at + HEADER : at + HEADER + CRC], "big")
         at += size
     out.skipped += max(0, end - at) if at < end else 0
     raw = np.frombuffer(data, np.uint8)
@@ -259,14 +307,15 @@ def read_payload(data: bytes, audio: Audio | None = None) -> bytes:
 
 def encode_column(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Adds `n_bytes` (of the UTF-8 text, null as empty) and the binary column `media` with its padded
-    payload as MPEG audio. Columns of these names are replaced."""
+    payload as MPEG audio. Columns of these names are replaced. Repeated rows have equal results; texts may have any length,
+    one is coded in one task; an empty table gives an empty one."""
 
     def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([encode(pad_payload(x or b"")) for x in batch.to_pylist()], pa.binary())
 
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return df.withColumns({"n_bytes": F.octet_length(data).cast("long"), media: F.arrow_udf(store, "binary")(data)})
+    return df.withColumns({"n_bytes": F.octet_length(data).cast("long"), media: F.arrow_udf(lean(store), "binary")(data)})
 
 
 FEATURES = (
@@ -295,11 +344,11 @@ def measure(data: bytes) -> dict:
 
 def measure_column(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds the struct `audio` with what the reader finds in each stored stream: payload digests, exact
-    duration (duration_samples / sample_rate seconds), CRC results and the seek offset of every frame. A null
-    stream counts as an empty one."""
+    duration (duration_samples / sample_rate seconds), CRC results and the seek offset of every frame; a column `audio` is
+    replaced. A null stream counts as an empty one."""
 
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([measure(x or b"") for x in batch.to_pylist()], _TYPE)
 
-    return df.withColumn("audio", F.arrow_udf(read, f"struct<{', '.join(p.strip().replace(' ', ':', 1) for p in FEATURES.split(', '))}>")(F.col(media)))
+    return df.withColumn("audio", F.arrow_udf(lean(read), f"struct<{', '.join(p.strip().replace(' ', ':', 1) for p in FEATURES.split(', '))}>")(F.col(media)))
