@@ -3,8 +3,8 @@
 Each piece has a size in three dimensions: tokens, segments (1) and loss-bearing tokens. Sequences are
 filled one at a time. The dot-product heuristic picks, among the waiting pieces that fit, the one whose
 size vector has the largest inner product with what the sequence has left, all in units of the limits.
-When no whole piece fits and cutting is allowed, a waiting piece is cut to fill the sequence exactly, so
-only the last sequences of a task are not full; these are cut to powers of two, which need no padding.
+When no whole piece fits, or one segment is left, and cutting is allowed, the waiting piece with the longest
+fitting prefix is cut. Sequences that can't be filled are cut to powers of two, which need no padding.
 
 Packing is local to a task's documents: no shuffle, no driver work, and memory bounded by a window of
 waiting pieces that is refilled from the stream. What is left of one window is packed with the next.
@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from brightmill.llm.common import release_memory
+from brightmill.llm.common import lean
 
 END_ID = 2
 
@@ -106,11 +108,19 @@ class WordTokenizer:
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence may hold. Prompts bear no loss, so a loss limit below that of tokens asks for a mix of prompts and
+    answers in each sequence."""
+
     tokens: int = 4096
     segments: int = 1024
     loss: int = 4096
 
 
+#: For instruction data: at most 32 examples and 3456 loss-bearing tokens a sequence. A quarter of each plain document
+#: stands for its prompt, so all documents together bear loss on 3072 of 4096 tokens.
+INSTRUCTIONS, PROMPT_SHARE = Limits(4096, 32, 3456), 0.25
+
+
 @dataclass(frozen=True)
 class Piece:
     """Tokens start..start+length of the document with number `doc`; loss-bearing ones stand from `loss_from` on."""
@@ -127,81 +137,84 @@ class Piece:
     def cut(self, length: int) -> tuple[Piece, Piece]:
         return Piece(self.doc, self.start, length, self.loss_from), Piece(self.doc, self.start + length, self.length - length, self.loss_from)
 
-    def longest(self, tokens: int, loss: int) -> int:
-        """The longest prefix within both limits."""
-        free = max(0, min(self.length, self.loss_from - self.start))
-        return min(self.length, tokens, free + loss)
-
 
 class Waiting:
-    """Waiting pieces, grouped by equal size vectors."""
+    """Waiting pieces, grouped by equal size vectors; groups are known by their rows in `_sizes`."""
 
     def __init__(self, limits: Limits):
         self.limits = limits
-        self.groups: dict[tuple[int, int], list[Piece]] = {}
         self.tokens = 0
         self.count = 0
-        self._stale = True
+        self._rows: dict[tuple[int, int], int] = {}
+        self._groups: list[list[Piece]] = []
+        self._sizes = np.zeros((64, 2))
+        self._alive = np.zeros(64, bool)
 
     def add(self, piece: Piece) -> None:
         key = (piece.length, piece.loss)
-        if not self.groups.get(key):
-            self._stale = self._stale or key not in self.groups
-        self.groups.setdefault(key, []).append(piece)
+        if key not in self._rows:
+            if len(self._groups) == len(self._alive):
+                self._compact()
+            self._rows[key] = len(self._groups)
+            self._sizes[len(self._groups)] = key
+            self._groups.append([])
+        row = self._rows[key]
+        self._groups[row].append(piece)
+        self._alive[row] = True
         self.tokens += piece.length
         self.count += 1
-        if not self._stale:
-            self._alive[self._index[key]] = True
 
-    def take(self, key: tuple[int, int]) -> Piece:
-        piece = self.groups[key].pop()
+    def take(self, row: int) -> Piece:
+        piece = self._groups[row].pop()
+        self._alive[row] = bool(self._groups[row])
         self.tokens -= piece.length
         self.count -= 1
-        if not self.groups[key] and not self._stale:
-            self._alive[self._index[key]] = False
         return piece
 
-    def _refresh(self) -> None:
-        self.groups = {k: v for k, v in self.groups.items() if v}
-        self._keys = sorted(self.groups)
-        self._index = {k: i for i, k in enumerate(self._keys)}
-        self._sizes = np.array(self._keys, float).reshape(-1, 2)
-        self._alive = np.ones(len(self._keys), bool)
-        self._stale = False
-
-    def best(self, tokens: int, segments: int, loss: int) -> tuple[int, int] | None:
-        """The fitting size with the largest dot product with what is left; of equal ones the longest."""
-        if self._stale:
-            self._refresh()
-        if not self.count or not segments:
-            return None
+    def _compact(self) -> None:
+        """Drops empty groups, and doubles the arrays if they are still more than half full."""
+        kept = np.flatnonzero(self._alive)
+        size = len(self._alive) * (2 if 2 * len(kept) > len(self._alive) else 1)
+        sizes = np.zeros((size, 2))
+        sizes[: len(kept)] = self._sizes[kept]
+        self._groups = [self._groups[i] for i in kept]
+        self._rows = {(g[0].length, g[0].loss): i for i, g in enumerate(self._groups)}
+        self._sizes, self._alive = sizes, np.arange(size) < len(kept)
+
+    def best(self, tokens: int, segments: int, loss: int) -> int | None:
+        """The group of fitting pieces with the largest dot product with what is left."""
         limits = self.limits
-        fits = self._alive & (self._sizes[:, 0] <= tokens) & (self._sizes[:, 1] <= loss)
-        dot = self._sizes[:, 0] * (tokens / limits.tokens**2) + self._sizes[:, 1] * (loss / max(1, limits.loss) ** 2) + segments / limits.segments**2
-        at = len(dot) - 1 - int(np.where(fits, dot, -1.0)[::-1].argmax())
-        return self._keys[at] if fits[at] else None
+        length, bearing = self._sizes.T
+        fits = self._alive & (length <= tokens) & (bearing <= loss)
+        dot = length * (tokens / limits.tokens**2) + bearing * (loss / max(1, limits.loss) ** 2) + segments / limits.segments**2
+        row = int(np.where(fits, dot, -1.0).argmax())
+        return row if fits[row] else None
 
-    def any(self) -> tuple[int, int] | None:
-        """The longest waiting size."""
-        if self._stale:
-            self._refresh()
-        alive = np.flatnonzero(self._alive)
-        return self._keys[alive[-1]] if len(alive) else None
+    def prefix(self, tokens: int, loss: int) -> tuple[int, int]:
+        """The group with the longest fitting prefix, of equal ones the longest, and the prefix's length. Loss-free
+        tokens of a piece stand before its loss-bearing ones."""
+        length, bearing = self._sizes.T
+        fitting = np.where(self._alive, np.minimum(np.minimum(length, tokens), length - bearing + loss), 0)
+        row = int((fitting * 1e6 + length).argmax())
+        return row, int(fitting[row])
 
 
 def _fill(waiting: Waiting, limits: Limits, cutting: bool) -> list[Piece]:
-    """One sequence."""
+    """One sequence. Its last segment, and what no whole piece fits into, take a prefix."""
     out: list[Piece] = []
     tokens, segments, loss = limits.tokens, limits.segments, limits.loss
-    while tokens and segments:
-        key = waiting.best(tokens, segments, loss)
-        if key:
-            piece = waiting.take(key)
-        elif cutting and (key := waiting.any()) and (length := waiting.groups[key][-1].longest(tokens, loss)):
-            piece, rest = waiting.take(key).cut(length)
-            waiting.add(rest)
+    while tokens and segments and waiting.count:
+        row = None if cutting and segments == 1 else waiting.best(tokens, segments, loss)
+        if row is not None:
+            piece = waiting.take(row)
         else:
-            break
+            row, length = waiting.prefix(tokens, loss) if cutting else (0, 0)
+            if not length:
+                break
+            piece = waiting.take(row)
+            if length < piece.length:
+                piece, rest = piece.cut(length)
+                waiting.add(rest)
         out.append(piece)
         tokens, segments, loss = tokens - piece.length, segments - 1, loss - piece.loss
     return out
@@ -223,9 +236,9 @@ def _trim(pieces: list[Piece], length: int, waiting: Waiting) -> list[Piece]:
     return out
 
 
-def pack(waiting: Waiting, limits: Limits, last: bool, cutting: bool = True) -> Iterator[list[Piece]]:
-    """Sequences from the waiting pieces; with `last` all of them, else while a full one can be made."""
-    while waiting.count and (last or waiting.tokens >= limits.tokens):
+def pack(waiting: Waiting, limits: Limits, least: int = 0, cutting: bool = True) -> Iterator[list[Piece]]:
+    """Sequences from the waiting pieces, until fewer than `least` tokens wait (0: all are placed)."""
+    while waiting.count and waiting.tokens >= least:
         pieces = _fill(waiting, limits, cutting)
         total = sum(p.length for p in pieces)
         if cutting and total < limits.tokens and total & (total - 1):
@@ -238,15 +251,23 @@ _PIECES_SCHEMA = pa.schema([(p.split()[0], pa.int64()) for p in PIECES.split(",
 
 
 def pack_documents(
-    df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", prompt_tokens: str | None = None, window_tokens: int = 2_000_000, ids: bool = False
-) -> DataFrame:
+    df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", prompt_tokens: str | None = None, prompt_share: float = 0.0,
+    window_tokens: int = 2_000_000, ids: bool = False,
+) -> DataFrame:
     """One row for each piece of each document: `PIECES`, and with `ids` the token ids.
 
-    A document is its text's ids (null text: none) and the end id. Its first `prompt_tokens` tokens (a column; 0
-    if None or null) and the end id bear no loss. Rows are packed as they are: repeated rows and ids are separate
-    documents. sequence_id is the task's number and a count, so a lost task gives the same rows again.
+    A document is its text's ids (null or empty text: none) and the end id. Its first `prompt_tokens` tokens (a column;
+    0 if null) or, without such a column, the share `prompt_share` of its tokens, rounded down, is its prompt; the prompt
+    and the end id bear no loss. Ids must be of an integral type (TypeError), null ids stay null. Rows are packed as
+    they are: repeated rows and ids are separate documents, equal sizes are taken as they came. Texts may have any
+    length; pieces of one have at most half a sequence where the loss limit is below that of tokens. An empty table gives an
+    empty one; other columns are not read, whatever their names. sequence_id is the task's number and a count, so a lost
+    task gives the same rows again.
     """
-    columns = [doc_id, text, *([prompt_tokens] if prompt_tokens else [])]
+    if not isinstance(df.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be of an integral type")
+    columns = [F.col(doc_id).cast("long"), F.col(text), *([F.col(prompt_tokens).cast("long")] if prompt_tokens else [])]
+    largest = limits.tokens if limits.loss >= limits.tokens else max(1, limits.tokens // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -257,10 +278,10 @@ def pack_documents(
         docs: dict[int, list] = {}  # number -> [doc_id, ids, tokens not placed yet]
         number = 0
 
-        def rows(last: bool) -> Iterator[pa.RecordBatch]:
+        def rows(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             out: list[tuple] = []
-            for pieces in pack(waiting, limits, last):
+            for pieces in pack(waiting, limits, least):
                 offset = 0
                 for p in pieces:
                     key, tokens, _ = doc = docs[p.doc]
@@ -287,20 +308,18 @@ def pack_documents(
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch[a : a + 256]
-                prompts = part.column(2).to_pylist() if prompt_tokens else [0] * len(part)
+                prompts = part.column(2).to_pylist() if prompt_tokens else [None] * len(part)
                 for key, coded, prompt in zip(part.column(0).to_pylist(), tokenizer.encode([t or "" for t in part.column(1).to_pylist()]), prompts, strict=True):
                     tokens = np.append(coded, np.uint32(END_ID)).astype("<u4")
                     docs[number] = [key, tokens, len(tokens)]
-                    piece = Piece(number, 0, len(tokens), prompt or 0)
+                    piece = Piece(number, 0, len(tokens), max(0, prompt or 0) if prompt_tokens else int(prompt_share * len(tokens)))
                     number += 1
-                    while piece.length > limits.tokens:  # whole sequences of a long document are pieces of their own
-                        head, piece = piece.cut(limits.tokens)
+                    while piece.length > largest:
+                        head, piece = piece.cut(largest)
                         waiting.add(head)
                     waiting.add(piece)
-                if waiting.tokens >= window_tokens:
-                    yield from rows(last=False)
-        yield from rows(last=True)
-        del tokenizer
-        release_memory()
+                if waiting.tokens >= window_tokens:  # half of the window stays, so that the choice stays large
+                    yield from rows(max(limits.tokens, window_tokens // 2))
+        yield from rows(0)
 
-    return df.select(*columns).mapInArrow(run, PIECES + (", ids array<long>" if ids else ""))
+    return df.select(*columns).mapInArrow(lean(run), PIECES + (", ids array<long>" if ids else ""))

@@ -99,7 +99,7 @@ FROM documents d LEFT JOIN o USING (doc_id)
 def op3_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as MPEG audio, read back and measured."""
     stored = media_audio.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media_audio.measure_column(stored).select("doc_id", "n_bytes", "audio.*").drop("seek_offsets")
+    return media_audio.measure_column(stored).select("doc_id", "n_bytes", "audio.*")
 
 
 def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +126,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 4096 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """All documents packed as instruction data into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), packing.INSTRUCTIONS, prompt_share=packing.PROMPT_SHARE)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
