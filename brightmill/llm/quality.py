@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightmill.llm.common import SLICE, slices
+from brightmill.llm.common import SLICE, lean, slices
 
 NAMES = (
     "log_words", "log_word_length", "log_distinct_words", "log_distinct_pairs", "upper", "symbols", "stops", "digits", "letters", "log_line_words",
@@ -95,7 +95,7 @@ def feature_column(text: str = "text") -> Column:
             out = [features(batch[a : a + 512].to_pylist()) for a in range(0, len(batch), 512)]
             yield pa.array(list(np.concatenate(out)) if out else [], pa.list_(pa.float64()))
 
-    return F.arrow_udf(compute, "array<double>")(F.col(text))
+    return F.arrow_udf(lean(compute), "array<double>")(F.col(text))
 
 
 @dataclass
@@ -126,6 +126,7 @@ def fit(labelled: DataFrame, vector: str = "features", label: str = "label", poo
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             x = np.array(batch.column(0).to_pylist(), float).reshape(-1, d)
             y = np.asarray(batch.column(1).to_pylist())
             for c in (0, 1):
@@ -134,9 +135,10 @@ def fit(labelled: DataFrame, vector: str = "features", label: str = "label", poo
         for c in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array([c] * total.shape[1], pa.int32()), pa.array(range(total.shape[1]), pa.int32()), pa.array(total[c])], ["class", "entry", "value"])
 
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(vector).isNotNull()).select(vector, F.col(label).cast("int"))
+    # nulls among the vectors are left out in the task: as a filter here Spark would compute the statistics twice
+    rows = labelled.where(F.col(label).isin(0, 1)).select(vector, F.col(label).cast("int"))
     moments = np.zeros((2, 1 + d + d * d))
-    for r in rows.mapInArrow(sums, "class int, entry int, value double").groupBy("class", "entry").agg(F.sum("value").alias("value")).collect():
+    for r in rows.mapInArrow(lean(sums), "class int, entry int, value double").groupBy("class", "entry").agg(F.sum("value").alias("value")).collect():
         moments[r["class"], r["entry"]] = r["value"]
     n = moments[:, 0]
     if n.min() < 2:
@@ -163,7 +165,7 @@ def score_column(df: DataFrame, model: Discriminant, vector: str = "features") -
         for batch in batches:
             yield pa.array(shared.value.score(np.array(batch.to_pylist(), float).reshape(-1, len(NAMES))))
 
-    return F.arrow_udf(judge, "double")(F.col(vector))
+    return F.arrow_udf(lean(judge), "double")(F.col(vector))
 
 
 def score_text_column(df: DataFrame, model: Discriminant, text: str = "text") -> Column:
@@ -175,4 +177,4 @@ def score_text_column(df: DataFrame, model: Discriminant, text: str = "text") ->
             out = [shared.value.score(features(batch[a : a + 512].to_pylist())) for a in range(0, len(batch), 512)]
             yield pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return F.arrow_udf(judge, "double")(F.col(text))
+    return F.arrow_udf(lean(judge), "double")(F.col(text))
