@@ -221,8 +221,8 @@ class Formats:
         if not self.kinds:
             return "", 0.0, False
         likelihood, kind = max((a.likelihood(value), k) for k, a in self.kinds.items())
-        more = (likelihood - self.ordinary.likelihood(value)) * (len(value) + 1)
-        return kind, likelihood, likelihood >= self.kinds[kind].threshold and more >= self.odds
+        like = likelihood >= self.kinds[kind].threshold
+        return kind, likelihood, like and (likelihood - self.ordinary.likelihood(value)) * (len(value) + 1) >= self.odds
 
     def spans(self, text: str, known: dict[str, tuple[str, float, bool]]) -> list[tuple[str, int, int, str, float]]:
         """(kind, start, end, format, log likelihood a character) of the base spans, and of the learned ones, which touch no
