@@ -355,18 +355,32 @@ def _(v: Views) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(all_).alias("x")).select("conv_id", "turn", "x.*")
 
 
-@query("x36_source_extraction", "", f"SELECT u AS url, min(page_id) AS page_id, left(arg_min(html, page_id), 200) AS snippet FROM (SELECT page_id, html, {NORMALIZE_SQL} AS u FROM pages) GROUP BY u")
+@query("x36_source_extraction", "", """
+WITH r AS (SELECT page_id // 3 AS call, page_id, url, 'Page ' || page_id AS title, CASE WHEN page_id % 4 <> 3 THEN html END AS snippet FROM pages WHERE page_id % 7 <> 0)
+SELECT url, arg_min(call, page_id) AS call, arg_min(title, page_id) AS title, arg_min(left(coalesce(snippet, ''), 200), page_id) AS snippet FROM r GROUP BY url""")
 def _(v: Views) -> DataFrame:
-    found = v.pages.groupBy(normalize_url(F.col("url")).alias("url"))
-    return found.agg(F.min("page_id").alias("page_id"), F.left(F.min_by("html", "page_id"), F.lit(200)).alias("snippet"))
-
-
-@query("x37_timeline", "mx", """
-SELECT conv_id, turn, k.kind, k.value FROM mx, LATERAL (VALUES ('message', role), ('thinking', nullif(array_to_string(regexp_extract_all(text, '(?s)<thinking>(.*?)</thinking>', 1), chr(10)), '')), ('long', CASE WHEN length(text) > 500 THEN 'yes' END)) AS k(kind, value)
+    """Sources out of tool results, which are JSON texts of several results a call; broken ones give none. Of each address the
+    first stays, with the first 200 characters of its snippet."""
+    item = F.struct("page_id", "url", F.concat(F.lit("Page "), "page_id").alias("title"), F.when(F.col("page_id") % 4 != 3, F.col("html")).alias("snippet"))
+    good = F.col("page_id") % 7 != 0
+    calls = v.pages.groupBy(F.expr("page_id div 3").alias("call")).agg(F.to_json(F.struct(F.collect_list(F.when(good, item)).alias("results"))).alias("output"))
+    broken = calls.limit(1).select("call", F.lit('{"results": [').alias("output"))
+    parsed = calls.unionByName(broken).select("call", F.explode(F.from_json("output", "results array<struct<page_id:long,url:string,title:string,snippet:string>>")["results"]).alias("r")).select("call", "r.*")
+    first = lambda c: F.min_by(c, "page_id")
+    return parsed.groupBy("url").agg(first("call").alias("call"), first("title").alias("title"), first(F.left(F.coalesce("snippet", F.lit("")), F.lit(200))).alias("snippet"))
+
+
+@query("x37_timeline", "mx", r"""
+SELECT conv_id, turn, k.kind, k.value FROM mx, LATERAL (VALUES ('message', role), ('thinking', nullif(array_to_string(regexp_extract_all(text, '(?s)<thinking>(.*?)</thinking>', 1), chr(10)), '')), ('long', CASE WHEN length(text) > 500 THEN 'yes' END),
+  ('call', CASE WHEN role = 'assistant' AND turn % 4 <> 3 THEN 'search:' || conv_id || '-' || turn END), ('result', CASE WHEN role = 'assistant' AND turn % 4 <> 3 AND conv_id % 3 <> 0 THEN left(text, 40) END),
+  ('failure', CASE WHEN role = 'assistant' AND turn % 4 <> 3 AND conv_id % 3 = 0 THEN 'search:' || conv_id || '-' || turn END), ('source', nullif(regexp_extract(text, 'https?://[^ \n]+'), ''))) AS k(kind, value)
 WHERE k.value IS NOT NULL""")
 def _(v: Views) -> DataFrame:
+    """Of one message the rows of its audit: itself, thinking, length, its tool call with result or failure, and its source."""
     step = lambda kind, value: F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-    steps = F.array(step("message", F.col("role")), step("thinking", T.thinking_text(F.col("text"))), step("long", F.when(F.length("text") > 500, "yes")))
+    called, ended, call = (F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.col("conv_id") % 3 != 0, F.concat(F.lit("search:"), "conv_id", F.lit("-"), "turn")
+    steps = F.array(
+        step("message", F.col("role")), step("thinking", T.thinking_text(F.col("text"))), step("long", F.when(F.length("text") > 500, "yes")), step("call", F.when(called, call)),
+        step("result", F.when(called & ended, F.left("text", F.lit(40)))), step("failure", F.when(called & ~ended, call)), step("source", F.nullif(F.regexp_extract("text", r"https?://[^ \n]+", 0), F.lit(""))),
+    )
     return v.mx.select("conv_id", "turn", F.explode(F.array_compact(steps)).alias("s")).select("conv_id", "turn", "s.kind", "s.value")
-
-
