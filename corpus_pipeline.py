@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next stage's docs. All but the last return the columns of documents:
 
 1. quality: documents that the classifier rejects go;
-2. lines: repeated passages of 50 or more words and repeated multi-line chunks are cut out; a document of which nothing
-   is left goes;
+2. lines: repeated passages (30 or more words in whole sentences) and repeated multi-line chunks are cut out; a document
+   of which nothing is left goes;
 3. near_duplicates: of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays;
 4. decontaminate: documents that hold a benchmark item go;
 5. pack: what is left is packed into sequences.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightmill.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from brightmill.llm.common import doc_remainder, table
+from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY_THRESHOLD = 0.3
@@ -35,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     # statistics before the join: they are far smaller than the texts, which so are not shuffled
     features = docs.where(doc_remainder(F.col("doc_id"), 5) != 0).select("doc_id", quality.feature_column().alias("features"))
-    model = quality.fit(features.join(labels, "doc_id"))
+    model = quality.fit(cut_lineage(features).join(labels, "doc_id"))  # cut: else one task may run two Python workers
     return docs.withColumn("__score", quality.score_text_column(docs, model)).where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
 
 
@@ -59,8 +59,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Packs the documents as instruction data into sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), packing.INSTRUCTIONS, prompt_share=packing.PROMPT_SHARE)
 
 
 STAGES = [
