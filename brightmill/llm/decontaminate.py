@@ -104,10 +104,11 @@ def find_contaminated(
     )
     met = met.select("doc_id", F.xxhash64("__text").alias("__text"), words(F.col("__text")).alias("__words"))
     strings = [tagged(shingles(w, n), n, "shingle") for n in sizes]
-    shared = met.select("doc_id", "__text", F.explode_outer(F.concat(*strings)).alias("__s")).select("doc_id", "__text", "__s.*").distinct()
+    shared = met.select("doc_id", "__text", F.explode_outer(F.concat(*strings)).alias("__s")).select("doc_id", "__text", "__s.*")
     tested = cut_lineage(own.select("item_id", "__row", "__k", F.size("__own").alias("n_item"), F.explode("__own").alias("shingle")).distinct())
     size = tested.agg(F.sum(F.octet_length("shingle") + 64)).first()[0]
-    found = shared.join(_small(tested, size, broadcast_bytes), ["__k", "shingle"]).groupBy("doc_id", "__text", "item_id", "__row", "n_item").agg(F.count("*").alias("n_shared"))
+    pairs = shared.join(_small(tested, size, broadcast_bytes), ["__k", "shingle"]).distinct()  # rows of equal id and text count once
+    found = pairs.groupBy("doc_id", "__text", "item_id", "__row", "n_item").agg(F.count("*").alias("n_shared"))
     found = found.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_shared").alias("n_shared"), F.col("m.n_item").cast("long").alias("n_item"), (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
