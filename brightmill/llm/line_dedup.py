@@ -103,7 +103,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_
     docs = _documents(df, doc_id, text)
     # lines are hashed once; a document's places take far less room than its text
     found = cut_lineage(_chunks(docs, long_words)).select("__id", "__digest", F.explode("__found").alias("__f")).select("__id", "__digest", "__f.*")
-    repeated = found.groupBy("__hash").agg(F.count("*").alias("__times")).where("__times > 1").select("__hash")
+    # a table of its own: a join of two shuffled tables can split a hash that a large share of the rows has
+    repeated = cut_lineage(found.groupBy("__hash").agg(F.count("*").alias("__times")).where("__times > 1").select("__hash"))
     held = cut_lineage(found.join(repeated, "__hash").groupBy("__id", "__digest").agg(F.collect_set("__code").alias("__codes")))
     chunks = _one_row(_joined(docs, held, _few(held, "__codes", broadcast_codes), "inner").select("__id", "__digest", "__codes", F.split("__text", "\n").alias("__lines")), "__codes", "__lines")
     content = F.transform("__codes", lambda c: F.struct(c.alias("__code"), F.array_join(_content(F.col("__lines"), c), "\n").alias("__chunk")))
@@ -160,9 +161,10 @@ def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     check_names(df)
     docs = _documents(df, doc_id, text)
     runs = cut_lineage(_runs(docs, words)).select("__id", "__digest", F.explode("__found").alias("__f")).select("__id", "__digest", "__f.*")
-    repeated = runs.groupBy("__h1", "__h2").agg(F.count("*").alias("__times")).where("__times > 1").drop("__times")
+    # tables of their own: a join of two shuffled tables can split a run that a large share of the rows has
+    repeated = cut_lineage(runs.groupBy("__h1", "__h2").agg(F.count("*").alias("__times")).where("__times > 1").drop("__times"))
     runs = cut_lineage(runs.join(repeated, ["__h1", "__h2"]))
-    first = runs.groupBy("__h1", "__h2").agg(F.min(F.struct("__id", "__digest", "__code")).alias("__first"))
+    first = cut_lineage(runs.groupBy("__h1", "__h2").agg(F.min(F.struct("__id", "__digest", "__code")).alias("__first")))
     own = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__digest") == F.col("__first.__digest"))
     again = runs.join(first, ["__h1", "__h2"]).where(~own | (_start(F.col("__code")) >= _end(F.col("__first.__code"))))
     codes = _one_row(again.groupBy("__id", "__digest").agg(F.sort_array(F.collect_set("__code")).alias("__codes")), "__codes")
