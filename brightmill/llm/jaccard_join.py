@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,10 +154,10 @@ class JaccardJoin:
 
     def read(self, docs: DataFrame) -> DataFrame:
         """One pass over the texts: for every row doc_id, class (null for the empty set), n and parity, and, at a task's
-        end, rows of cell and total: how many texts hold a shingle, and how many words there are, in each sketch cell."""
+        end, one row with counts: how many texts hold a shingle, and how many words there are, in each sketch cell."""
         k, cells = self.k, 1 << SKETCH_BITS
-        names = ["doc_id", "class", "n", "parity", "cell", "total"]
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64())
+        names = ["doc_id", "class", "n", "parity", "counts"]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
 
         def rows(*columns: list | np.ndarray | None) -> pa.RecordBatch:
             size = next(len(c) for c in columns if c is not None)
@@ -172,11 +173,10 @@ class JaccardJoin:
                     found = [(digest(s) if len(s) else None, len(s), parity(s)) for s in sets]
                     for half, hashes in ((counts[:cells], sets), (counts[cells:], words)):
                         half += np.bincount((np.concatenate(hashes) >> SHIFT).astype(np.int64), minlength=cells)
-                    yield rows(part.column(0), *zip(*found, strict=True), None, None)
-            used = np.flatnonzero(counts)
-            yield rows(None, None, None, None, used.astype(np.int32), counts[used])
+                    yield rows(part.column(0), *zip(*found, strict=True), None)
+            yield rows(None, None, None, None, [zlib.compress(counts.tobytes(), 1)])
 
-        return docs.mapInArrow(lean(run), "doc_id long, class binary, n int, parity array<long>, cell int, total long")
+        return docs.mapInArrow(lean(run), "doc_id long, class binary, n int, parity array<long>, counts binary")
 
     def order(self, read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Levels that put rare shingles first: of a shingle's cell, if that is far above the other cells, and of
@@ -184,7 +184,16 @@ class JaccardJoin:
         is. Levels are whole numbers, so that all machines agree on the order."""
         cells = 1 << SKETCH_BITS
         out = np.zeros(2 * cells, np.int64)
-        found = read.where("cell is not null").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * cells, np.int64)
+            for batch in batches:
+                for packed in batch.column(0).to_pylist():
+                    total += np.frombuffer(zlib.decompress(packed), np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["cell", "total"])
+
+        found = read.where("counts is not null").select("counts").mapInArrow(lean(unpack), "cell int, total long").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
         out[found.column("cell").to_numpy()] = found.column("total").to_numpy()
         sets, words = out[:cells].astype(float), out[cells:].astype(float)
         middle = np.median(sets)
@@ -332,7 +341,7 @@ class JaccardJoin:
             raise TypeError(f"{doc_id} must be of an integral type")
         docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         read = cut_lineage(self.read(docs))
-        sets = read.where("cell is null").select("doc_id", "class", "n", "parity")
+        sets = read.where("counts is null").select("doc_id", "class", "n", "parity")
         lists = cut_lineage(self.lists(docs, self.order(read)))
         first = self.verified(docs, sets, self.leader_pairs(lists))
         labels = components(first)
@@ -356,14 +365,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): each node of the links (a, b) with the smallest node of its component.
 
     Every round takes the smallest label among a node's neighbours and then the label of that label; the
-    number of rounds follows the logarithm of a chain's length. Only a count reaches the driver."""
+    number of rounds follows the logarithm of a chain's length. Only a count reaches the driver: joins are merge joins, since
+    a broadcast for each join of each round would pass through it."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        lower = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        lower = cut_lineage(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        lower = cut_lineage(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")))
         labels = lower.select("node", "label")
         if not lower.where("label != old").limit(1).count():
             return labels
