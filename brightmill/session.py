@@ -32,6 +32,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 _SHIPPED: set[str] = set()
+_TEMPORARY: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -46,3 +47,15 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """A folder that the driver and all executors share, or `name` in it: the one that spark.checkpoint.dir names, or the context's
+    checkpoint folder. Only a session on one machine may do without either; it then gets a temporary folder."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _TEMPORARY.get(context.applicationId) or _TEMPORARY.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    return f"{base.rstrip('/')}/{name}" if name else base
