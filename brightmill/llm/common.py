@@ -5,14 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.session import ship_package
+from brightmill.session import shared_folder, ship_package
 
 
 #: Bytes of one batch between the JVM and a Python worker. With long texts, batches of Spark's default size
@@ -35,11 +34,10 @@ def check_names(*tables: DataFrame) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the folder named by spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a temporary folder is used."""
+    """Eager reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -92,3 +90,11 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
         pass
+
+
+def byte_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes
+    stand for themselves, the others for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from brightmill.llm.common import lean
+from brightmill.llm.common import byte_characters, lean
 
 END_ID = 2
 
@@ -37,15 +37,7 @@ _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 _END = b"\xff"
 
 
-def _byte_characters() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 bytes
-    stand for themselves, the others for the characters from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-_BYTE_OF = _byte_characters()
+_BYTE_OF = byte_characters()
 
 
 class WordTokenizer:

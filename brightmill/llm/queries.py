@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightmill.llm import chat_tree, decontaminate, jaccard_join, language_id, line_dedup, media_audio, packing, quality, secret_scan, url_filter
+from brightmill.llm import bpe_automaton, chat_tree, decontaminate, jaccard_join, language_id, line_dedup, media_audio, packing, quality, secret_scan, source_audit, tokenizer_alignment, url_filter
 from brightmill.llm.common import cut_lineage, doc_remainder, table
 
 URL_RULES = (
@@ -148,6 +148,53 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.JaccardJoin(k=3, percent=90).run(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe_automaton.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    decoded = bpe_automaton.decode_tokens(coded, path)
+    n_tokens = F.octet_length("tokens").cast("long") / 4
+    return decoded.select("doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The divergence of all pairs of a language's sources, and each source's 200 most telling terms."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), dc AS (SELECT id, lang, source, term, count(*) AS n FROM w GROUP BY ALL
+), k AS (SELECT lang, term, sum(n)::BIGINT AS n FROM dc GROUP BY lang, term HAVING count(*) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang
+), c AS (SELECT dc.lang, dc.source, dc.term, sum(dc.n)::BIGINT AS n FROM dc JOIN k USING (lang, term) GROUP BY ALL
+), g AS (SELECT lang, source, coalesce((SELECT sum(c.n) FROM c WHERE c.lang = s.lang AND c.source = s.source), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM d) s
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000 * (k.n + 1)) // (v.n + v.v) AS l
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (SELECT lang, source, term AS item, (p - l) * (p - l) // l AS value FROM p WHERE c > 0 AND p > l
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a byte-level BPE and a piece model cut every text, with corpus-wide counts of the ids that end together."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer_alignment.audit(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -160,8 +207,11 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_bpe_automaton": op11_bpe_automaton,
+        "op12_source_audit": op12_source_audit,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": OP1_SQL, "op2_line_dedup": OP2_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_line_dedup": OP2_SQL, "op9_url_filter": OP9_SQL, "op12_source_audit": OP12_SQL}

@@ -7,10 +7,14 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from brightmill.llm import queries
 from tests.llm.test_operators import brute_components, prose
+from tests.llm.test_tokens import plain_scores
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +49,7 @@ def test_contracts(spark, folder):
     path, texts = folder
     got = {name: [r.asDict() for r in run(spark, path).collect()] for name, run in queries.queries().items()}
     crc = lambda i: zlib.crc32(str(i).encode())
-    for name in ("op3_media_audio", "op5_quality", "op7_language_id", "op8_secret_scan", "op10_jaccard_join"):
+    for name in ("op3_media_audio", "op5_quality", "op7_language_id", "op8_secret_scan", "op10_jaccard_join", "op11_bpe_automaton", "op13_tokenizer_alignment"):
         assert sorted(r["doc_id"] for r in got[name]) == list(range(len(texts))), name
     for r in got["op3_media_audio"]:
         data = (texts[r["doc_id"]] or "").encode()
@@ -65,6 +69,13 @@ def test_contracts(spark, folder):
     assert (spans[9]["n_assign"], spans[10]["n_hex"], spans[0]["spans"]) == (1, 1, "")
     assert spans[9]["base_sha256"] == hashlib.sha256(f"assign:0:{len(texts[9]) - 1}".encode()).hexdigest()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got["op10_jaccard_join"]), key=repr) == brute_components(list(enumerate(texts)), 3, 90)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in got["op11_bpe_automaton"]:
+        ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))
+    expected, _, _ = plain_scores(texts)
+    assert {tuple(r[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")) for r in got["op13_tokenizer_alignment"]} == {(i, *e) for i, e in enumerate(expected)}
     packed = got["op6_packing"]
     assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
     assert all(r["doc_tokens"] == 1 for r in packed if not (texts[r["doc_id"]] or "").strip())
