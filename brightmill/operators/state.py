@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +68,8 @@ class Breaker:
     """Circuit breaker with its health: opens at 5 failures in a row, half-opens 60 s after the last failure when
     it is next read, closes at 2 successes; failures by rate limit don't count in the row."""
 
+    WAIT_MS: ClassVar[int] = 60_000
+
     state: str = "closed"
     streak: int = 0
     successes: int = 0
@@ -74,9 +77,15 @@ class Breaker:
     good: int = 0
     last_failure: int = 0
 
-    def step(self, now: int, failed: bool, rate_limited: bool) -> dict:
-        if self.state == "open" and now - self.last_failure >= 60_000:
+    def read(self, now: int) -> bool:
+        """Half-opens an open circuit whose wait is over; whether it did."""
+        due = self.state == "open" and now - self.last_failure >= self.WAIT_MS
+        if due:
             self.state, self.successes = "half_open", 0
+        return due
+
+    def step(self, now: int, failed: bool, rate_limited: bool) -> dict:
+        self.read(now)
         self.total += 1
         if failed:
             self.last_failure = now

@@ -10,7 +10,7 @@ from brightmill.plans.catalog import query
 from brightmill.sources.views import Views, before
 
 
-def _customers(v: Views) -> tuple[DataFrame, DataFrame]:
+def customers(v: Views) -> tuple[DataFrame, DataFrame]:
     """Stored rows and a batch of new ones, of which some have stored keys."""
     c = v.table("customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     return c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0").withColumns({"c_mktsegment": F.lit("NEW"), "c_nationkey": F.lit(99)})
@@ -27,21 +27,21 @@ def _(v: Views) -> DataFrame:
 
 @query("k2_insert_if_absent", "", _BOTH + "SELECT * FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (c_custkey)")
 def _(v: Views) -> DataFrame:
-    return insert_if_absent(*_customers(v), ["c_custkey"])
+    return insert_if_absent(*customers(v), ["c_custkey"])
 
 
-_UPSERT = _BOTH + """, m AS (SELECT c_custkey, CASE WHEN n.c_nationkey IS NOT NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment, CASE WHEN o.c_nationkey IS NOT NULL THEN o.c_nationkey ELSE n.c_nationkey END AS c_nationkey,
+UPSERT_SQL = _BOTH + """, m AS (SELECT c_custkey, CASE WHEN n.c_nationkey IS NOT NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment, CASE WHEN o.c_nationkey IS NOT NULL THEN o.c_nationkey ELSE n.c_nationkey END AS c_nationkey,
   CASE WHEN o.c_nationkey IS NULL THEN 'inserted' WHEN n.c_nationkey IS NOT NULL THEN 'modified' ELSE 'kept' END AS change FROM o FULL JOIN n USING (c_custkey)) """
 
 
-@query("k3_upsert", "", _UPSERT + "SELECT * FROM m")
+@query("k3_upsert", "", UPSERT_SQL + "SELECT * FROM m")
 def _(v: Views) -> DataFrame:
-    return upsert(*_customers(v), ["c_custkey"], ["c_mktsegment"], ["c_nationkey"])
+    return upsert(*customers(v), ["c_custkey"], ["c_mktsegment"], ["c_nationkey"])
 
 
-@query("k4_bulk_upsert_counts", "", _UPSERT + "SELECT change, count(*) AS n FROM m GROUP BY change")
+@query("k4_bulk_upsert_counts", "", UPSERT_SQL + "SELECT change, count(*) AS n FROM m GROUP BY change")
 def _(v: Views) -> DataFrame:
-    return upsert(*_customers(v), ["c_custkey"], ["c_mktsegment"], ["c_nationkey"]).groupBy("change").agg(F.count("*").alias("n"))
+    return upsert(*customers(v), ["c_custkey"], ["c_mktsegment"], ["c_nationkey"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @query("k5_increment", "u", "SELECT k AS key_id, 100 + count(*) AS requests, CAST(sum(tokens_used) AS BIGINT) AS tokens FROM u GROUP BY k")

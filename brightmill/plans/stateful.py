@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightmill.operators.aggregates import top
 from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
 from brightmill.plans.catalog import query
-from brightmill.sources.views import Views, sql_text
+from brightmill.sources.views import BatchViews, Views, sql_text
 from brightmill.streaming import jobs
 
 DAY_MS = 86_400_000
@@ -18,6 +20,14 @@ def _timed(v: Views) -> DataFrame:
     return v.st.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
+def _streamed(v: Views, name: str, keys: list[str], rows: Callable[[Views], DataFrame], new: Callable[[], object], step: Callable[[object, dict], dict], schema: str) -> DataFrame:
+    """A machine over the event stream; `rows` of the views over a batch."""
+    v.table("events")  # ships the package to the workers
+    own = [k for k in keys if k not in schema]  # states and results are laid out by the keys
+    entries = jobs.run_machine(v.spark, v.folder, name, keys, lambda batch: rows(BatchViews(v.spark, batch)), new, step, ", ".join([*(f"{k} long" for k in own), schema]))
+    return entries.drop(*own)
+
+
 # The machines as SQL: each user's events are numbered, and one recursive step a number takes all users' states on.
 _STEPS = """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM st)"""
 LIMITER_SQL = """
@@ -39,8 +49,9 @@ def _(v: Views) -> DataFrame:
 @query("t1_rate_limiter_stream", "st", _STEPS + LIMITER_SQL + " SELECT event_id, user_id, allowed FROM w WHERE n > 0")
 def _(v: Views) -> DataFrame:
     """The same limiter over the event stream."""
-    v.table("events")  # ships the package to the workers
-    return jobs.with_state_store(v.spark, lambda: jobs.run_complete(jobs.limit_requests(jobs.event_stream(v.spark, v.folder), 2, DAY_MS), "limiter", "append"))
+    step = lambda state, row: state.step(row["ms"])
+    rows = lambda v: _timed(v).select("user_id", "ms", "event_id")
+    return _streamed(v, "limiter", ["user_id"], rows, lambda: Limiter(2, DAY_MS), step, "event_id long, user_id long, allowed boolean")
 
 
 @query("t2_daily_counter", "u", """
@@ -75,7 +86,7 @@ def _(v: Views) -> DataFrame:
     return rows.select("event_id", F.array_compact(F.array(*[F.when(F.col(f"n_{x}") >= most, x) for x, (_, most) in _WINDOWS.items()])).alias("limited_by"))
 
 
-@query("t4_circuit_breaker", "st", _STEPS + """
+BREAKER_SQL = _STEPS + """
 , w AS (
   SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'closed' AS state, 0 AS streak, 0 AS successes, 0::BIGINT AS total, 0::BIGINT AS good, 0::BIGINT AS last FROM e UNION ALL
   SELECT user_id, n, event_id,
@@ -85,15 +96,40 @@ def _(v: Views) -> DataFrame:
       CASE WHEN x.was <> w.state THEN 0 ELSE w.successes END + (NOT e.failed AND x.was = 'half_open')::INT AS successes,
       w.total + 1 AS total, w.good + (NOT e.failed)::INT AS good, CASE WHEN e.failed THEN e.ms ELSE w.last END AS last
     FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1, LATERAL (SELECT CASE WHEN w.state = 'open' AND e.ms - w.last >= 60000 THEN 'half_open' ELSE w.state END AS was) x)
-)
+)"""
+_BREAKER = "event_id long, user_id long, state string, streak int, rate double, healthy boolean"
+
+
+def _breaker_rows(v: Views) -> DataFrame:
+    return _timed(v).select("user_id", "ms", "event_id", "failed", (F.col("failed") & (F.col("latency") > 400)).alias("rate_limited"))
+
+
+def _breaker_step(state: Breaker, r: dict) -> dict:
+    return state.step(r["ms"], r["failed"], r["rate_limited"])
+
+
+@query("t4_circuit_breaker", "st", BREAKER_SQL + """
 SELECT event_id, user_id, state, CAST(streak AS INTEGER) AS streak, 100.0::DOUBLE * good / total AS rate, CASE WHEN total >= 10 THEN 100.0::DOUBLE * good / total >= 50 ELSE state <> 'open' END AS healthy FROM w WHERE n > 0""")
 def _(v: Views) -> DataFrame:
-    rows = _timed(v).select("user_id", "ms", "event_id", "failed", (F.col("failed") & (F.col("latency") > 400)).alias("rate_limited"))
-    step = lambda state, r: state.step(r["ms"], r["failed"], r["rate_limited"])
-    return replay(rows, ["user_id"], ["ms", "event_id"], Breaker, step, "event_id long, user_id long, state string, streak int, rate double, healthy boolean")
+    return replay(_breaker_rows(v), ["user_id"], ["ms", "event_id"], Breaker, _breaker_step, _BREAKER)
 
 
-@query("t5_t6_key_rotation", "st", """WITH RECURSIVE e AS (
+@query("t4_circuit_breaker_stream", "st", BREAKER_SQL + """
+SELECT event_id, user_id, state, CAST(streak AS INTEGER) AS streak, 100.0::DOUBLE * good / total AS rate, CASE WHEN total >= 10 THEN 100.0::DOUBLE * good / total >= 50 ELSE state <> 'open' END AS healthy FROM w WHERE n > 0""")
+def _(v: Views) -> DataFrame:
+    """The breaker over the event stream, from stored states."""
+    return _streamed(v, "breaker", ["user_id"], _breaker_rows, Breaker, _breaker_step, _BREAKER)
+
+
+@query("t4_breaker_timers", "st", BREAKER_SQL + " SELECT event_id, user_id, state, CAST(streak AS INTEGER) AS streak FROM w WHERE n > 0")
+def _(v: Views) -> DataFrame:
+    """The breaker as a state processor, whose timers half-open it without an event; the rows of events."""
+    v.table("events")
+    found = jobs.with_state_store(v.spark, lambda: jobs.run_complete(v.spark, v.folder, jobs.breaker_with_timers, "breaker-timers", "append"))
+    return found.where("not by_timer").select("event_id", "user_id", "state", "streak")
+
+
+ROTATION_SQL = """WITH RECURSIVE e AS (
   SELECT *, user_id // 5 AS provider, user_id % 2 AS paid, latency > 400 AS limited, row_number() OVER (PARTITION BY user_id // 5, user_id % 2 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM st
 ), w AS (
   SELECT DISTINCT provider, paid, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS user_id, MAP {}::MAP(BIGINT, STRUCT(p BIGINT, s BIGINT, f BIGINT, a BOOLEAN)) AS keys, 0::BIGINT AS wait FROM e UNION ALL
@@ -106,19 +142,35 @@ def _(v: Views) -> DataFrame:
         SELECT e.provider, e.paid, e.n, e.event_id, e.user_id, e.failed, e.limited, e.latency, e.event_type, w.keys,
           coalesce(w.keys[e.user_id], {'p': e.user_id, 's': 0, 'f': 0, 'a': false}::STRUCT(p BIGINT, s BIGINT, f BIGINT, a BOOLEAN)) AS old FROM w JOIN e ON e.provider = w.provider AND e.paid = w.paid AND e.n = w.n + 1)))
 )
-SELECT event_id, user_id, keys[user_id].p AS priority, CAST(wait AS BIGINT) AS cooldown_ms, keys[user_id].a AS archived FROM w WHERE n > 0""")
-def _(v: Views) -> DataFrame:
+SELECT event_id, user_id, keys[user_id].p AS priority, CAST(wait AS BIGINT) AS cooldown_ms, keys[user_id].a AS archived FROM w WHERE n > 0"""
+_ROTATION = "event_id long, user_id long, priority long, cooldown_ms long, archived boolean"
+
+
+def _rotation_rows(v: Views) -> DataFrame:
     """Users stand for keys, five neighbours for a provider's, in groups of paid and free ones."""
     late, third = (F.col("event_type") == "signup") & (F.col("latency") > 450), F.col("user_id") % 3 == 0
-    rows = _timed(v).select(
+    return _timed(v).select(
         F.expr("user_id div 5").alias("provider"), (F.col("user_id") % 2).alias("paid"), "user_id", "ms", "event_id", "failed", (F.col("latency") > 400).alias("rate_limited"), late.alias("timed_out"),
         F.when(F.col("event_id") % 9 == 0, 5000).otherwise(0).alias("retry_after"), F.when(third, 45000).otherwise(0).alias("reset"),
     )
-    step = lambda state, r: state.step(r["user_id"], r["failed"], r["rate_limited"], r["timed_out"], r["retry_after"], r["reset"])
-    return replay(rows, ["provider", "paid"], ["ms", "event_id"], KeyRing, step, "event_id long, user_id long, priority long, cooldown_ms long, archived boolean")
 
 
-@query("t7_k14_credit_ledger", "st", _STEPS + """
+def _rotation_step(state: KeyRing, r: dict) -> dict:
+    return state.step(r["user_id"], r["failed"], r["rate_limited"], r["timed_out"], r["retry_after"], r["reset"])
+
+
+@query("t5_t6_key_rotation", "st", ROTATION_SQL)
+def _(v: Views) -> DataFrame:
+    return replay(_rotation_rows(v), ["provider", "paid"], ["ms", "event_id"], KeyRing, _rotation_step, _ROTATION)
+
+
+@query("t5_t6_key_rotation_stream", "st", ROTATION_SQL)
+def _(v: Views) -> DataFrame:
+    """Rotation and waits over the event stream, from the stored ring of each provider's paid or free keys."""
+    return _streamed(v, "rotation", ["provider", "paid"], _rotation_rows, KeyRing, _rotation_step, _ROTATION)
+
+
+LEDGER_SQL = _STEPS + """
 , a AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'deposit' WHEN 'view' THEN 'reserve' WHEN 'click' THEN 'finalize' ELSE 'none' END AS action, CAST(ceil(latency) AS BIGINT) AS amount FROM e
 ), w AS (
   SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 100::BIGINT AS free, 0::BIGINT AS paid, NULL::BIGINT AS refreshed, 0::BIGINT AS held, true AS accepted FROM a UNION ALL
@@ -131,12 +183,28 @@ def _(v: Views) -> DataFrame:
         CASE WHEN w.refreshed IS NULL OR a.ms - w.refreshed >= 86400000 THEN 100 ELSE w.free END AS f, CASE WHEN w.refreshed IS NULL OR a.ms - w.refreshed >= 86400000 THEN a.ms ELSE w.refreshed END AS r
       FROM w JOIN a ON a.user_id = w.user_id AND a.n = w.n + 1))
 )
-SELECT event_id, user_id, CAST(free AS BIGINT) AS free, CAST(paid AS BIGINT) AS paid, accepted FROM w WHERE n > 0""")
-def _(v: Views) -> DataFrame:
+SELECT event_id, user_id, CAST(free AS BIGINT) AS free, CAST(paid AS BIGINT) AS paid, accepted FROM w WHERE n > 0"""
+_LEDGER = "event_id long, user_id long, free long, paid long, accepted boolean"
+
+
+def _ledger_rows(v: Views) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "deposit").when(F.col("event_type") == "view", "reserve").when(F.col("event_type") == "click", "finalize").otherwise("none")
-    rows = _timed(v).select("user_id", "ms", "event_id", action.alias("action"), F.ceil("latency").alias("amount"))
-    step = lambda state, r: state.step(r["ms"], r["action"], r["amount"])
-    return replay(rows, ["user_id"], ["ms", "event_id"], Ledger, step, "event_id long, user_id long, free long, paid long, accepted boolean")
+    return _timed(v).select("user_id", "ms", "event_id", action.alias("action"), F.ceil("latency").alias("amount"))
+
+
+def _ledger_step(state: Ledger, r: dict) -> dict:
+    return state.step(r["ms"], r["action"], r["amount"])
+
+
+@query("t7_k14_credit_ledger", "st", LEDGER_SQL)
+def _(v: Views) -> DataFrame:
+    return replay(_ledger_rows(v), ["user_id"], ["ms", "event_id"], Ledger, _ledger_step, _LEDGER)
+
+
+@query("t7_credit_ledger_stream", "st", LEDGER_SQL)
+def _(v: Views) -> DataFrame:
+    """The ledger over the event stream: each micro-batch is one commit of accounts and entries."""
+    return _streamed(v, "ledger", ["user_id"], _ledger_rows, Ledger, _ledger_step, _LEDGER)
 
 
 @query("t8_s11_sse_lines", "m", "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS chars FROM m")
@@ -155,7 +223,7 @@ def _(v: Views) -> DataFrame:
 
 @query("t10_hourly_rollup_stream", "st", "SELECT event_type AS method, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) FILTER (NOT failed) AS successes, count(*) FILTER (failed) AS failures FROM st GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    return jobs.run_complete(jobs.hourly_rollup(jobs.event_stream(v.spark, v.folder)), "rollup")
+    return jobs.run_complete(v.spark, v.folder, jobs.hourly_rollup, "rollup")
 
 
 @query("t12_alerts", "st", """
@@ -176,12 +244,12 @@ def _(v: Views) -> DataFrame:
 
 @query("t13_metrics_stream", "st", "SELECT event_type, count(*) AS counter, round(sum(latency), 6) AS total FROM st GROUP BY event_type")
 def _(v: Views) -> DataFrame:
-    return jobs.run_complete(jobs.metrics(jobs.event_stream(v.spark, v.folder)), "metrics")
+    return jobs.run_complete(v.spark, v.folder, jobs.metrics, "metrics")
 
 
 @query("t15_deduplicated_stream", "u", "SELECT DISTINCT user_id, k FROM u")
 def _(v: Views) -> DataFrame:
-    return jobs.run_complete(jobs.first_deliveries(jobs.event_stream(v.spark, v.folder)), "deliveries", "append")
+    return jobs.run_complete(v.spark, v.folder, jobs.first_deliveries, "deliveries", "append")
 
 
 @query("t17_spans", "att", "SELECT l_orderkey AS span_id, count(*) AS children, round(sum(latency), 6) AS child_time, max(latency) AS longest, bool_or(reason = 'R') AS failed FROM att GROUP BY 1")

@@ -225,3 +225,16 @@ class Views:
             F.col("c_custkey").alias("user_id"), F.concat(F.lit("p"), F.col("c_custkey") % 4 + 1).alias("plan_id"), F.col("c_mktsegment").alias("segment"),
             F.floor("c_acctbal").cast("long").alias("balance"), (F.col("c_custkey") % 3 != 0).alias("active"),
         )
+
+
+class BatchViews(Views):
+    """The views of the event log over one batch of it."""
+
+    def __init__(self, spark: SparkSession, events: DataFrame):
+        super().__init__(spark, "")
+        self._events = events
+
+    def table(self, name: str) -> DataFrame:
+        if name != "events":
+            raise KeyError(name)
+        return self._events

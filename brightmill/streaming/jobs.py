@@ -1,45 +1,62 @@
-"""Structured Streaming jobs over the event log, each run to the end of what is there (availableNow)."""
+"""Structured Streaming jobs over the event log, which arrives in parts; each run goes to the end of what is there (availableNow)."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from brightmill.operators.state import Limiter
+from brightmill.operators.state import Breaker
+from brightmill.session import shared_folder
+from brightmill.streaming.machines import from_json, machine_step, machine_store, to_json
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event log as a stream of files; event time is an instant, as watermarks need."""
-    rows = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", "1").parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_slices(spark: SparkSession, folder: str, n: int = 4) -> list[DataFrame]:
+    """The event log in n parts by event time, about as long as each other; rows without a time come first."""
+    events = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.select(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
+    part = sum((F.coalesce((at >= b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
+    return [events.where(part == i) for i in range(len(bounds) + 1)]
 
 
-def run_complete(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream to its end and returns its last result: in complete mode the state after the last batch,
-    in append mode all rows."""
-    spark = stream.sparkSession
-    out = scratch(spark, name)
+def run_in_slices(spark: SparkSession, folder: str, name: str, start: Callable[[DataFrame], DataStreamWriter], n: int = 4) -> None:
+    """Lets the event log arrive in n parts. After each the stream runs to the end of what is there, so all but the first
+    run go on from the checkpoint of the one before."""
+    inbox, log = scratch(spark, f"{name}-inbox"), scratch(spark, f"{name}-log")
+    for part in event_slices(spark, folder, n):
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(EVENTS).parquet(inbox).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
+        start(stream).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, f"{name}-log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def run_complete(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over the event log, which arrives in parts, and returns its last result: in complete mode the state after
+    the last batch, in append mode all rows. A batch that is repeated replaces what it wrote before."""
+    out, schemas = scratch(spark, name), []
+
+    def start(events: DataFrame) -> DataStreamWriter:
+        stream = build(events)
+        schemas.append(stream.schema)
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/last" if mode == "complete" else f"{out}/{number}")
+
+        return stream.writeStream.outputMode(mode).foreachBatch(keep)
+
+    run_in_slices(spark, folder, name, start)
+    return spark.read.schema(schemas[-1]).option("recursiveFileLookup", "true").parquet(out)
 
 
 def hourly_rollup(events: DataFrame) -> DataFrame:
@@ -61,30 +78,58 @@ def first_deliveries(events: DataFrame) -> DataFrame:
     return keyed.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "k"]).select("user_id", "k")
 
 
-class LimiterProcessor(StatefulProcessor):
-    """The sliding-window limiter as a state processor; a user's accepted times are its state."""
+def run_machine(spark: SparkSession, folder: str, name: str, keys: list[str], rows: Callable[[DataFrame], DataFrame], new: Callable[[], object], step: Callable[[object, dict], dict], schema: str) -> DataFrame:
+    """A state machine over the event log, which arrives in parts; all its results."""
+    store = machine_store(spark, scratch(spark, name), keys)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        machine_step(store, number, rows(batch), keys, new, step, schema)
+
+    run_in_slices(spark, folder, name, lambda events: events.writeStream.foreachBatch(apply))
+    return store.read("entries")
 
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+
+class BreakerProcessor(StatefulProcessor):
+    """The circuit breaker with timers: it half-opens a minute of event time after the last failure, with or without an event.
+
+    A key's rows of one micro-batch come in chunks, which are sorted one by one: the stream brings a key's chunks in order."""
+
+    SCHEMA = "user_id long, event_id long, ms long, state string, streak int, by_timer boolean"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("accepted", "at long")
+        self.handle = handle
+        self.machine = handle.getValueState("machine", "machine string")
+
+    def _load(self) -> Breaker:
+        return from_json(Breaker, self.machine.get()[0]) if self.machine.exists() else Breaker()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        machine = Limiter(self.limit, self.window_ms)
-        machine.accepted.extend(t[0] for t in self.times.get())
-        events = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        allowed = [machine.step(int(ms))["allowed"] for ms in events["ms"]]
-        self.times.put([(t,) for t in machine.accepted])
-        yield pd.DataFrame({"event_id": events["event_id"].to_numpy(), "user_id": key[0], "allowed": allowed})
+        breaker = self._load()
+        for chunk in rows:
+            chunk = chunk.sort_values(["ms", "event_id"])
+            found = [breaker.step(int(ms), bool(failed), bool(limited)) for ms, failed, limited in zip(chunk["ms"], chunk["failed"], chunk["rate_limited"], strict=True)]
+            yield pd.DataFrame({"user_id": key[0], "event_id": chunk["event_id"].to_numpy(), "ms": chunk["ms"].to_numpy(), "state": [f["state"] for f in found], "streak": [f["streak"] for f in found], "by_timer": False})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if breaker.state == "open":
+            self.handle.registerTimer(breaker.last_failure + Breaker.WAIT_MS)
+        self.machine.update((to_json(breaker),))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        breaker, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        if breaker.read(now):
+            self.machine.update((to_json(breaker),))
+            yield pd.DataFrame({"user_id": [key[0]], "event_id": [-1], "ms": [now], "state": [breaker.state], "streak": [breaker.streak], "by_timer": [True]})
 
     def close(self) -> None:
         pass
 
 
-def limit_requests(events: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    rows = events.select("event_id", "user_id", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("user_id").transformWithStateInPandas(LimiterProcessor(limit, window_ms), "event_id long, user_id long, allowed boolean", "append", "none")
+def breaker_with_timers(events: DataFrame) -> DataFrame:
+    """A row for each event, and one (event_id -1) each time a circuit half-opens by itself."""
+    failed = F.col("event_type").isin("error", "signup")
+    rows = events.withWatermark("ts", "1 second").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"), failed.alias("failed"), (failed & (F.col("value") > 400)).alias("rate_limited"))
+    return rows.groupBy("user_id").transformWithStateInPandas(BreakerProcessor(), BreakerProcessor.SCHEMA, "append", "eventtime")
 
 
 def with_state_store(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
