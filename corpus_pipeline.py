@@ -13,7 +13,6 @@ the next stage's docs. All but the last return the columns of documents:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from brightmill.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from brightmill.llm.common import cut_lineage, doc_remainder, table
+from brightmill.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 QUALITY_THRESHOLD = 0.3
@@ -75,9 +75,13 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    base = shared_folder(spark, f"corpus-{uuid.uuid4().hex}")
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if last:  # nothing reads it any more
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
