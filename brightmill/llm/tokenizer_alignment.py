@@ -22,6 +22,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,9 @@ class Aligner:
             raise ValueError(f"{piece_path}: pieces with a space behind other characters aren't supported")
         self.bytes_b = [bytes((int(p[3:5], 16),)) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.space = [self.b.piece_to_id(SPACE)]
-        self.length_a, self.length_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+        self.lengths_b = [len(x) for x in self.bytes_b]
+        self.length_a, self.length_b = np.array([len(x) for x in self.bytes_a]), np.array(self.lengths_b)
+        self.decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.capacity = capacity
         self.sizes = np.zeros((capacity + _CHUNK, 3), np.int64)  # ids of A and of B, and groups, of each unit
         self.clear()
@@ -89,39 +92,53 @@ class Aligner:
         """Ids of texts, each with the space that the model sets before it."""
         return [ids if t else self.space for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
 
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, str] | None]:
-        """For each text with a space before it: the numbers of ids, the packed links and the groups as text; None if the bytes
-        of B's ids aren't the text's."""
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], list[str]]:
+        """For each text with a space before it: a row of its numbers of ids of A and of B and of its groups, its packed links
+        and its groups as text. The row is -1 where the bytes of B's ids aren't the text's."""
+        coded = [(" " + t).encode() for t in texts]
         all_a, all_b = [self._encode_a(" " + t) for t in texts], self._encode_b(texts)
-        for text, a, b in zip(texts, all_a, all_b, strict=True):
-            data = (" " + text).encode()
-            if b"".join([self.bytes_b[i] for i in b]) != data or b"".join([self.bytes_a[i] for i in a]) != data:
-                yield None
-                continue
-            a_ids, b_ids = np.array(a), np.array(b)
-            a_ends, b_ends = self.length_a[a_ids].cumsum(), self.length_b[b_ids].cumsum()
-            at_a, at_b = np.searchsorted(a_ends, b_ends), np.searchsorted(b_ends, a_ends)
-            at_a = at_a[a_ends[at_a] == b_ends]
-            at_b = at_b[b_ends[at_b] == a_ends]
-            groups, i, j, sa, sb = [], 0, 0, list(map(str, a)), list(map(str, b))
-            for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                groups.append(",".join(sa[i:x]) + "|" + ",".join(sb[j:y]))
-                i, j = x, y
-            yield len(a), len(b), pack_pairs(a_ids[at_a], b_ids[at_b]), ";".join(groups)
+        wrong = [i for i, (c, b) in enumerate(zip(coded, all_b, strict=True)) if sum(map(self.lengths_b.__getitem__, b)) != len(c)]
+        for i in wrong:
+            coded[i], all_a[i], all_b[i] = b"", [], []
+        a, b = (list(chain.from_iterable(side)) for side in (all_a, all_b))
+        if b"".join([self.bytes_b[i] for i in b]) != b"".join(coded):  # right lengths, other bytes
+            more = [i for i, c in enumerate(coded) if b"".join([self.bytes_b[x] for x in all_b[i]]) != c]
+            wrong += more
+            for i in more:
+                all_a[i], all_b[i] = [], []
+            a, b = (list(chain.from_iterable(side)) for side in (all_a, all_b))
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = self.length_a[a_ids].cumsum(), self.length_b[b_ids].cumsum()  # in all texts, one behind the other
+        ends = np.zeros((2, int(a_ends[-1]) + 1 if a else 1), bool)
+        ends[0, a_ends], ends[1, b_ends] = True, True
+        at_a, at_b = np.flatnonzero(ends[1, a_ends]), np.flatnonzero(ends[0, b_ends])  # of the tokens that end a group
+        links = pack_pairs(a_ids[at_a], b_ids[at_b]).tobytes()
+        sizes = np.array([[len(x) for x in all_a], [len(x) for x in all_b], [0] * len(texts)], np.int64).T
+        last = np.searchsorted(at_a, np.cumsum(sizes[:, 0]))  # each text's end is a group's
+        sizes[:, 2] = np.diff(last, prepend=0)
+        sizes[wrong] = -1
+        sa, sb, groups, i, j = [self.decimal[x] for x in a], [self.decimal[x] for x in b], [], 0, 0
+        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
+            if x - i == 1 == y - j:
+                groups.append(f"{sa[i]}|{sb[j]}")
+            else:
+                groups.append(f"{','.join(sa[i:x])}|{','.join(sb[j:y])}")
+            i, j = x, y
+        cuts = [0, *last.tolist()]
+        return sizes, [links[8 * x : 8 * y] for x, y in pairwise(cuts)], [";".join(groups[x:y]) for x, y in pairwise(cuts)]
 
     def numbers(self, keys: list[str]) -> list[int]:
         """The table's numbers of units (without their first space), which it takes in if they are new."""
         found = list(map(self.known.get, keys))
         if None in found:
             new = list(dict.fromkeys(k for k, n in zip(keys, found, strict=True) if n is None))
-            for key, made in zip(new, self.align(new), strict=True):
-                n = self.known[key] = len(self.links)
-                if made is None:
-                    self.bad.add(n)
-                    made = 0, 0, np.zeros(0, np.int64), ""
-                self.sizes[n] = made[0], made[1], len(made[2])
-                self.links.append(made[2].tobytes())
-                self.groups.append(made[3])
+            first = len(self.links)
+            sizes, links, groups = self.align(new)
+            self.bad.update((first + np.flatnonzero(sizes[:, 0] < 0)).tolist())
+            self.sizes[first : first + len(new)] = np.maximum(sizes, 0)
+            self.links += links
+            self.groups += groups
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
             found = [self.known[k] if n is None else n for k, n in zip(keys, found, strict=True)]
         return found
 
@@ -400,8 +417,7 @@ def group_texts(df: DataFrame, byte_path: str, piece_path: str, text: str = "tex
         def change(value: str | None) -> str:
             if not value:
                 return ""
-            made = next(aligner.align([value]))
-            return made[3] if made else ""
+            return aligner.align([value])[2][0]
 
         return change
 
