@@ -1,11 +1,12 @@
 """Benchmark decontamination: containment search of short test items inside long documents.
 
-Items and documents are sets of word shingles. Items are partitioned by set size into powers of two; an
-item's sketch holds its smallest MinHash values (one hash function orders all shingles), as many as its
-size partition needs: of u shingles at most floor((1 - t) u) may be missing in a document that contains
-a share t, so one more than that is enough for a hit, and the search loses nothing. A small table of the sketches' hashes
-lets documents, of any length, show only those shingles that may hit; it decides cost only. Documents with a hit are
-candidates; each is verified by the exact containment of its shingles as strings.
+Items and documents are sets of word shingles. Items are partitioned by set size, eight partitions to an octave; an
+item's sketch holds its smallest MinHash values (one hash function orders all shingles) among the shingles that the fewest items
+hold, as many as its size partition needs: of u shingles at most floor((1 - t) u) may be missing in a document that contains
+a share t, so a sketch with one more than that has a hit, a longer one as many more, and the search loses nothing. What many
+items share stays out of the sketches that way, unless it is most of an item, so a common template brings no candidates.
+A small table of the sketches' hashes lets documents, of any length, show only those shingles that may hit; it decides cost
+only. Pairs of a document and an item with enough hits are verified by the exact containment of the shingles as strings.
 
 Words are runs of letters and digits of the lower-cased text. Items with fewer words than a shingle count
 as one shingle of all their words. Only DataFrame functions are used.
@@ -82,9 +83,15 @@ def find_contaminated(
     w = F.col("__words")
     own = tests.select("item_id", "__k", by_size(lambda n: shingles(w, n), F.col("__k")).alias("__own"), by_size(lambda n: F.array_sort(F.array_distinct(shingle_hashes(w, n))), F.col("__k")).alias("__hashes"))
     own = own.withColumn("__row", F.xxhash64("item_id", "__own"))  # rows that share an item_id may differ
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("__hashes"))))
-    needed = (F.floor(upper * (1 - threshold) + 1e-9) + 1).cast("int")
-    sketch = cut_lineage(own.select("__k", F.explode(F.slice("__hashes", F.lit(1), needed)).alias("hash")).distinct())
+    u = F.size("__hashes")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(u)) - 3, F.lit(0)))
+    missing = lambda n: F.floor(n * (1 - threshold) + 1e-9).cast("int")  # noqa: E731  of a partition or item, what may be missing
+    length = F.least(u, missing(F.ceil(u / step) * step) + 1)
+    own = cut_lineage(own.select("item_id", "__row", "__k", "__own", "__hashes", length.alias("__length"), (length - missing(u)).alias("__wanted")).dropDuplicates(["__row", "__k"]))
+    listed = own.select("__row", "__k", "__length", "__wanted", F.explode("__hashes").alias("hash"))
+    held = listed.groupBy("__k", "hash").agg(F.count("*").alias("__items"))
+    ranked = listed.join(held, ["__k", "hash"]).groupBy("__row", "__k", "__length", "__wanted").agg(F.sort_array(F.collect_list(F.struct("__items", "hash"))).alias("__order"))
+    sketch = cut_lineage(ranked.select("__row", "__k", "__wanted", F.explode(F.slice("__order", F.lit(1), F.col("__length"))).alias("__s")).select("__row", "__k", "__wanted", F.col("__s.hash").alias("hash")))
     rows = sketch.count()
     bits = min(MOST_BITS, max(12, (64 * rows).bit_length()))
     slots = _slots(sketch, bits)
@@ -98,18 +105,24 @@ def find_contaminated(
     shown = [tagged(F.filter(shingle_hashes(w, n), may_hit), n, "hash") for n in sizes]
     # explode_outer: a plain explode would have its array computed once more, in an inferred filter
     hits = docs.select("doc_id", F.explode_outer(F.concat(*shown)).alias("__h")).select("doc_id", "__h.*")
-    candidates = cut_lineage(hits.join(_small(sketch, 24 * rows, broadcast_bytes), ["__k", "hash"], "left_semi").select("doc_id").distinct())
+    hits = hits.where("hash is not null").join(_small(sketch, 40 * rows, broadcast_bytes), ["__k", "hash"]).select("doc_id", "__row", "__wanted", "hash").distinct()
+    pairs = hits.groupBy("doc_id", "__row").agg(F.count("*").alias("__hits"), F.first("__wanted").alias("__wanted")).where(F.col("__hits") >= F.col("__wanted"))
+    pairs = cut_lineage(pairs.select(F.col("doc_id").alias("__doc"), "__row"))
+    candidates = cut_lineage(pairs.select("__doc").distinct())
     met = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).join(
-        _small(candidates.withColumnRenamed("doc_id", "__doc"), 32 * candidates.count(), broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi"
+        _small(candidates, 32 * candidates.count(), broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi"
     )
     met = met.select("doc_id", F.xxhash64("__text").alias("__text"), words(F.col("__text")).alias("__words"))
     strings = [tagged(shingles(w, n), n, "shingle") for n in sizes]
     shared = met.select("doc_id", "__text", F.explode_outer(F.concat(*strings)).alias("__s")).select("doc_id", "__text", "__s.*")
-    tested = cut_lineage(own.select("item_id", "__row", "__k", F.size("__own").alias("n_item"), F.explode("__own").alias("shingle")).distinct())
+    tested = cut_lineage(own.select("item_id", "__row", "__k", F.size("__own").alias("n_item"), F.explode("__own").alias("shingle")))
     size = tested.agg(F.sum(F.octet_length("shingle") + 64)).first()[0]
-    pairs = shared.join(_small(tested, size, broadcast_bytes), ["__k", "shingle"]).distinct()  # rows of equal id and text count once
-    found = pairs.groupBy("doc_id", "__text", "item_id", "__row", "n_item").agg(F.count("*").alias("n_shared"))
-    found = found.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
+    # of a document the shingles of any item, then those of the items that it may contain; rows of equal id and text count once
+    shared = shared.join(_small(tested.select("__k", "shingle").distinct(), size, broadcast_bytes), ["__k", "shingle"], "left_semi").distinct()
+    asked = pairs.join(_small(tested, size, broadcast_bytes), "__row")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("shared.__k") == F.col("asked.__k")) & (F.col("shared.shingle") == F.col("asked.shingle"))
+    counted = shared.alias("shared").join(asked.alias("asked"), same).groupBy("doc_id", "__text", "item_id", "__row", "n_item").agg(F.count("*").alias("n_shared"))
+    found = counted.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n_shared").alias("n_shared"), F.col("m.n_item").cast("long").alias("n_item"), (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
 
