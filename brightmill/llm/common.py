@@ -41,6 +41,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing reads any more, instead of when the driver's garbage is collected."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

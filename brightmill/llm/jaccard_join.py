@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from brightmill.llm.common import SLICE, check_names, cut_lineage, lean, slices
+from brightmill.llm.common import SLICE, check_names, cut_lineage, discard, lean, slices
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # finaliser of splitmix64 (fixed values)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -258,7 +258,7 @@ class JaccardJoin:
 
         First their parities rule out pairs that differ in too many shingles; this never rules out a link."""
         k = self.k
-        pairs = cut_lineage(pairs)
+        asked = pairs = cut_lineage(pairs)
         # doc_id: of each class one text is enough to read its set again
         known = cut_lineage(
             sets.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class")
@@ -269,8 +269,10 @@ class JaccardJoin:
         total = F.col("na") + F.col("nb")
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= total - 2 * self.overlap(total)).select("a", "b")
         pairs = cut_lineage(near)
+        discard(asked)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         chosen = cut_lineage(known.join(needed, "class").select("doc_id", "class"))
+        discard(known)
         keys = chosen.select(F.col("doc_id").alias("__id")).distinct()
         keys = F.broadcast(keys) if keys.count() <= self.broadcast_rows else keys
 
@@ -296,7 +298,9 @@ class JaccardJoin:
         left = whole.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
         right = whole.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
-        return cut_lineage(both.where(self.links(F.col("shared"), F.col("total"))).select("a", "b"))
+        links = cut_lineage(both.where(self.links(F.col("shared"), F.col("total"))).select("a", "b"))
+        discard(pairs, chosen, whole)
+        return links
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
         small, large = F.least("n", "lead_n"), F.greatest("n", "lead_n")
@@ -369,13 +373,16 @@ def components(links: DataFrame) -> DataFrame:
     a broadcast for each join of each round would pass through it."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    last = labels
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         lower = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         lower = cut_lineage(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")))
-        labels = lower.select("node", "label")
+        discard(last)
+        last, labels = lower, lower.select("node", "label")
         if not lower.where("label != old").limit(1).count():
+            discard(edges)
             return labels
 
 
