@@ -42,6 +42,13 @@ def _content(lines: Column, code: Column) -> Column:
     return F.slice(lines, _start(code) + 1, _end(code) - _start(code))
 
 
+def _kept(parts: Column, ranges: Column) -> Column:
+    """The parts outside the ranges, coded as start and end, in order and without overlap."""
+    start = lambda i: F.when(i < F.size(ranges), _start(F.get(ranges, i))).otherwise(F.size(parts))
+    after = lambda i: F.when(i > 0, _end(F.get(ranges, i - 1))).otherwise(F.lit(0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ranges)), lambda i: F.slice(parts, after(i) + 1, start(i) - after(i))))
+
+
 def _one_row(df: DataFrame, *names: str) -> DataFrame:
     """`df` with a generator of one row around the columns `names`: Spark moves no later filter or projection below it,
     where the expressions would be put into each other's lambdas and be computed anew for each line."""
@@ -112,11 +119,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", long_
     place = F.struct("__id", "__digest", "__code")
     first = chunks.groupBy("__chunk").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where(~F.col("__first").eqNullSafe(F.col("__last"))).drop("__last")
     again = chunks.join(first, "__chunk").where(~place.eqNullSafe(F.col("__first")))
-    removed = cut_lineage(again.groupBy("__id", "__digest").agg(F.collect_set("__code").alias("__removed")))
+    removed = cut_lineage(again.groupBy("__id", "__digest").agg(F.sort_array(F.collect_set("__code")).alias("__removed")))
     keyed = df.withColumns({"__id": F.col(doc_id), "__digest": F.xxhash64(F.col(text))})
     joined = _joined(keyed, removed, _few(removed, "__removed", broadcast_codes), "left").drop("__id", "__digest")
     gone = F.col("__removed").isNotNull()
-    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.exists("__removed", lambda c: (_start(c) <= i) & (i < _end(c))))
+    joined = _one_row(joined.withColumn("__lines", F.when(F.col("__removed").isNotNull(), F.split(F.col(text), "\n"))), "__lines", "__removed")
+    left = _kept(F.col("__lines"), F.col("__removed"))
     return joined.withColumns({
         text: F.when(gone, F.array_join(left, "\n")).otherwise(F.col(text)),
         "removed_chunks": F.when(gone, F.size("__removed")).otherwise(0).cast("long"),
@@ -129,22 +137,26 @@ def _units(text: Column) -> Column:
     return F.split(text, r"(?<=\n)|(?<=[.!?] )")
 
 
+def _unit_hash(unit: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), unit)
+
+
 def _runs(docs: DataFrame, words: int) -> DataFrame:
     """__id, __digest and an array of (__code, __h1, __h2) for each shortest run of units that has `words` words: the one from
     each unit on and the one up to each unit, so that a passage's own runs cover it to both edges."""
     out = _one_row(docs.select("__id", "__digest", _units(F.col("__text")).alias("__units")), "__units")
     out = _one_row(out.withColumns({
-        "__own": F.transform("__units", lambda u: F.xxhash64(u)), "__words": F.transform("__units", lambda u: F.regexp_count(u, F.lit(r"\S+"))),
-    }).drop("__units"), "__own", "__words")
+        "__own": F.transform("__units", lambda u: _unit_hash(u, 0)), "__again": F.transform("__units", lambda u: _unit_hash(u, 1)), "__words": F.transform("__units", lambda u: F.regexp_count(u, F.lit(r"\S+"))),
+    }).drop("__units"), "__own", "__again", "__words")
     owner = F.flatten(F.transform("__words", lambda n, i: F.array_repeat(i, n)))  # each word's unit
-    before = F.aggregate("__words", F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))  # the words before each unit
-    out = _one_row(out.withColumns({"__owner": owner, "__before": before}), "__own", "__words", "__owner", "__before").where(F.size("__owner") >= words)
-    total, at = F.size("__owner"), lambda i: F.get("__before", i)
-    onward = F.transform("__words", lambda n, i: F.when((n > 0) & (total - at(i) >= words), i.cast("long") * _SHIFT + F.get("__owner", at(i) + words - 1) + 1))
-    upward = F.transform("__words", lambda n, i: F.when((n > 0) & (at(i) + n >= words), F.get("__owner", at(i) + n - words).cast("long") * _SHIFT + i + 1))
-    out = _one_row(out.withColumn("__codes", F.array_compact(F.array_union(onward, upward))).drop("__words", "__owner", "__before"), "__own", "__codes")
-    part = lambda c: _content(F.col("__own"), c)
-    found = F.transform("__codes", lambda c: F.struct(c.alias("__code"), F.xxhash64(part(c)).alias("__h1"), F.xxhash64(F.lit(1), part(c)).alias("__h2")))
+    out = _one_row(out.withColumn("__owner", owner).drop("__words"), "__own", "__again", "__owner").where(F.size("__owner") >= words)
+    total, at = F.size("__owner"), lambda p: F.get("__owner", p)
+    first, last = (lambda i, p: (p == 0) | (at(p - 1) != i)), (lambda i, p: (p == total - 1) | (at(p + 1) != i))  # of a unit's words
+    onward = F.transform("__owner", lambda i, p: F.when(first(i, p) & (total - p >= words), i.cast("long") * _SHIFT + at(p + words - 1) + 1))
+    upward = F.transform("__owner", lambda i, p: F.when(last(i, p) & (p + 1 >= words), at(p + 1 - words).cast("long") * _SHIFT + i + 1))
+    out = _one_row(out.withColumn("__codes", F.array_compact(F.array_union(onward, upward))).drop("__owner"), "__own", "__again", "__codes")
+    part = lambda name, c: _content(F.col(name), c)
+    found = F.transform("__codes", lambda c: F.struct(c.alias("__code"), F.xxhash64(part("__own", c)).alias("__h1"), F.xxhash64(part("__again", c)).alias("__h2")))
     return out.select("__id", "__digest", found.alias("__found"))
 
 
@@ -154,7 +166,8 @@ def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
     A passage is a run of whole units of `words` or more words that stands, with equal units, before (by doc_id, text
     digest and place); within one document copies that overlap the first one stay. All its units go, so at least one copy of
-    every unit is left. Equality is that of two 64-bit hashes of the units' 64-bit hashes. A passage of over 50 words that
+    every unit is left. Equality is that of two hashes of the run; each is made of
+    64-bit hashes of its units' bytes by a seed of its own, so units that one seed confuses the other tells apart. A passage of over 50 words that
     begins and ends inside a sentence still has 30 words in whole ones, as a rule. Ids, null and empty texts, repeated rows,
     long texts, empty tables, names and broadcasts are treated as in `dedup_lines`.
     """
@@ -176,7 +189,8 @@ def dedup_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     keyed = df.withColumns({"__id": F.col(doc_id), "__digest": F.xxhash64(F.col(text))})
     few = _few(removed, "__ranges", broadcast_codes)
     joined = _joined(keyed, removed, few, "left").drop("__id", "__digest")
-    kept = F.filter(_units(F.col(text)), lambda _, i: ~F.exists("__ranges", lambda r: (_start(r) <= i) & (i < _end(r))))
+    joined = _one_row(joined.withColumn("__units", F.when(F.col("__ranges").isNotNull(), _units(F.col(text)))), "__units", "__ranges")
+    kept = _kept(F.col("__units"), F.col("__ranges"))
     gone = F.col("__ranges").isNotNull()
     out = joined.withColumns({
         text: F.when(gone, F.array_join(kept, "")).otherwise(F.col(text)),
