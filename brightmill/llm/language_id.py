@@ -86,6 +86,9 @@ def _cells(codes: np.ndarray, bits: int) -> np.ndarray:
     return ((u ^ (u >> np.uint64(29)))[None, :] * _MULTIPLIERS[:, None]) >> np.uint64(64 - bits)
 
 
+LEAST_BITS, MOST_BITS = 20, 24  # of the number of cells
+
+
 @dataclass
 class LanguageFilter:
     """The bit-sliced filters; `table` has a row a cell and a word for each 64 languages. Its size is
@@ -127,7 +130,8 @@ class LanguageFilter:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total, hits = self.count(texts)
-        share = np.maximum(0, (hits / np.maximum(total, 1)[:, None] - self.rates) / (1 - self.rates))
+        tells = self.rates < 1  # a full filter tells nothing
+        share = np.where(tells, np.maximum(0, (hits / np.maximum(total, 1)[:, None] - self.rates) / np.where(tells, 1 - self.rates, 1)), 0)
         best = share.argmax(axis=1)
         none = share.max(axis=1) == 0
         best[none] = self.fallback
@@ -136,12 +140,14 @@ class LanguageFilter:
         return [UNKNOWN if u else self.languages[b] for u, b in zip(unknown, best, strict=True)], np.where(unknown, 0.0, weight)
 
 
-def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 2e-5, bits: int = 20) -> LanguageFilter:
+def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = 2e-5, bits: int | None = None) -> LanguageFilter:
     """Counts every trigram of every training row (null texts and languages are left out) and puts into a
     language's filter those that make up at least `min_rate` of its trigrams; 0 puts all of them in.
 
     Trigrams are counted by task before the shuffle. Tasks set the filters' bits; the driver receives at most one mask
-    for each of the 2**bits cells (and 64 languages), whatever the corpus is. No training rows give no languages.
+    for each of the 2**bits cells (and 64 languages). Without `bits` there are eight cells or more for each trigram of the largest
+    filter, from 2**20 up to 2**24, which a filter of 1/min_rate trigrams never needs; a filter that is full nevertheless counts 0
+    for every text. No training rows give no languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +178,10 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: f
     totals = {r["lang"]: r["total"] for r in total.collect()}
     languages = sorted({r["lang"] for r in rows.select(lang).distinct().withColumnRenamed(lang, "lang").collect()})
     number = {x: i for i, x in enumerate(languages)}
+    usual = counts.join(F.broadcast(total), "lang").where(F.col("n") >= min_rate * F.col("total")).select("lang", "gram")
+    if bits is None:
+        largest = usual.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, (8 * largest).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((max(1, -(-len(languages) // 64)), 1 << bits), np.uint64)
@@ -185,7 +195,6 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", min_rate: f
             w, c = word[a : a + 100_000], cell[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(table[w, c].view(np.int64))], ["word", "cell", "mask"])
 
-    usual = counts.join(F.broadcast(total), "lang").where(F.col("n") >= min_rate * F.col("total")).select("lang", "gram")
     masks = usual.mapInArrow(lean(fill), "word int, cell int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
     table[masks.column("cell").to_numpy(), masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)

@@ -229,9 +229,12 @@ def _trim(pieces: list[Piece], length: int, waiting: Waiting) -> list[Piece]:
 
 
 def pack(waiting: Waiting, limits: Limits, least: int = 0, cutting: bool = True) -> Iterator[list[Piece]]:
-    """Sequences from the waiting pieces, until fewer than `least` tokens wait (0: all are placed)."""
+    """Sequences from the waiting pieces, until fewer than `least` tokens wait (0: all are placed). Where the limits let no
+    piece into an empty sequence (ValueError), no further one would come out either."""
     while waiting.count and waiting.tokens >= least:
         pieces = _fill(waiting, limits, cutting)
+        if not pieces:
+            raise ValueError(f"no waiting piece fits into {limits}")
         total = sum(p.length for p in pieces)
         if cutting and total < limits.tokens and total & (total - 1):
             pieces = _trim(pieces, 1 << (total.bit_length() - 1), waiting)

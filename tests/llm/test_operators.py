@@ -609,6 +609,46 @@ def brute_dedup(rows, long_words=50):
     return result
 
 
+def test_common_template_brings_no_pairs(spark, monkeypatch):
+    """Documents and items that share a template, which is no item's greater part: the work grows with their number, not its square."""
+    rng = random.Random(44)
+    template, most = prose(rng, 14), []
+    real = decontaminate.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "cut_lineage", counted)
+    n = 150
+    items = [(i, f"{template} {prose(rng, 26)}") for i in range(n)]
+    docs = [(i, f"{prose(rng, 20)} {template} {prose(rng, 20)}") for i in range(n)]
+    for more in ([], [(n, f"{docs[0][1]} {items[3][1]} {prose(rng, 5)}")]):
+        most.clear()
+        rows = decontaminate.find_contaminated(spark.createDataFrame(docs + more, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id, r.containment) for r in rows] == ([(n, 3, 1.0)] if more else [])
+        assert max(most) <= 40 * n  # the items' shingles
+
+
+def test_full_language_filters_count_nothing():
+    full = language_id.LanguageFilter.of(["de", "en"], 4, np.full((16, 1), 3, np.uint8), 1)
+    names, scores = full.score(["some text", None, "12"])
+    assert names == ["en", "und", "und"] and scores.tolist() == [0, 0, 0]
+    half = np.full((16, 1), 1, np.uint8)
+    half[::2] |= 2
+    names, scores = language_id.LanguageFilter.of(["de", "en"], 4, half, 0).score(["some text with many trigrams"])
+    assert np.isfinite(scores).all() and 0 <= scores[0] <= 1
+
+
+def test_limits_that_nothing_fits():
+    for limits, cutting in ((packing.Limits(64, 4, 0), True), (packing.Limits(64, 4, 64), False)):
+        waiting = packing.Waiting(limits)
+        waiting.add(packing.Piece(0, 0, 80, 0))
+        with pytest.raises(ValueError, match="fits"):
+            list(packing.pack(waiting, limits, cutting=cutting))
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(13)
     passages = [[prose(rng, rng.randrange(1, 9)) for _ in range(rng.randrange(2, 12))] for _ in range(5)] + [[prose(rng, 70)]]
@@ -653,6 +693,17 @@ def brute_passages(rows, words=30):
     return [(r[0], "".join(u for i, u in enumerate(units) if i not in g)) for r, units, g in zip(rows, cut, gone, strict=True)]
 
 
+def test_ranges_leave_the_rest(spark):
+    rng = random.Random(28)
+    for _ in range(20):
+        parts = [str(i) for i in range(rng.randrange(1, 12))]
+        cuts = sorted(rng.sample(range(len(parts) + 1), 2 * rng.randrange(0, len(parts) // 2 + 1)))
+        ranges = list(zip(cuts[::2], cuts[1::2], strict=True))
+        df = spark.createDataFrame([(parts, [(a << 31) + b for a, b in ranges])], "parts array<string>, ranges array<long>")
+        left = df.select(line_dedup._kept(F.col("parts"), F.col("ranges")).alias("left")).first().left
+        assert left == [x for i, x in enumerate(parts) if not any(a <= i < b for a, b in ranges)]
+
+
 def test_passages_against_brute_force(spark):
     rng = random.Random(29)
     sentence = lambda: prose(rng, rng.randrange(1, 25)) + rng.choice([". ", "! ", "\n", "\n\n", ".\n"])
@@ -670,6 +721,18 @@ def test_passages_against_brute_force(spark):
         assert sorted((r.doc_id, r.text) for r in out.collect()) == brute_passages(rows)
 
 
+@pytest.mark.parametrize("blind", [0, 1])
+def test_passages_with_colliding_hashes(spark, blind, monkeypatch):
+    """One seed gives all units the same hash; the other one still tells their bytes apart."""
+    rng = random.Random(30)
+    real = line_dedup._unit_hash
+    monkeypatch.setattr(line_dedup, "_unit_hash", lambda u, seed: F.lit(7).cast("long") if seed == blind else real(u, seed))
+    same = [prose(rng, 20) + ".\n" for _ in range(3)]
+    rows = [(i, "".join([prose(rng, 40) + ".\n", *(same if i % 2 else []), prose(rng, 35) + ".\n"])) for i in range(8)]
+    out = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == brute_passages(rows)
+
+
 @pytest.mark.parametrize("inside", [False, True])
 def test_planted_passages_go_whole(spark, inside):
     """Passages of 2 to 8 lines, or of sentences inside a line, of over 50 words, with foreign text around at shifted places."""
