@@ -50,6 +50,13 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rest_driver(df: DataFrame) -> None:
+    """Between the many small jobs of a loop: plans and generated classes that are done with otherwise stay until the driver's
+    heap is full, with native memory that the heap doesn't show."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def doc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from brightmill.llm.common import SLICE, check_names, cut_lineage, discard, lean, slices
+from brightmill.llm.common import SLICE, check_names, cut_lineage, discard, lean, rest_driver, slices
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # finaliser of splitmix64 (fixed values)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -300,6 +300,7 @@ class JaccardJoin:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
         links = cut_lineage(both.where(self.links(F.col("shared"), F.col("total"))).select("a", "b"))
         discard(pairs, chosen, whole)
+        rest_driver(links)
         return links
 
     def leader_pairs(self, lists: DataFrame) -> DataFrame:
@@ -380,6 +381,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         lower = cut_lineage(lower.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label")))
         discard(last)
+        rest_driver(lower)
         last, labels = lower, lower.select("node", "label")
         if not lower.where("label != old").limit(1).count():
             discard(edges)
