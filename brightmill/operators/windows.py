@@ -36,17 +36,22 @@ def capped(df: DataFrame, keys: list[str], newest_first: list[Column], cap: int,
     return ranked.join(counts, keys).where(F.col("__rank") <= left).drop("__rank", "__n")
 
 
-def numbered(df: DataFrame, order: str, name: str, buckets: int = 1000) -> DataFrame:
+def quantile_bucket(df: DataFrame, order: str, buckets: int) -> Column:
+    """The number of a row's bucket: how many of the column's approximate quantiles, kept as literals, are not above its value."""
+    bounds = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b <= F.col(order)))
+
+
+def numbered(df: DataFrame, order: str, name: str, buckets: int = 200) -> DataFrame:
     """Adds 1, 2, ... in the order of an integer column without repeats.
 
-    Rows are dealt to buckets of equal ranges of the column, numbered there, and lifted by the counts of the buckets
-    before. A row's bucket follows from the row alone, so counting and numbering agree whatever partitions Spark makes;
-    only the column's bounds and the count of each bucket meet in one place."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(1).cast("long"))
-    width = (high - low) // buckets + 1
-    dealt = df.withColumn("__bucket", F.expr(f"({order} - {low}) div {width}"))
+    Rows are dealt to buckets between quantiles of the column, so that outliers leave them equally full, numbered there, and
+    lifted by the counts of the buckets before. The quantiles are found once and kept, so a row's bucket follows from the row
+    alone, and counting and numbering agree whatever partitions Spark makes; only the quantiles and the count of each bucket
+    meet in one place."""
+    dealt = df.withColumn("__bucket", quantile_bucket(df, order, buckets))
     sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brightmill.operators.windows import capped, numbered
+from brightmill.operators.windows import capped, numbered, quantile_bucket
 
 
 def test_numbers_don_t_depend_on_partitions(spark):
@@ -40,3 +40,10 @@ def test_capped_samples(spark):
         left[k] = kept
     got = capped(spark.createDataFrame(rows, "k string, i int"), ["k"], [F.desc("i")], 10, 5).collect()
     assert sorted(map(tuple, got)) == sorted((k, i) for k, kept in left.items() for i in kept)
+
+
+def test_an_outlier_leaves_buckets_equal(spark):
+    df = spark.range(20_000).selectExpr("id as first").union(spark.createDataFrame([(10**15,)], "first long"))
+    sizes = [r["count"] for r in df.select(quantile_bucket(df, "first", 200).alias("b")).groupBy("b").count().collect()]
+    assert sum(sizes) == 20_001 and max(sizes) <= 200
+    assert numbered(df, "first", "number").where("first = 1000000000000000").first().number == 20_001
