@@ -164,3 +164,34 @@ class Ledger:
         from_free = min(self.free, amount)
         self.free -= from_free
         self.paid -= amount - from_free
+
+
+@dataclass
+class LineBuffer:
+    """Lines of a byte stream that is cut anywhere: the last, unfinished line waits for the next chunk (as hex digits)."""
+
+    rest: str = ""
+
+    def step(self, chunk: bytes | None) -> dict:
+        *lines, rest = (bytes.fromhex(self.rest) + (chunk or b"")).split(b"\n")
+        self.rest = rest.hex()
+        return {"lines": [line.decode("utf-8", "replace") for line in lines]}
+
+
+@dataclass
+class Watch:
+    """What is watched of a provider's sessions: each one's last three actions, and whether its last call failed.
+
+    Alerts: an action that is the third in a row of its session (null actions never are), more than half of the known sessions failed,
+    a call that ran longer than expected."""
+
+    most: float = 450
+    sessions: dict[int, list] = field(default_factory=dict)  # session -> [actions, failed]
+
+    def step(self, session: int, action: str | None, failed: bool, duration: float | None) -> dict:
+        own = self.sessions.setdefault(session, [[], False])
+        own[0], own[1] = [*own[0], action][-3:], bool(failed)
+        loop = action is not None and own[0] == [action] * 3
+        cascade = 2 * sum(s[1] for s in self.sessions.values()) > len(self.sessions)
+        runaway = duration is not None and duration > self.most
+        return {"alerts": [name for name, on in (("infinite_loop", loop), ("provider_cascade", cascade), ("session_runaway", runaway)) if on]}

@@ -41,12 +41,13 @@ class Store:
         path = self._path(folder)
         return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
-    def manifest(self) -> dict:
-        """The newest version: its number, each writer's last number, and of each table the schema and partitions."""
-        numbers = [int(n[1:-5]) for n in self._names("manifests") if n.startswith("v") and n.endswith(".json")]
-        if not numbers:
+    def manifest(self, version: int | None = None) -> dict:
+        """The newest version, or an older one: its number, each writer's last number, and of each table the schema and partitions."""
+        if version is None:
+            version = max((int(n[1:-5]) for n in self._names("manifests") if n.startswith("v") and n.endswith(".json")), default=0)
+        if not version:
             return {"version": 0, "writers": {}, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.folder}/manifests/v{max(numbers):012d}.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/v{version:012d}.json", wholetext=True).first()[0])
 
     def _publish(self, manifest: dict) -> None:
         """The manifest is written aside and renamed, which fails where that version is there already."""
@@ -102,6 +103,13 @@ class Store:
         schema = StructType.fromJson(json.loads(own["schema"]))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def added(self, table: str, since: dict, base: dict | None = None) -> DataFrame:
+        """The rows of files that the newest version (or `base`) has and `since` had not: what was appended or written anew."""
+        own = (base or self.manifest())["tables"][table]
+        old = since["tables"].get(table, {"parts": {}})["parts"]
+        parts = {p: [x for x in paths if x not in old.get(p, [])] for p, paths in own["parts"].items()}
+        return self.read(table, base={"tables": {table: own | {"parts": parts}}})
+
     def touched(self, table: str, rows: DataFrame) -> list[str]:
         """The partitions that rows fall into: at most as many as the layout has."""
         return [r[0] for r in rows.select(self.layout[table].cast("string").alias(PART)).distinct().collect()]

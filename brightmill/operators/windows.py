@@ -26,14 +26,18 @@ def fitting_suffix(df: DataFrame, keys: list[str], newest_first: list[Column], c
     return df.withColumn("__used", running).where(F.col("__used") <= budget).withColumnRenamed("__used", "used")
 
 
+def kept_of(n: Column, cap: int, keep: int) -> Column:
+    """How many of n rows are left, if only the last `keep` stay whenever there are more than `cap`."""
+    return F.when(n <= cap, n).otherwise(keep + (n - cap - 1) % (cap - keep + 1))
+
+
 def capped(df: DataFrame, keys: list[str], newest_first: list[Column], cap: int, keep: int) -> DataFrame:
     """What is left of each key's rows, in order of arrival, if only the last `keep` stay whenever there are more than `cap`.
 
     Ranks above `cap` are cut before the shuffle (a group limit), so a hot key sends at most `cap` rows a task."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))).where(F.col("__rank") <= cap)
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    left = F.when(F.col("__n") <= cap, F.col("__n")).otherwise(keep + (F.col("__n") - cap - 1) % (cap - keep + 1))
-    return ranked.join(counts, keys).where(F.col("__rank") <= left).drop("__rank", "__n")
+    return ranked.join(counts, keys).where(F.col("__rank") <= kept_of(F.col("__n"), cap, keep)).drop("__rank", "__n")
 
 
 def quantile_bucket(df: DataFrame, order: str, buckets: int) -> Column:

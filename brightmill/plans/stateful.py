@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from brightmill.operators.aggregates import top
 from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
+from brightmill.plans.analytics import SAMPLE_CAP, SAMPLE_KEEP
 from brightmill.plans.catalog import query
 from brightmill.sources.views import BatchViews, Views, sql_text
-from brightmill.streaming import jobs
+from brightmill.streaming import jobs, monitors
 
 DAY_MS = 86_400_000
 
@@ -221,6 +222,20 @@ def _(v: Views) -> DataFrame:
     return parsed.where("d.role is not null").select("conv_id", "d.turn", "d.role", "d.chars")
 
 
+@query("t8_chunk_stream", "m", "SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS chars FROM m")
+def _(v: Views) -> DataFrame:
+    """The same events as bytes that are cut anywhere, over several batches; an event's last line ends with the next event."""
+    event = F.concat(F.lit("\n\nevent: message\ndata: "), F.to_json(F.struct("turn", "role", F.length("text").alias("chars"))), F.lit("\n\ndata: {broken é"))
+    rows = v.m.select("conv_id", F.col("turn").cast("long").alias("ms"), F.encode(event, "UTF-8").alias("body"))
+    cuts = rows.select("conv_id", "ms", "body", F.explode(F.sequence(F.lit(0), F.length("body") - 1, F.lit(17))).alias("i"))
+    chunks = cuts.select("conv_id", "ms", F.col("i").cast("long").alias("event_id"), F.substring(F.col("body"), F.col("i") + 1, F.lit(17)).alias("chunk"))
+    part = F.least(F.expr("(2 * ms + int(event_id > 17)) div 3"), F.lit(3))
+    v.table("conversations")  # ships the package to the workers
+    lines = monitors.lines_of_chunks(v.spark, [chunks.where(part == i) for i in range(4)]).where(F.startswith("line", F.lit("data: ")))
+    parsed = lines.select("conv_id", F.from_json(F.substring("line", 7, 1 << 30), "turn long, role string, chars long").alias("d"))
+    return parsed.where("d.role is not null").select("conv_id", "d.turn", "d.role", "d.chars")
+
+
 @query("t10_hourly_rollup_stream", "st", "SELECT event_type AS method, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) FILTER (NOT failed) AS successes, count(*) FILTER (failed) AS failures FROM st GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
     return jobs.run_complete(v.spark, v.folder, jobs.hourly_rollup, "rollup")
@@ -242,6 +257,57 @@ def _(v: Views) -> DataFrame:
     return top(alerts, 100, F.desc("ts"), F.desc("event_id")).select("event_id", "alert")
 
 
+ALERT_SQL = """
+WITH k AS (SELECT *, epoch_us(ts) // 1000 AS ms, user_id // 5 AS provider FROM st),
+s AS (SELECT *, lag(event_type, 1) OVER own AS a, lag(event_type, 2) OVER own AS b, """ + ", ".join(f"last_value(CASE WHEN user_id % 5 = {i} THEN failed END IGNORE NULLS) OVER shared AS f{i}" for i in range(5)) + """
+  FROM k WINDOW own AS (PARTITION BY user_id ORDER BY ms, event_id), shared AS (PARTITION BY provider ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT ms, event_id, unnest(list_filter([CASE WHEN event_type = a AND event_type = b THEN 'infinite_loop' END, CASE WHEN 2 * (""" + " + ".join(f"coalesce(f{i}::INT, 0)" for i in range(5)) + ") > " + " + ".join(f"(f{i} IS NOT NULL)::INT" for i in range(5)) + """ THEN 'provider_cascade' END,
+  CASE WHEN latency > 450 THEN 'session_runaway' END], lambda n: n IS NOT NULL)) AS alert FROM s) """
+
+
+@query("t12_w6_alert_stream", "st", ALERT_SQL + "SELECT event_id, alert FROM x")
+def _(v: Views) -> DataFrame:
+    """Loops, cascades and runaways, found from the states of sessions and providers that batches hand on."""
+    v.table("events")
+    return monitors.watch(v.spark, v.folder)[0].select("event_id", "alert")
+
+
+@query("t12_alert_ring_stream", "st", ALERT_SQL + "SELECT event_id, alert FROM x ORDER BY ms DESC, event_id DESC, alert DESC LIMIT 100")
+def _(v: Views) -> DataFrame:
+    """The ring of the last hundred alerts, which each batch takes on."""
+    v.table("events")
+    return monitors.watch(v.spark, v.folder)[1].select("event_id", "alert")
+
+
+_BOUNDS = (50.0, 100.0, 250.0, 400.0)
+
+
+@query("t13_a33_metrics_updates", "st", "SELECT event_type, count(*) AS counter, arg_max(latency, {'ts': ts, 'event_id': event_id}) AS gauge, round(sum(latency), 6) AS total, " + ", ".join(f"count(*) FILTER (latency <= {b}) AS le_{b:.0f}" for b in _BOUNDS) + " FROM st GROUP BY event_type")
+def _(v: Views) -> DataFrame:
+    """Counters, gauges and histograms in update mode: a batch rewrites the metrics that it changed."""
+    return monitors.run_updates(v.spark, v.folder, monitors.metric_values(_BOUNDS), "metric_values", ["event_type"]).withColumn("total", F.round("total", 6))
+
+
+@query("t13_sample_cap_stream", "st", f"""
+WITH r AS (SELECT event_type, latency, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM st)
+SELECT event_type, count(*) AS samples, count(*) FILTER (latency <= 100) AS fast, round(sum(latency), 6) AS sum FROM r
+WHERE k <= CASE WHEN n <= {SAMPLE_CAP} THEN n ELSE {SAMPLE_KEEP} + (n - {SAMPLE_CAP} - 1) % ({SAMPLE_CAP} - {SAMPLE_KEEP} + 1) END GROUP BY event_type""")
+def _(v: Views) -> DataFrame:
+    """A histogram's samples, trimmed while the stream runs."""
+    kept = monitors.run_samples(v.spark, v.folder, SAMPLE_CAP, SAMPLE_KEEP)
+    return kept.groupBy("event_type").agg(F.count("*").alias("samples"), F.count_if(F.col("value") <= 100).alias("fast"), F.round(F.sum("value"), 6).alias("sum"))
+
+
+@query("t11_spend_stream", "u sub", """
+WITH d AS (SELECT user_id, ts::DATE AS day, sum(tokens_used) AS spent FROM u WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT user_id, day + CAST(i AS INTEGER) AS day, CAST(coalesce(sum(spent) FILTER (i = 0), 0) AS BIGINT) AS today, coalesce(sum(spent) FILTER (i > 0), 0) / 7.0::DOUBLE AS average, count(*) FILTER (i > 0) AS days FROM d, range(8) AS t(i) GROUP BY 1, 2),
+l AS (SELECT w.*, CASE WHEN coalesce(balance, 0) <= 0 THEN 0.0::DOUBLE WHEN average <= 100 THEN 999.0::DOUBLE ELSE floor(balance / nullif(average - 100, 0) * 10 + 0.5) / 10 END AS days_left FROM w LEFT JOIN sub USING (user_id))
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, today, round(average, 6) AS average, days_left, CASE WHEN today = 0 THEN 'none' WHEN days = 0 THEN CASE WHEN days_left <= 1 THEN 'critical' ELSE 'none' END WHEN average < 5 THEN 'none' WHEN today / nullif(average, 0) >= 3 THEN 'critical' WHEN today / nullif(average, 0) >= 2 THEN 'warning' ELSE 'none' END AS level FROM l""")
+def _(v: Views) -> DataFrame:
+    """The spend monitor for every day, from sliding windows over the stream and the stored balances."""
+    return monitors.run_updates(v.spark, v.folder, monitors.spend_levels(v.sub.select("user_id", "balance")), "spend", ["user_id", "day"])
+
+
 @query("t13_metrics_stream", "st", "SELECT event_type, count(*) AS counter, round(sum(latency), 6) AS total FROM st GROUP BY event_type")
 def _(v: Views) -> DataFrame:
     return jobs.run_complete(v.spark, v.folder, jobs.metrics, "metrics")

@@ -31,14 +31,18 @@ def event_slices(spark: SparkSession, folder: str, n: int = 4) -> list[DataFrame
     return [events.where(part == i) for i in range(len(bounds) + 1)]
 
 
-def run_in_slices(spark: SparkSession, folder: str, name: str, start: Callable[[DataFrame], DataStreamWriter], n: int = 4) -> None:
-    """Lets the event log arrive in n parts. After each the stream runs to the end of what is there, so all but the first
-    run go on from the checkpoint of the one before."""
+def run_parts(spark: SparkSession, parts: list[DataFrame], schema: str, name: str, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Lets a log arrive in parts. After each the stream runs to the end of what is there, so all but the first run go on from
+    the checkpoint of the one before."""
     inbox, log = scratch(spark, f"{name}-inbox"), scratch(spark, f"{name}-log")
-    for part in event_slices(spark, folder, n):
+    for part in parts:
         part.write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(EVENTS).parquet(inbox).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
-        start(stream).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        start(spark.readStream.schema(schema).parquet(inbox)).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_in_slices(spark: SparkSession, folder: str, name: str, start: Callable[[DataFrame], DataStreamWriter], n: int = 4) -> None:
+    """Lets the event log arrive in n parts."""
+    run_parts(spark, event_slices(spark, folder, n), EVENTS, name, lambda stream: start(stream.withColumn("ts", F.col("ts").cast("timestamp"))))  # watermarks need an instant
 
 
 def run_complete(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], name: str, mode: str = "complete") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightmill.operators.merge import upsert
-from brightmill.operators.state import KeyRing, Limiter
+from brightmill.operators.state import KeyRing, Limiter, Watch
 from brightmill.operators.stored import Store, bucket
 
 
@@ -33,6 +33,8 @@ def from_json(kind: type, text: str) -> object:
         fields["accepted"] = deque(fields["accepted"])
     if kind is KeyRing:
         fields["keys"] = {int(k): v for k, v in fields["keys"].items()}
+    if kind is Watch:
+        fields["sessions"] = {int(k): v for k, v in fields["sessions"].items()}
     return kind(**fields)
 
 
