@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightmill.plans import analytics, merges, relational, scalars, stateful, stored, texts, windows  # noqa: F401 - each registers its queries
+from brightmill.plans import analytics, extensions, merges, relational, scalars, stateful, stored, texts, windows  # noqa: F401 - each registers its queries
 from brightmill.plans.catalog import CATALOG
 
 
