@@ -158,9 +158,10 @@ def _(v: Views) -> DataFrame:
     return lookup(priced, F.broadcast(pairs), ["x", "y"], plan="none").select("event_id", "tier", "cost_in", "plan")
 
 
-@query("j7_unknown_ids", "plan price", "SELECT DISTINCT CAST(unnest(model_ids) + 2 AS BIGINT) AS model_id FROM plan EXCEPT SELECT model_id FROM price")
+@query("j7_unknown_ids", "u price", "SELECT DISTINCT k % 9 AS model_id FROM u WHERE k IS NOT NULL EXCEPT SELECT model_id FROM price")
 def _(v: Views) -> DataFrame:
-    asked = v.plan.select(F.explode("model_ids").alias("m")).select((F.col("m") + 2).alias("model_id")).distinct()
+    """Models that requests name and no price list has."""
+    asked = v.u.where("k is not null").select((F.col("k") % 9).alias("model_id")).distinct()
     return asked.join(v.price, "model_id", "left_anti")
 
 
