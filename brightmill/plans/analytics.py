@@ -278,12 +278,16 @@ def _(v: Views) -> DataFrame:
     return keys.select("key_id", "overdrawn", "has_value", "active", issues.alias("issues"))
 
 
-@query("a27_a28_a29_extreme_prices", "price vm", """
-SELECT (SELECT arg_max(model_id, (cost_in, -model_id)) FROM price WHERE cost_in > 0) AS dearest, (SELECT arg_min(id, (multiplier, id)) FROM vm) AS cheapest,
-  (SELECT coalesce(min(cost_out::DOUBLE / cost_in::DOUBLE), 1.0) FROM price WHERE cost_in > 0) AS least_ratio""")
-def _(v: Views) -> DataFrame:
-    paid = v.price.where("cost_in > 0").agg(F.max_by("model_id", F.struct("cost_in", -F.col("model_id"))).alias("dearest"), F.coalesce(F.min(F.col("cost_out") / F.col("cost_in")), F.lit(1.0)).alias("least_ratio"))
-    return paid.join(v.vm.agg(F.min_by("id", F.struct("multiplier", "id")).alias("cheapest")))
+@query("a27_a28_a29_extreme_prices", "model", """
+SELECT tier, arg_max(model_id, (cost_in, -model_id)) FILTER (cost_in > 0) AS dearest, arg_min(model_id, (multiplier, model_id)) AS cheapest,
+  coalesce(min(cost_out / cost_in) FILTER (cost_in > 0), 1.0::DOUBLE) AS least_ratio FROM model GROUP BY tier""")
+def _(v: Views) -> DataFrame:
+    """Of each tier: the dearest model (none if all are free), the one with the least multiplier, and the least ratio of the prices."""
+    paid = F.col("cost_in") > 0
+    return v.model.groupBy("tier").agg(
+        F.max_by(F.when(paid, F.col("model_id")), F.when(paid, F.struct("cost_in", -F.col("model_id")))).alias("dearest"), F.min_by("model_id", F.struct("multiplier", "model_id")).alias("cheapest"),
+        F.coalesce(F.min(F.when(paid, F.col("cost_out") / F.col("cost_in"))), F.lit(1.0)).alias("least_ratio"),
+    )
 
 
 @query("a30_u2_entitlement_merge", "sub plan_feature", """

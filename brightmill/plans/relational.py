@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightmill.operators.aggregates import top
 from brightmill.operators.relational import contains_text, keyset_page, lookup, offset_page, or_default, ordered_children, where_given
 from brightmill.plans.catalog import query
-from brightmill.sources.views import Views, before
+from brightmill.sources.views import VIRTUAL_MODELS, Views, before, sql_text
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
 
@@ -38,9 +38,17 @@ def _(v: Views) -> DataFrame:
     return v.u.where("status_code >= 400 and user_id = 7").agg(F.count("*").alias("n"))
 
 
-@query("s8_literal_dimension", "vm", "SELECT id, tier, multiplier, category, CAST(max_tokens AS BIGINT) AS max_tokens FROM vm")
+VM_IDS = tuple(row[0] for row in VIRTUAL_MODELS)
+
+
+@query("s8_literal_dimension", "u vm", f"""
+SELECT event_id, vm.id, vm.tier, vm.category, CAST(vm.max_tokens AS BIGINT) AS max_tokens, tokens_used * vm.multiplier::DOUBLE AS credits
+FROM u JOIN vm ON vm.id = {sql_text(VM_IDS)}[k % {len(VM_IDS)} + 1]""")
 def _(v: Views) -> DataFrame:
-    return v.vm
+    """Each request with its virtual model, a literal table of a few rows."""
+    asked = F.element_at(F.array(*map(F.lit, VM_IDS)), (F.col("k") % len(VM_IDS) + 1).cast("int"))
+    rows = v.u.select("event_id", "tokens_used", asked.alias("id")).join(F.broadcast(v.vm), "id")
+    return rows.select("event_id", "id", "tier", "category", "max_tokens", (F.col("tokens_used") * F.col("multiplier")).alias("credits"))
 
 
 @query("s10_env_list", "", """
@@ -120,23 +128,28 @@ def _(v: Views) -> DataFrame:
     return by_tier.join(F.broadcast(v.vm), "tier").select("id", "category", "requests")
 
 
-@query("j2_plan_features", "plan feature plan_feature", """
-SELECT p.plan_id, p.name, list(coalesce(nullif(pf.display_label, ''), f.label) ORDER BY f.sort) AS labels
-FROM plan p JOIN plan_feature pf ON pf.plan_id = p.plan_id AND pf.enabled JOIN feature f ON f.feature_id = pf.feature_id AND f.active GROUP BY 1, 2""")
+@query("j2_plan_features", "sub plan feature plan_feature", """
+SELECT s.user_id, p.name, list(coalesce(nullif(pf.display_label, ''), f.label) ORDER BY f.sort) AS labels
+FROM sub s JOIN plan p ON p.plan_id = s.plan_id JOIN plan_feature pf ON pf.plan_id = p.plan_id AND pf.enabled JOIN feature f ON f.feature_id = pf.feature_id AND f.active
+WHERE s.active GROUP BY 1, 2""")
 def _(v: Views) -> DataFrame:
+    """What each active subscriber's plan grants. The labels are gathered by plan, from literal tables, before subscribers are joined."""
     joined = v.plan.join(v.plan_feature.where("enabled"), "plan_id").join(F.broadcast(v.feature.where("active").withColumnRenamed("sort", "feature_sort")), "feature_id")
     label = F.coalesce(F.nullif("display_label", F.lit("")), "label")
     lists = joined.groupBy("plan_id", "name").agg(F.sort_array(F.collect_list(F.struct("feature_sort", label.alias("label")))).alias("items"))
-    return lists.select("plan_id", "name", F.col("items.label").alias("labels"))
+    granted = lists.select("plan_id", "name", F.col("items.label").alias("labels"))
+    return v.sub.where("active").select("user_id", "plan_id").join(F.broadcast(granted), "plan_id").select("user_id", "name", "labels")
 
 
-@query("j3_plan_feature_matrix", "plan feature plan_feature", """
-SELECT p.plan_id, f.feature_id, coalesce(pf.enabled, false) AS enabled, CAST(pf.limit_value AS BIGINT) AS limit_value
-FROM plan p CROSS JOIN feature f LEFT JOIN plan_feature pf ON pf.plan_id = p.plan_id AND pf.feature_id = f.feature_id""")
+@query("j3_plan_feature_matrix", "sub plan feature plan_feature", """
+SELECT p.plan_id, f.feature_id, coalesce(pf.enabled, false) AS enabled, CAST(pf.limit_value AS BIGINT) AS limit_value, coalesce(n.subscribers, 0) AS subscribers
+FROM plan p CROSS JOIN feature f LEFT JOIN plan_feature pf ON pf.plan_id = p.plan_id AND pf.feature_id = f.feature_id
+LEFT JOIN (SELECT plan_id, count(*) AS subscribers FROM sub WHERE active GROUP BY 1) n ON n.plan_id = p.plan_id""")
 def _(v: Views) -> DataFrame:
-    """A literal table of plans by one of features: both have a few rows."""
+    """The matrix of plans by features, literal tables of a few rows, with the active subscribers of each plan."""
     cells = v.plan.select("plan_id").join(F.broadcast(v.feature.select("feature_id")))
-    return lookup(cells, v.plan_feature.drop("display_label"), ["plan_id", "feature_id"], enabled=False)
+    matrix = lookup(cells, v.plan_feature.drop("display_label"), ["plan_id", "feature_id"], enabled=False)
+    return lookup(matrix, v.sub.where("active").groupBy("plan_id").agg(F.count("*").alias("subscribers")), ["plan_id"], subscribers=0)
 
 
 @query("j4_u3_semi_anti", "sub", """
@@ -235,12 +248,14 @@ def _(v: Views) -> DataFrame:
     return top(v.fb.where(~F.col("success")).select("id", "ts"), 20, F.desc("ts"), F.asc("id")).select("id", stamp("ts").alias("ts"))
 
 
-@query("o6_priority_sort", "vm", "SELECT id, row_number() OVER (ORDER BY CASE WHEN category = 'general' THEN 0 ELSE 1 END, multiplier, id) AS place FROM vm")
+@query("o6_priority_sort", "model", """
+SELECT vendor, model_id, row_number() OVER (PARTITION BY vendor ORDER BY CASE WHEN category = 'general' THEN 0 ELSE 1 END, multiplier, model_id) AS place FROM model""")
 def _(v: Views) -> DataFrame:
+    """Each vendor's models, general ones first."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(F.lit(0)).orderBy((F.col("category") != "general").cast("int"), "multiplier", "id")
-    return v.vm.select("id", F.row_number().over(order).cast("long").alias("place"))
+    order = Window.partitionBy("vendor").orderBy((F.col("category") != "general").cast("int"), "multiplier", "model_id")
+    return v.model.select("vendor", "model_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("o7_seeded_sample", "", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50) ORDER BY md5('seed' || doc_id) LIMIT 10")

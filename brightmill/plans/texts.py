@@ -302,11 +302,16 @@ def _(v: Views) -> DataFrame:
     return c.select("conv_id", "turn", F.size("c").cast("long").alias("n"), F.element_at("c", 1).alias("first"), F.element_at("c", -1).alias("last"))
 
 
-@query("x33_x38_prompt_layers", "vm", "SELECT id, concat_ws(chr(10) || '---' || chr(10), 'base', CASE WHEN category <> 'general' THEN 'skill ' || category END, 'tier: ' || tier) AS prompt FROM vm")
+@query("x33_x38_prompt_layers", "sub", """
+SELECT user_id, concat_ws(chr(10) || '---' || chr(10), 'base', CASE WHEN active THEN 'skill ' || lower(segment) END, CASE WHEN balance > 5000 THEN 'agent concierge' END,
+  concat_ws(chr(10), 'plan: ' || plan_id, 'segment: ' || segment, CASE WHEN balance >= 0 THEN 'balance: ' || balance END)) AS prompt FROM sub""")
 def _(v: Views) -> DataFrame:
-    fields = F.map_filter(F.create_map(F.lit("tier"), "tier", F.lit("id"), "id"), lambda k, x: k != "id")
+    """The layers that apply to a subscriber, then what is known of it: all fields but the id, without empty values."""
+    known = F.create_map(F.lit("plan"), "plan_id", F.lit("segment"), "segment", F.lit("user_id"), F.col("user_id").cast("string"), F.lit("balance"), F.when(F.col("balance") >= 0, F.col("balance").cast("string")))
+    fields = F.map_filter(known, lambda k, x: (k != "user_id") & x.isNotNull())
     lines = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat_ws(": ", e.key, e.value)), "\n")
-    return v.vm.select("id", F.concat_ws("\n---\n", F.lit("base"), F.when(F.col("category") != "general", F.concat(F.lit("skill "), "category")), lines).alias("prompt"))
+    skill, agent = F.when(F.col("active"), F.concat(F.lit("skill "), F.lower("segment"))), F.when(F.col("balance") > 5000, "agent concierge")
+    return v.sub.select("user_id", F.concat_ws("\n---\n", F.lit("base"), skill, agent, lines).alias("prompt"))
 
 
 @query("x34_encryption_round_trip", "", "SELECT c_custkey, c_name AS name, true AS tagged FROM customer")

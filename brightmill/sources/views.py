@@ -94,6 +94,9 @@ VIEW_SQL = {
     "plan": sql_values(PLANS, "plan_id, name, product, model_ids, sort"),
     "feature": sql_values(FEATURES, "feature_id, label, category, sort, active"),
     "plan_feature": sql_values(PLAN_FEATURES, "plan_id, feature_id, enabled, limit_value, display_label"),
+    "model": """SELECT p_partkey AS model_id, p_brand AS vendor, CASE WHEN p_size % 3 = 0 THEN 'general' ELSE lower(p_type) END AS category,
+        CASE p_size % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' WHEN 2 THEN 'pro' ELSE 'business' END AS tier, (p_size % 5 + 1) / 2 AS multiplier,
+        CASE WHEN p_size % 4 = 0 THEN 0.0::DOUBLE ELSE p_retailprice / 1000 END AS cost_in, p_retailprice * (p_size % 5 + 2) / 1000 AS cost_out FROM part""",
     "sub": """SELECT c_custkey AS user_id, 'p' || (c_custkey % 4 + 1) AS plan_id, c_mktsegment AS segment, CAST(floor(c_acctbal) AS BIGINT) AS balance,
         c_custkey % 3 <> 0 AS active FROM customer""",
 }
@@ -219,6 +222,16 @@ class Views:
     def plan_feature(self) -> DataFrame:
         return self.literal(PLAN_FEATURES, "plan_id string, feature_id string, enabled boolean, limit_value long, display_label string")
 
+    @cached_property
+    def model(self) -> DataFrame:
+        """Models on offer with their prices."""
+        size = F.col("p_size")
+        return self.table("part").select(
+            F.col("p_partkey").alias("model_id"), F.col("p_brand").alias("vendor"), F.when(size % 3 == 0, "general").otherwise(F.lower("p_type")).alias("category"),
+            F.when(size % 4 == 0, "free").when(size % 4 == 3, "business").otherwise("pro").alias("tier"), ((size % 5 + 1) / 2).alias("multiplier"),
+            F.when(size % 4 == 0, 0.0).otherwise(F.col("p_retailprice") / 1000).alias("cost_in"), (F.col("p_retailprice") * (size % 5 + 2) / 1000).alias("cost_out"),
+        )
+
     @cached_property
     def sub(self) -> DataFrame:
         return self.table("customer").select(
