@@ -8,6 +8,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,18 @@ def discard(*frames: DataFrame) -> None:
 
 def rest_driver(df: DataFrame) -> None:
     """Between the many small jobs of a loop: plans and generated classes that are done with otherwise stay until the driver's
-    heap is full, with native memory that the heap doesn't show."""
+    heap is full, with native memory that the heap doesn't show. What the JVM has freed of that goes back to the system, where
+    the JVM knows how to; the C library keeps it otherwise, in an arena for each of some hundred threads."""
     gc.collect()
-    df.sparkSession._jvm.System.gc()
+    jvm = df.sparkSession._jvm
+    jvm.System.gc()
+    invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    arguments = df.sparkSession.sparkContext._gateway.new_array(jvm.Object, 4)
+    arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JJavaError:  # an older JVM, or not Linux
+        pass
 
 
 def doc_remainder(doc_id: Column, modulus: int) -> Column:

@@ -348,6 +348,7 @@ class JaccardJoin:
         read = cut_lineage(self.read(docs))
         sets = read.where("counts is null").select("doc_id", "class", "n", "parity")
         lists = cut_lineage(self.lists(docs, self.order(read)))
+        rest_driver(lists)
         first = self.verified(docs, sets, self.leader_pairs(lists))
         labels = components(first)
         second = self.verified(docs, sets, self.cross_pairs(lists, labels))
