@@ -15,7 +15,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +35,41 @@ END_ID = 2
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+_MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?!\S)")  # at a word's end, after a letter or digit: a piece of its own
 _END = b"\xff"
 
 
 _BYTE_OF = byte_characters()
 
 
+class _Table(dict):
+    """What `compute` gives for a word, in two generations of at most `capacity` words or, if they are long, `WORD_CHARS` times as
+    many characters each. `table[word]` computes what neither holds."""
+
+    WORD_CHARS = 32
+
+    def __init__(self, compute: Callable[[str], bytes], capacity: int):
+        super().__init__()
+        self.compute = compute
+        self.whole = self.room = capacity * self.WORD_CHARS
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.compute(word)
+        taken = max(self.WORD_CHARS, len(word))
+        if taken > self.room:
+            if taken > self.whole:
+                return found
+            self.older = dict(self)  # a copy, since callers go on with this table's lookup
+            self.clear()
+            self.room = self.whole
+        self.room -= taken
+        self[word] = found
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer file with word ends, as `encode(add_special_tokens=False)` gives them.
 
@@ -47,15 +77,13 @@ class WordTokenizer:
     table of two generations, since tokenising is the main cost and words repeat. The merges of a new word are
     done by tiktoken on the file's vocabulary, with a byte that UTF-8 never has as the word's end."""
 
-    def __init__(self, path: str, capacity: int = 150_000):
+    def __init__(self, path: str, capacity: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.capacity = capacity
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Table(self._word, capacity)
         special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         ranks = {self._bytes(t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t not in special}
         ranks.setdefault(_END, len(ranks))
@@ -67,22 +95,13 @@ class WordTokenizer:
         core = token.removesuffix("</w>")
         return bytes(_BYTE_OF[c] for c in core) + (_END if core != token else b"")
 
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(self.known) >= self.capacity:
-            self.older, self.known = self.known, {}
-        self.known[word] = ids
-        return ids
-
     def _word(self, word: str) -> bytes:
-        """The ids of a run without white space; most new ones are a known word and a mark."""
-        ids = self.older.get(word)
-        if ids is None:
+        """The ids of a run without white space, as native integers; most new ones are letters alone."""
+        if not word.isalpha():
             pieces = _PIECES.findall(word)
-            if len(pieces) == 1:
-                ids = np.array(self.merge(word.encode() + _END), "<u4").tobytes()
-            else:
-                ids = b"".join([self.known.get(p) or self._word(p) for p in pieces])
-        return self._keep(word, ids)
+            if len(pieces) > 1:
+                return b"".join([self.known[p] for p in pieces])
+        return array("I", self.merge(word.encode() + _END)).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
@@ -90,11 +109,8 @@ class WordTokenizer:
             if _BEYOND.search(text) or _SPECIAL.search(text):
                 out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
                 continue
-            words = text.lower().split()  # no pre-token spans white space
-            parts = list(map(self.known.get, words))
-            if None in parts:
-                parts = [self._word(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-            out.append(np.frombuffer(b"".join(parts), "<u4"))
+            words = _MARK.sub(r" \g<0>", text.lower()).split()  # no pre-token spans white space
+            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32))
         return out
 
 

@@ -446,6 +446,37 @@ def test_word_tokenizer_equals_the_tokenizer():
     assert [x.tolist() for x in fast.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_tokenizer_merges_a_word_once(monkeypatch):
+    """Words of letters, with a mark or without, need no pattern; a vocabulary as large as that of a task's texts stays in the table."""
+    searched, merged, fast = [], [], packing.WordTokenizer(WORD_PATH)
+    findall, merge = packing._PIECES.findall, fast.merge
+
+    class Pieces:
+        @staticmethod
+        def findall(word):
+            searched.append(word)
+            return findall(word)
+
+    monkeypatch.setattr(packing, "_PIECES", Pieces)
+    fast.merge = lambda word: merged.append(word) or merge(word)
+    letters = [chr(97 + i) for i in range(26)]
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:290_000]
+    texts = [" ".join(words[i : i + 1000]) + "." for i in range(0, len(words), 1000)]
+    first = fast.encode(texts)
+    assert all((a == b).all() for a, b in zip(first, fast.encode(texts), strict=True))
+    assert searched == ["."] and len(merged) == len(words) + 1
+
+
+def test_word_tokenizer_table_is_bounded_with_long_words():
+    from tokenizers import Tokenizer
+
+    whole, fast, rng = Tokenizer.from_file(WORD_PATH), packing.WordTokenizer(WORD_PATH, capacity=50), random.Random(10)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=k)) for k in (300, 2, 900, 2000)) for _ in range(30)]
+    for _ in range(2):
+        assert [x.tolist() for x in fast.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sum(map(len, fast.known)) <= 50 * 32 and sum(map(len, fast.known.older)) <= 50 * 32
+
+
 # --- Jaccard join ----------------------------------------------------------------------------------------------------
 def word_set(text, k):
     words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
