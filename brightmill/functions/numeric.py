@@ -19,6 +19,12 @@ def round_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def rounded_ms(ts: Column) -> Column:
+    """Milliseconds since 1970, halves away from zero, as DuckDB's epoch_ms; unix_millis cuts off instead."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
