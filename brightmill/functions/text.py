@@ -54,16 +54,24 @@ def redact_secrets(text: Column) -> Column:
     return F.regexp_replace(text, P.java(P.SECRET), "[REDACTED]")
 
 
-_TAGS = "|".join(P.TITLE_TAGS)
-_TITLE = rf"(?iu)\[({_TAGS})\](.*?)\[/\1\]|<({_TAGS})>(.*?)</\3>"
+def _any_case(tag: str) -> str:
+    """A letter's two cases and Cyrillic variants; Java's (?iu) would take the dotless i for an I too."""
+    return "".join(f"[{c}{c.lower()}{_VARIANTS.get(c, '')}]" for c in tag)
+
+
+_VARIANTS = {"В": "\u1c80", "О": "\u1c82"}
+_TAGS = [_any_case(t) for t in P.TITLE_TAGS]
+# Only \n ends a line, and \z stands for the end: Java's $ also matches before a last newline.
+_TITLE = "(?d)" + "|".join(f"{a}(?:{'|'.join(f'{t}{b}.*?{a}/{t}{b}' for t in _TAGS)})" for a, b in ((r"\[", r"\]"), ("<", ">")))
+_TITLE_EDGES = r"^[\[<][^\]>]*[\]>]|[\[<]/[^\]>]*[\]>]\z"
 
 
 def title_of(text: Column, first_user: Column) -> Column:
-    """The title tag, else the first user message's start, else the first six words, else a constant."""
-    tagged = F.coalesce(F.nullif(F.regexp_extract(text, _TITLE, 2), F.lit("")), F.nullif(F.regexp_extract(text, _TITLE, 4), F.lit("")))
-    clean = F.trim(F.regexp_replace(text, r"\[.*?\]|<.*?>|[#*_`]", ""))
-    six = F.array_join(F.slice(F.split(clean, r"\s+"), 1, 6), " ")
-    return F.coalesce(F.trim(tagged), F.nullif(F.left(first_user, F.lit(60)), F.lit("")), F.when(F.length(clean) >= 10, six), F.lit("New chat"))
+    """The title tag unless it is blank, else the first user message's start, else the first six words, else a constant."""
+    tagged = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, _TITLE, 0), _TITLE_EDGES, "")), F.lit(""))
+    clean = F.trim(F.regexp_replace(text, r"(?d)\[.*?\]|<.*?>|[#*_`]", ""))
+    six = F.array_join(F.slice(F.split(clean, r"[\t\n\f\r ]+"), 1, 6), " ")
+    return F.coalesce(tagged, F.nullif(F.left(first_user, F.lit(60)), F.lit("")), F.when(F.length(clean) >= 10, six), F.lit("New chat"))
 
 
 def strip_title(text: Column) -> Column:
@@ -72,7 +80,7 @@ def strip_title(text: Column) -> Column:
 
 def clean_title(text: Column) -> Column:
     """Trimmed, without edge quotes and trailing dots; null unless 1 to 99 characters are left."""
-    title = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[\"']|[\"']$", ""), r"\.+$", "")
+    title = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[\"']|[\"']\z", ""), r"\.+\z", "")
     return F.when((F.length(title) > 0) & (F.length(title) < 100), title)
 
 

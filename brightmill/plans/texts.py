@@ -109,7 +109,7 @@ b AS (SELECT conv_id, turn, stripped, coalesce(tagged, u, CASE WHEN length(clean
 c AS (SELECT *, regexp_replace(regexp_replace(trim(title, ' '), '^["'']|["'']$', '', 'g'), '\\.+$', '') AS q FROM b)
 SELECT conv_id, turn, stripped, title, CASE WHEN length(q) > 0 AND length(q) < 100 THEN q END AS cleaned FROM c""")
 def _(v: Views) -> DataFrame:
-    first = v.mx.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"))
+    first = v.mx.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.min_by("text", F.when((F.col("role") == "user") & F.col("text").isNotNull(), F.col("turn"))).alias("first_user"))
     rows = v.mx.join(first, "conv_id", "left").withColumn("title", T.title_of(F.col("text"), F.col("first_user")))
     return rows.select("conv_id", "turn", T.strip_title(F.col("text")).alias("stripped"), "title", T.clean_title(F.col("title")).alias("cleaned"))
 

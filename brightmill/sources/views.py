@@ -118,7 +118,9 @@ def with_views(names: str, body: str) -> str:
 
 
 def phrase(key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, PHRASES)), (key % len(PHRASES) + 1).cast("int"))
+    """Negative keys count from the end; there is no phrase 0, and none of a null (of which element_at makes the last one)."""
+    number = (key % len(PHRASES) + 1).cast("int")
+    return F.when(number != 0, F.element_at(F.array(*map(F.lit, PHRASES)), number))
 
 
 class Views:

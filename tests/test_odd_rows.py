@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import duckdb
@@ -34,3 +35,34 @@ def test_key_limits_round_to_milliseconds(spark, tmp_path):
     day = 86_400_000_000
     events(tmp_path, at(START, 0, 499, 500, 1499, 1500, day + 400, day + 499, day + 500, day + 1499, day + 1500) + at(datetime(1969, 12, 1), 0, 500, 501, 1500, day + 499, day + 500, day + 1500))
     assert_equals_sql(spark, tmp_path, "t3_key_limits", "events")
+
+
+CONVERSATIONS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+TITLE_PIECES = (
+    "[TITLE]", "[/TITLE]", "[titre]", "[/TITRE]", "<TÍTULO>", "</título>", "[ЗАГОЛОВОК]", "[/заголовок]", "[/ЗАГОЛОᲀОК]", "[TıTLE]", "[TİTLE]", "[/b ", "</", "[a", "]", "<", ">", "#", "*", '"', "'", ".", "..", "\n", "\r", "\v", "\f", "\t",
+    "\x85", "\xa0", " ", " ", " ", "  ", "word", "été", "\U0001f600", "a b c d e f g", "x" * 40, "",
+)
+
+
+def conversations(folder, values):
+    pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*values), CONVERSATIONS)], schema=CONVERSATIONS), f"{folder}/conversations.parquet")
+
+
+def test_titles_of_any_text(spark, tmp_path):
+    rng = random.Random(7)
+    texts = ["[TITLE] [/TITLE] body", "[TITLE]a [/b [/TITLE]", "[TITLE]a\rb[/TITLE]", "[TITLE]a\nb[/TITLE]", '"a title"\n', "a title.\n", "[TıTLE]x[/TITLE]", None]
+    texts += ["".join(rng.choices(TITLE_PIECES, k=rng.randint(0, 9))) for _ in range(3000)]
+    values = [(i // 3, 22 * (i % 3), rng.choice(("user", "user", "assistant", None)), t) for i, t in enumerate(texts)]  # conv_id 0 has no phrase
+    values += [(2, 66, "user", "later"), (4, 66, "user", None), (4, 88, "user", "first with a text"), (6, None, "user", "x"), (None, 0, "user", "y"), (-1, 0, "user", "z"), (-2, 1, "user", "z"), (-4, 1, "user", "z")]
+    conversations(tmp_path, values)
+    assert_equals_sql(spark, tmp_path, "x7_x8_x9_titles", "conversations")
+
+
+def test_an_empty_text_before_the_first_one(spark, tmp_path):
+    conversations(tmp_path, [(2, 0, "user", None), (2, 1, "user", "a text"), (2, 2, "assistant", "b")])
+    assert_equals_sql(spark, tmp_path, "x7_x8_x9_titles", "conversations")
+
+
+def test_a_title_that_ends_in_a_line_break(spark, tmp_path):
+    conversations(tmp_path, [(2, 0, "user", "a" * 58 + ".\n and more"), (4, 0, "user", "b" * 58 + '"\nmore'), (4, 1, "assistant", '[TITLE]"c."[/TITLE]')])
+    assert_equals_sql(spark, tmp_path, "x7_x8_x9_titles", "conversations")
