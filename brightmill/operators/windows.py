@@ -26,6 +26,16 @@ def fitting_suffix(df: DataFrame, keys: list[str], newest_first: list[Column], c
     return df.withColumn("__used", running).where(F.col("__used") <= budget).withColumnRenamed("__used", "used")
 
 
+def reached(df: DataFrame, keys: list[str], at: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """Adds for each name whether at least n of a key's rows lie in the `length` units before a row's moment, those of the moment left out.
+
+    They do if the n-th row before the moment is no older, so nothing is counted and time grows with the rows, not with a frame's. Of
+    the rows of one moment the first decides: it looks back furthest. Rows without a moment see each other, as in a range frame."""
+    by_key, peers = Window.partitionBy(*keys).orderBy(at), Window.partitionBy(*keys, at)
+    looked = df.withColumns({name: F.coalesce(F.lag(at, n).over(by_key) >= F.col(at) - length, F.lit(False)) for name, (length, n) in windows.items()})
+    return looked.withColumns({name: F.when(F.col(at).isNull(), F.count("*").over(peers) >= n).otherwise(F.bool_and(name).over(peers)) for name, (_, n) in windows.items()})
+
+
 def kept_of(n: Column, cap: int, keep: int) -> Column:
     """How many of n rows are left, if only the last `keep` stay whenever there are more than `cap`."""
     return F.when(n <= cap, n).otherwise(keep + (n - cap - 1) % (cap - keep + 1))

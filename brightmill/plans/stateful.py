@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brightmill.functions.numeric import rounded_ms
 from brightmill.operators.aggregates import top
 from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
+from brightmill.operators.windows import reached
 from brightmill.plans.analytics import SAMPLE_CAP, SAMPLE_KEEP
 from brightmill.plans.catalog import query
 from brightmill.sources.views import BatchViews, Views, sql_text
@@ -81,10 +82,8 @@ SELECT event_id, list_filter([{', '.join(f"CASE WHEN n_{x} >= {most} THEN '{x}'
   SELECT event_id, {', '.join(f"count(*) OVER (PARTITION BY k ORDER BY ms RANGE BETWEEN {length} PRECEDING AND 1 PRECEDING) AS n_{x}" for x, (length, _) in _WINDOWS.items())} FROM (SELECT *, epoch_ms(ts) AS ms FROM u))""")
 def _(v: Views) -> DataFrame:
     """The windows whose request limit a key has reached at each request; one sort serves them all."""
-    by_key = Window.partitionBy("k").orderBy("ms")
-    rows = v.u.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    rows = rows.select("event_id", *[F.count("*").over(by_key.rangeBetween(-length, -1)).alias(f"n_{x}") for x, (length, _) in _WINDOWS.items()])
-    return rows.select("event_id", F.array_compact(F.array(*[F.when(F.col(f"n_{x}") >= most, x) for x, (_, most) in _WINDOWS.items()])).alias("limited_by"))
+    rows = reached(v.u.select("event_id", "k", rounded_ms(F.col("ts")).alias("ms")), ["k"], "ms", _WINDOWS)
+    return rows.select("event_id", F.array_compact(F.array(*[F.when(F.col(x), x) for x in _WINDOWS])).alias("limited_by"))
 
 
 BREAKER_SQL = _STEPS + """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import duckdb
@@ -66,3 +67,39 @@ def test_an_empty_text_before_the_first_one(spark, tmp_path):
 def test_a_title_that_ends_in_a_line_break(spark, tmp_path):
     conversations(tmp_path, [(2, 0, "user", "a" * 58 + ".\n and more"), (4, 0, "user", "b" * 58 + '"\nmore'), (4, 1, "assistant", '[TITLE]"c."[/TITLE]')])
     assert_equals_sql(spark, tmp_path, "x7_x8_x9_titles", "conversations")
+
+
+def odd_events():
+    """Many at the same moment, at window edges to within a millisecond, without a time, a value or a key, before 1970, and one busy key."""
+    rng = random.Random(3)
+    lengths = [0, 3_600_000, 43_200_000, 86_400_000, 7 * 86_400_000]
+    values = []
+    for k in (1, 2, 3, None):
+        for start in (START, datetime(1969, 12, 28)):
+            base = [rng.randrange(20) * 1_800_000 for _ in range(12)]
+            moments = [b + rng.choice(lengths) + rng.choice((-1, 0, 0, 1)) for b in base for _ in range(6)]
+            values += [(start + timedelta(milliseconds=m, microseconds=rng.choice((0, 0, 499, 500))), rng.choice((0.0, 1.0, 80.0, -5.0, None)), k) for m in moments]
+    values += [(START, 1.0, 4)] * 16 + [(START + timedelta(days=7), 1.0, 4)] * 2 + [(START + timedelta(days=7, milliseconds=1), 1.0, 4)]
+    values += [(None, 1.0, k) for k in (1, 1, 1, 2, None, None)] + [(START, 2.0, 5), (None, None, 5)]
+    rng.shuffle(values)
+    return values
+
+
+def test_windows_that_a_key_has_reached(spark, tmp_path):
+    events(tmp_path, odd_events())
+    assert_equals_sql(spark, tmp_path, "t3_key_limits_of_all_windows", "events")
+
+
+def plan(spark, folder, name):
+    return registry.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+def busy_key(folder):
+    """Fifty thousand requests of one key in an hour."""
+    events(folder, [(START + timedelta(milliseconds=72 * i), 1.0, 1) for i in range(50_000)])
+
+
+def test_reached_windows_of_a_busy_key(spark, tmp_path):
+    busy_key(tmp_path)
+    assert not re.search(r"RangeFrame, -\d", plan(spark, tmp_path, "t3_key_limits_of_all_windows"))  # a sliding frame is counted anew for each row
+    assert_equals_sql(spark, tmp_path, "t3_key_limits_of_all_windows", "events")
