@@ -36,6 +36,20 @@ def reached(df: DataFrame, keys: list[str], at: str, windows: dict[str, tuple[in
     return looked.withColumns({name: F.when(F.col(at).isNull(), F.count("*").over(peers) >= n).otherwise(F.bool_and(name).over(peers)) for name, (_, n) in windows.items()})
 
 
+def trailing(df: DataFrame, keys: list[str], at: str, length: int, count: str, sums: dict[str, str]) -> DataFrame:
+    """Adds the count of a key's rows in the `length` units before a row's moment, those of the moment left out, and sums of columns (name -> column).
+
+    A sliding frame is summed anew for each row. Here each row stands at its moment and, taken back, where it has left the window, so one
+    running sum serves all and time grows with the rows. Rows without a moment come last, when all others have left, and see each other."""
+    turns = df.withColumn("__sign", F.explode(F.array(F.lit(1), F.lit(-1)))).where(F.col(at).isNotNull() | (F.col("__sign") > 0))
+    # at odd places rows come, at the even ones before them others have left
+    turns = turns.withColumn("__at", F.when(F.col("__sign") > 0, 2 * F.col(at) + 1).otherwise(2 * (F.col(at) + length + 1)))
+    running = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("__at")).rangeBetween(Window.unboundedPreceding, -1)
+    added = {count: F.sum("__sign"), **{name: F.sum(F.col("__sign") * F.col(c)) for name, c in sums.items()}}
+    summed = turns.withColumns({name: F.coalesce(x.over(running), F.lit(0)) for name, x in added.items()})
+    return summed.where("__sign > 0").drop("__sign", "__at")
+
+
 def kept_of(n: Column, cap: int, keep: int) -> Column:
     """How many of n rows are left, if only the last `keep` stay whenever there are more than `cap`."""
     return F.when(n <= cap, n).otherwise(keep + (n - cap - 1) % (cap - keep + 1))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brightmill.functions.numeric import rounded_ms
 from brightmill.operators.aggregates import top
 from brightmill.operators.state import Breaker, KeyRing, Ledger, Limiter, replay
-from brightmill.operators.windows import reached
+from brightmill.operators.windows import reached, trailing
 from brightmill.plans.analytics import SAMPLE_CAP, SAMPLE_KEEP
 from brightmill.plans.catalog import query
 from brightmill.sources.views import BatchViews, Views, sql_text
@@ -69,8 +69,7 @@ SELECT event_id, CAST(n AS BIGINT) AS n, CAST(t AS BIGINT) AS tokens, n >= 4 OR
   SELECT event_id, tokens_used, count(*) OVER w AS n, coalesce(sum(tokens_used) OVER w, 0) AS t FROM (SELECT *, epoch_ms(ts) AS ms FROM u) WINDOW w AS (PARTITION BY k ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING))""")
 def _(v: Views) -> DataFrame:
     """Requests and tokens of a key in the day before each request."""
-    day = Window.partitionBy("k").orderBy("ms").rangeBetween(-DAY_MS, -1)
-    rows = v.u.withColumn("ms", rounded_ms(F.col("ts"))).select("event_id", "tokens_used", F.count("*").over(day).alias("n"), F.coalesce(F.sum("tokens_used").over(day), F.lit(0)).alias("tokens"))
+    rows = trailing(v.u.select("event_id", "k", rounded_ms(F.col("ts")).alias("ms"), "tokens_used"), ["k"], "ms", DAY_MS, "n", {"tokens": "tokens_used"})
     return rows.select("event_id", "n", "tokens", ((F.col("n") >= 4) | (F.col("tokens") + F.col("tokens_used") > 2000)).alias("limited"))
 
 

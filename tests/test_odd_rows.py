@@ -103,3 +103,14 @@ def test_reached_windows_of_a_busy_key(spark, tmp_path):
     busy_key(tmp_path)
     assert not re.search(r"RangeFrame, -\d", plan(spark, tmp_path, "t3_key_limits_of_all_windows"))  # a sliding frame is counted anew for each row
     assert_equals_sql(spark, tmp_path, "t3_key_limits_of_all_windows", "events")
+
+
+def test_requests_and_tokens_of_a_day(spark, tmp_path):
+    events(tmp_path, odd_events())
+    assert_equals_sql(spark, tmp_path, "t3_key_limits", "events")
+
+
+def test_requests_and_tokens_of_a_busy_key(spark, tmp_path):
+    busy_key(tmp_path)
+    assert not re.search(r"RangeFrame, -\d", plan(spark, tmp_path, "t3_key_limits"))
+    assert_equals_sql(spark, tmp_path, "t3_key_limits", "events")
